@@ -76,15 +76,30 @@ def _unit(vectors: DataFrame) -> DataFrame:
     return Normalizer(p=2.0, inputCol="_raw", outputCol="vec").transform(vectors).select("cls", "vec")
 
 
-def propagate(class_edges: DataFrame, vectors: DataFrame, hot: DataFrame) -> DataFrame:
-    """One propagation: (cls, vec) from weighted class edges (cls, dcls, w).
-
-    The weighted sum combines inside each map task, so a hub ships one partial vector
-    per task. Hub vectors themselves (dcls in hot) are broadcast, at most
-    HOT_SHARE of them. Scaling a sum does not change its direction, so the sum stands for the mean.
+def propagate(class_edges: DataFrame, vectors: DataFrame) -> DataFrame:
+    """One propagation: (cls, vec) from class edges (cls, dcls, w, hub).
+
+    Edges to hubs, the bulk of a catalogue graph, are moved to their owner first, as
+    short rows, and meet a broadcast of the at most HOT_SHARE hub vectors
+    there: their sum needs no shuffle of vectors. An owner has at most one edge per hub, so
+    these groups are bounded too. Edges to other nodes take a shuffle join, balanced
+    because no such node has many edges, and are summed inside each map task before they are
+    sent on, so a hub as owner costs one vector per task.
+    Scaling a sum does not change its direction, so sums stand for means.
     """
-    joined = split_join(class_edges, vectors.select(F.col("cls").alias("dcls"), "vec"), "dcls", hot)
-    summed = joined.groupBy("cls").agg(Summarizer.sum(F.col("vec"), F.col("w").cast("double")).alias("_raw"))
+    targets = vectors.select(F.col("cls").alias("dcls"), "vec")
+    weight = F.col("w").cast("double")
+    to_hubs = class_edges.where("hub").select("cls", "dcls", "w")
+    hub_vectors = targets.join(F.broadcast(to_hubs.select("dcls").distinct()), "dcls", "left_semi")
+    hub_sums = (
+        to_hubs.repartition("cls")
+        .join(F.broadcast(hub_vectors), "dcls")
+        .groupBy("cls")
+        .agg(Summarizer.sum(F.col("vec"), weight).alias("vec"))
+        .withColumn("w", F.lit(1.0))
+    )
+    others = class_edges.where("NOT hub").join(targets, "dcls").select("cls", "vec", weight.alias("w"))
+    summed = hub_sums.unionByName(others).groupBy("cls").agg(Summarizer.sum(F.col("vec"), F.col("w")).alias("_raw"))
     return _unit(summed)
 
 
@@ -127,15 +142,19 @@ def embed_classes(
     # One representative per class stands for all its members' (identical) edges.
     chosen = classes.groupBy("cls").agg(F.min("node_key").alias("src"))
     hub_src = hubs.withColumnRenamed("node_key", "src")
-    own_edges = stage(split_join(edges, chosen, "src", hub_src).select("cls", "dst"), "class-edges")
+    own_edges = stage(split_join(edges, chosen, "src", hub_src).select("cls", "dst"), "own-edges")
     hub_dst = hubs.withColumnRenamed("node_key", "dst")
     named = classes.select(F.col("node_key").alias("dst"), F.col("cls").alias("dcls"))
-    class_edges = stage(
+    weighted_edges = stage(
         split_join(own_edges, named, "dst", hub_dst).groupBy("cls", "dcls").agg(F.count("*").alias("w")),
         "weighted",
     )
-    fan_out = class_edges.groupBy("dcls").agg(F.count("*").alias("n"))
-    hot = stage(hot_keys(fan_out, "dcls", class_edges.count()), "hot")
+    fan_out = weighted_edges.groupBy("dcls").agg(F.count("*").alias("n"))
+    hot = hot_keys(fan_out, "dcls", weighted_edges.count()).withColumn("hub", F.lit(True))
+    class_edges = stage(
+        weighted_edges.join(F.broadcast(hot), "dcls", "left").withColumn("hub", F.coalesce("hub", F.lit(False))),
+        "class-edges",
+    )
 
     first = starting_sums(own_edges, dimension, seed).groupBy("cls").agg(
         Summarizer.sum(array_to_vector("part")).alias("_raw")
@@ -143,7 +162,7 @@ def embed_classes(
     weighted: list[tuple[float, DataFrame]] = []
     current = None
     for weight in iteration_weights:
-        current = stage(_unit(first) if current is None else propagate(class_edges, current, hot), "propagation")
+        current = stage(_unit(first) if current is None else propagate(class_edges, current), "propagation")
         if weight:
             weighted.append((weight, current))
     parts = [v.select("cls", "vec", F.lit(float(w)).alias("w")) for w, v in weighted]

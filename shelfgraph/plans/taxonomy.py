@@ -79,18 +79,18 @@ def child_counts(graph: CatalogGraph) -> DataFrame:
 def nested_trees(flat: DataFrame, root_ids: DataFrame) -> DataFrame:
     """(categoryId, categoryName, tree): one JSON document per root.
 
-    `flat` holds each category once, as flat_categories gives it. Children are
-    folded into parents from the deepest level up; siblings are ordered by name,
-    then id. A leaf has null children. Only nodes reached from a root through the
-    kept parent links appear, and a node is entered once, so a cycle is cut.
+    `flat` holds each category once, as flat_categories gives it, so every
+    category has one kept parent link and one closure over those links finds all that a
+    root's document shows. Children are folded into parents from the deepest level up;
+    siblings are ordered by name, then id. A leaf has null children. A node is entered
+    once per root, so a cycle is cut.
     """
-    nodes = flat.select(*FLAT_COLUMNS).distinct()
-    below = nodes.select(F.col("categoryId").alias("childId"), F.col("parentCategoryId").alias("parentId")).where(
-        F.col("parentId").isNotNull()
-    )
-    placed = stage(
-        closure(below, nodes.join(root_ids, "categoryId", "left_semi")).join(nodes, "categoryId"), "placed"
+    nodes = flat.select(*FLAT_COLUMNS)
+    links = nodes.where(F.col("parentCategoryId").isNotNull()).select(
+        F.col("categoryId").alias("childId"), F.col("parentCategoryId").alias("parentId")
     )
+    asked = nodes.join(root_ids, "categoryId", "left_semi").select("categoryId")
+    placed = stage(closure(links, asked).join(nodes, "categoryId"), "placed")
     depth = placed.agg(F.max("depth")).first()[0]
     if depth is None:
         return nodes.limit(0).select("categoryId", "categoryName", F.lit("").alias("tree"))
@@ -140,29 +140,32 @@ def nested_trees(flat: DataFrame, root_ids: DataFrame) -> DataFrame:
     return done.select("categoryId", "categoryName", "tree")
 
 
-def _tree_page(graph: CatalogGraph, chosen: DataFrame) -> DataFrame:
-    chosen = stage(chosen.select("categoryId"), "roots")
-    flat = flat_tree(graph, chosen).select(*FLAT_COLUMNS)
-    return nested_trees(flat, chosen).orderBy(*by_name("categoryName", "categoryId"))
+def _tree_page(flat: DataFrame, chosen: DataFrame) -> DataFrame:
+    return nested_trees(flat, chosen.select("categoryId")).orderBy(*by_name("categoryName", "categoryId"))
 
 
 def category_trees(graph: CatalogGraph, page: int = 1, page_size: int = 0) -> Page:
     """A page of root trees. Roots are cut first and only those are expanded."""
     page, page_size = normalize(page, page_size)
-    every = roots(graph)
-    return Page(_tree_page(graph, roots_page(every, page, page_size)), every.count(), page, page_size)
+    flat = stage(flat_categories(graph), "flat")
+    # Edges have both ends, so a category without a parent edge is one without a parent here.
+    every = flat.where(F.col("parentCategoryId").isNull())
+    return Page(_tree_page(flat, roots_page(every, page, page_size)), every.count(), page, page_size)
 
 
 def segment_trees(graph: CatalogGraph, segment_id: int, page: int = 1, page_size: int = 0) -> Page:
     """A page of the segment's root trees; descendants are kept whatever their segment."""
     page, page_size = normalize(page, page_size)
-    every = segment_roots(graph, segment_id)
-    return Page(_tree_page(graph, roots_page(every, page, page_size)), every.count(), page, page_size)
+    flat = stage(flat_categories(graph), "flat")
+    # A category may be in several segments, so membership is read from the edges.
+    every = stage(segment_roots(graph, segment_id), "segment-roots")
+    return Page(_tree_page(flat, roots_page(every, page, page_size)), every.count(), page, page_size)
 
 
 def category_subtree(graph: CatalogGraph, category_id: int) -> Page:
     """One category's tree; an unknown id gives an empty page."""
-    tree = stage(_tree_page(graph, graph.category.where(F.col("categoryId") == category_id)), "subtree")
-    found = tree.count()
+    flat = stage(flat_categories(graph), "flat")
+    tree = _tree_page(flat, flat.where(F.col("categoryId") == category_id))
+    found = flat.where(F.col("categoryId") == category_id).count()
     return Page(tree, found, 1, found)
 
