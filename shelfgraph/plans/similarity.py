@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.embedding import DIMENSION, ITERATION_WEIGHTS, SEED, embed_classes
-from ..operators.neighbours import CUTOFF, SCORE_DECIMALS, TOP_K, expand_groups, nearest_groups
+from ..operators.neighbours import CELL_ROWS, CUTOFF, SCORE_DECIMALS, TOP_K, expand_groups, nearest_groups
 from ..operators.projection import project_graph
 from ..operators.skew import hot_keys, split_join
 from ..session import stage
@@ -58,6 +58,8 @@ def neighbour_edges(
     seed: int = SEED,
     scale: str = "raw",
     decimals: int = SCORE_DECIMALS,
+    cell_rows: int = CELL_ROWS,
+    probes: int | None = None,
 ) -> DataFrame:
     """(sourceId, targetId, score) between products, before the brand bonus.
 
@@ -72,7 +74,7 @@ def neighbour_edges(
     hot = hot_keys(groups, "cls", held.count())
     membership = stage(split_join(held, groups.select("cls", "grp"), "cls", hot).select("id", "grp"), "members")
     vectors = embedded.vectors.join(groups, "cls").select(F.col("grp").alias("id"), F.col("embedding").alias("vec"))
-    near = stage(nearest_groups(vectors, k, cutoff, decimals, scale), "near")
+    near = stage(nearest_groups(vectors, k, cutoff, decimals, scale, cell_rows, probes), "near")
     return expand_groups(membership, near, k, cutoff)
 
 

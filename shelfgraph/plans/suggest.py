@@ -66,15 +66,13 @@ def all_recommendations(graph: CatalogGraph, similar_to: DataFrame, min_score: f
     A source has at most the k edges the similarity build gave it, so a window per source is small.
     """
     rows = scored_rows(graph, served_edges(similar_to, min_score))
-    position = F.row_number().over(W.partitionBy("sourceId").orderBy(*best_first()))
+    source = W.partitionBy("sourceId")
     # The total counts edges, not rows: a target with two brands is two rows of one edge.
-    edge = F.row_number().over(W.partitionBy("sourceId", "productId").orderBy(F.asc_nulls_last("brandId")))
-    total = F.count_if(F.col("_edge") == 1).over(W.partitionBy("sourceId"))
-    return (
-        rows.withColumn("_edge", edge)
-        .withColumn("position", position.cast("bigint"))
-        .withColumn("total", total)
-        .select("sourceId", "position", "total", *SCORED_COLUMNS)
+    return rows.select(
+        "sourceId",
+        F.row_number().over(source.orderBy(*best_first())).cast("bigint").alias("position"),
+        F.size(F.collect_set("productId").over(source)).cast("bigint").alias("total"),
+        *SCORED_COLUMNS,
     )
 
 

@@ -344,6 +344,12 @@ def knn_filtered(spark, folder):
     return _rounded(similarity.neighbour_edges(bind_folder(spark, folder)), "score")
 
 
+@query
+def knn_lsh(spark, folder):
+    """Approximate form of knn_filtered: small locality-sensitive cells, the nearest of them probed."""
+    return _rounded(similarity.neighbour_edges(bind_folder(spark, folder), cell_rows=64, probes=12), "score")
+
+
 @query
 def same_brand_pairs(spark, folder):
     graph = bind_folder(spark, folder)

@@ -13,11 +13,14 @@ def engine():
     return connect(FOLDER)
 
 
-def test_every_query_has_an_answer():
-    assert set(contract.oracle_sql()) == set(contract.queries())
+APPROXIMATE = {"knn_lsh"}  # no exact answer to compare with; its recall is tested with the neighbours
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+def test_every_exact_query_has_an_answer():
+    assert set(contract.oracle_sql()) == set(contract.queries()) - APPROXIMATE
+
+
+@pytest.mark.parametrize("name", sorted(set(contract.queries()) - APPROXIMATE))
 def test_answer(spark, engine, name):
     assert differences(contract.queries()[name](spark, FOLDER), engine, contract.oracle_sql()[name]) == []
 

@@ -148,6 +148,30 @@ def test_knn_is_exact_with_copies_and_cells(spark, monkeypatch, seed, k, cutoff,
     assert {tuple(r) for r in got} == brute_knn([int(i) for i in ids], x, k, cutoff, unit)
 
 
+def test_bound_and_block_forms_agree(spark, monkeypatch):
+    """Well separated clusters use the bound, shapeless vectors the block grid; both equal brute force."""
+    rng = np.random.default_rng(7)
+    spread = rng.normal(size=(300, 40))
+    packed = np.repeat(np.eye(6, 40), 50, axis=0) + 0.02 * rng.normal(size=(300, 40))
+    used = []
+    monkeypatch.setattr(neighbours, "_compare", lambda q, *a, real=neighbours._compare: used.append(q.count()) or real(q, *a))
+    for x in (spread, packed):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+        got = {tuple(r) for r in neighbours.nearest_groups(df, 4, 0.0, cell_rows=25).collect()}
+        assert got == brute_knn(list(range(300)), x, 4, 0.0)
+    assert used[1] == 300  # grid over everything
+    assert used[3] < 300 * 3  # few visits after the bound
+
+
+def test_probed_cells_recall(spark, micro):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(20, 24))[rng.integers(0, 20, 1500)] + 0.5 * rng.normal(size=(1500, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    exact = brute_knn(list(range(1500)), x, 10, 0.5)
+    found = {tuple(r) for r in neighbours.nearest_groups(df, 10, 0.5, cell_rows=50, probes=8).collect()}
+    assert len(found & exact) >= 0.95 * len(exact)
+
+
 def test_knn_of_nothing(spark):
     empty = spark.createDataFrame([(1, [0.0, 0.0])], "id long, embedding array<double>")
     assert neighbours.knn(empty).collect() == []
