@@ -25,7 +25,7 @@ HEADLINE = [
     "search_bulk",
     "fastrp_embedding",
     "knn_topk",
-    "similar_to_pipeline",
+    "similar_to_build",
     "recommendations",
     "recommendation_pages",
     "page_cache_lookup",
@@ -50,7 +50,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     names = sys.argv[1:] or HEADLINE
     # The suggestion queries read stored edges, as the service does; building
-    # them is timed on its own as similar_to_pipeline.
+    # them is timed on its own as similar_to_build.
     registry.QUERIES["scan_products"](spark, folder).write.format("noop").mode("overwrite").save()
     started = time.time()
     registry.stored_similar_to(spark, folder)

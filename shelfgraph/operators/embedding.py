@@ -76,8 +76,8 @@ def _unit(vectors: DataFrame) -> DataFrame:
     return Normalizer(p=2.0, inputCol="_raw", outputCol="vec").transform(vectors).select("cls", "vec")
 
 
-def propagate(class_edges: DataFrame, vectors: DataFrame) -> DataFrame:
-    """One propagation: (cls, vec) from class edges (cls, dcls, w, hub).
+def propagate(class_edges: DataFrame, hubs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """One propagation: (cls, vec) from class edges (cls, dcls, w, hub) and the hubs (dcls).
 
     Edges to hubs, the bulk of a catalogue graph, are moved to their owner first, as
     short rows, and meet a broadcast of the at most HOT_SHARE hub vectors
@@ -90,7 +90,7 @@ def propagate(class_edges: DataFrame, vectors: DataFrame) -> DataFrame:
     targets = vectors.select(F.col("cls").alias("dcls"), "vec")
     weight = F.col("w").cast("double")
     to_hubs = class_edges.where("hub").select("cls", "dcls", "w")
-    hub_vectors = targets.join(F.broadcast(to_hubs.select("dcls").distinct()), "dcls", "left_semi")
+    hub_vectors = targets.join(F.broadcast(hubs), "dcls", "left_semi")
     hub_sums = (
         to_hubs.repartition("cls")
         .join(F.broadcast(hub_vectors), "dcls")
@@ -150,10 +150,10 @@ def embed_classes(
         "weighted",
     )
     fan_out = weighted_edges.groupBy("dcls").agg(F.count("*").alias("n"))
-    hot = hot_keys(fan_out, "dcls", weighted_edges.count()).withColumn("hub", F.lit(True))
+    class_hubs = stage(hot_keys(fan_out, "dcls", weighted_edges.count()), "hubs")
+    flag = F.broadcast(class_hubs.withColumn("hub", F.lit(True)))
     class_edges = stage(
-        weighted_edges.join(F.broadcast(hot), "dcls", "left").withColumn("hub", F.coalesce("hub", F.lit(False))),
-        "class-edges",
+        weighted_edges.join(flag, "dcls", "left").withColumn("hub", F.coalesce("hub", F.lit(False))), "class-edges"
     )
 
     first = starting_sums(own_edges, dimension, seed).groupBy("cls").agg(
@@ -162,7 +162,7 @@ def embed_classes(
     weighted: list[tuple[float, DataFrame]] = []
     current = None
     for weight in iteration_weights:
-        current = stage(_unit(first) if current is None else propagate(class_edges, current), "propagation")
+        current = stage(_unit(first) if current is None else propagate(class_edges, class_hubs, current), "propagation")
         if weight:
             weighted.append((weight, current))
     parts = [v.select("cls", "vec", F.lit(float(w)).alias("w")) for w, v in weighted]

@@ -13,6 +13,11 @@ def by_name(name: str, key: str) -> list[Column]:
     return [F.asc_nulls_last(name), F.asc(key)]
 
 
+def collated(name: str, collation: str | None) -> Column:
+    """Sort key of a name: its own binary order, or a language-aware one."""
+    return F.collate(name, collation) if collation else F.col(name)
+
+
 def product_brands(graph: CatalogGraph) -> DataFrame:
     """(productId, brandId, brandName): edge and node joined first, so that an
     optional expand never yields a brand id without its name."""

@@ -218,7 +218,7 @@ def nearest_groups(
     if probes is None:
         trial = asking.orderBy(F.xxhash64("id"), "id").limit(TRIAL_ROWS).mapInPandas(visit, shape)
         visited = trial.agg(F.avg(F.size("cells"))).first()[0]
-        if visited * 2 > len(held):
+        if visited * 2 > len(held) - 1:
             whole = celled.select("id", F.lit(0).alias("cell"), "vec")
             return _best(_compare(whole, whole, k, cutoff, decimals, unit), k)
     routed = stage(asking.mapInPandas(visit, shape), "routed")
@@ -232,27 +232,31 @@ def _best(hits: DataFrame, k: int) -> DataFrame:
 
 
 def expand_groups(
-    membership: DataFrame, near: DataFrame, k: int = TOP_K, cutoff: float = CUTOFF
+    membership: DataFrame, groups: DataFrame, near: DataFrame, k: int = TOP_K, cutoff: float = CUTOFF
 ) -> DataFrame:
     """(sourceId, targetId, score) between members, from a graph between groups.
 
-    membership(id, grp) where grp is the least member id of a group of equal vectors; near(qid,
-    tid, score) holds each group's best k other groups. The best k + 1 members around a group all
-    lie in it or in those groups, and among the first k + 1 ids of each,
-    so one short list per group serves all its members.
+    membership(id, key) places each row in a group of equal vectors; groups(key, grp, n) gives its
+    least member id and size; near(qid, tid, score) holds the best k other groups of each, by
+    those ids. The best k + 1 members around a group all lie in it or in those groups, and among the
+    first k + 1 ids of each, so one short list per group serves all its members.
     """
-    counts = membership.groupBy("grp").agg(F.count("*").alias("n"))
-    first = first_per_key(membership, ["grp"], [F.asc("id")], k + 1)
-    itself = counts.select(F.col("grp").alias("qid"), F.col("grp").alias("tid"), F.lit(1.0).alias("score"))
+    named = groups.select("key", "grp")
+    first = first_per_key(membership, ["key"], [F.asc("id")], k + 1).join(named, "key")
+    itself = groups.select(F.col("grp").alias("qid"), F.col("grp").alias("tid"), F.lit(1.0).alias("score"))
     reach = near.unionByName(itself.where(F.col("score") >= cutoff))
-    listed = reach.join(first, reach.tid == first.grp).select("qid", F.col("id").alias("targetId"), "score")
+    listed = reach.join(first.select("grp", F.col("id").alias("targetId")), reach.tid == F.col("grp")).select(
+        F.col("qid").alias("grp"), "targetId", "score"
+    )
     lists = (
-        first_per_key(listed, ["qid"], [F.desc("score"), F.asc("targetId")], k + 1)
-        .groupBy(F.col("qid").alias("grp"))
+        first_per_key(listed, ["grp"], [F.desc("score"), F.asc("targetId")], k + 1)
+        .groupBy("grp")
         .agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("_s"), "targetId"))).alias("_list"))
+        .join(named, "grp")
+        .select("key", "_list")
     )
-    hot = hot_keys(counts, "grp", membership.count())
-    held = split_join(membership, lists, "grp", hot)
+    hot = hot_keys(groups, "key", membership.count())
+    held = split_join(membership, lists, "key", hot)
     others = F.slice(F.expr("filter(_list, e -> e.targetId != id)"), 1, k)
     return held.select(F.col("id").alias("sourceId"), F.explode(others).alias("_e")).select(
         "sourceId", F.col("_e.targetId").alias("targetId"), (-F.col("_e._s")).alias("score")
@@ -270,14 +274,11 @@ def knn(
 ) -> DataFrame:
     """(sourceId, targetId, score): best k per row of vectors(id bigint, embedding array)."""
     keyed = vectors.select(
-        "id", F.col("embedding").cast("array<double>").alias("vec"), F.md5(F.col("embedding").cast("string")).alias("_key")
+        "id", F.col("embedding").cast("array<double>").alias("vec"), F.md5(F.col("embedding").cast("string")).alias("key")
     )
     keyed = stage(keyed.where(F.exists("vec", lambda x: x != 0)), "vectors")
-    groups = keyed.groupBy("_key").agg(F.min("id").alias("grp"), F.count("*").alias("n"), F.first("vec").alias("vec"))
-    groups = stage(groups, "groups")
-    hot = hot_keys(groups, "_key", keyed.count())
-    membership = stage(split_join(keyed.select("id", "_key"), groups.select("_key", "grp"), "_key", hot), "members")
+    groups = stage(
+        keyed.groupBy("key").agg(F.min("id").alias("grp"), F.count("*").alias("n"), F.first("vec").alias("vec")), "groups"
+    )
     near = nearest_groups(groups.select(F.col("grp").alias("id"), "vec"), k, cutoff, decimals, scale, cell_rows, probes)
-    return expand_groups(membership.select("id", "grp"), stage(near, "near"), k, cutoff)
-
-
+    return expand_groups(keyed.select("id", "key"), groups.drop("vec"), stage(near, "near"), k, cutoff)

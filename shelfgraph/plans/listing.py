@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.paging import Page, normalize, one_page
 from ..functions.text import not_found_text
-from ..operators.expand import by_name, members, product_brands, product_rows
+from ..operators.expand import by_name, collated, members, product_brands, product_rows
 from ..operators.ranking import first_per_key, sliced_positions, with_page
+from ..session import stage
 from ..sources.schema import CatalogGraph
 
 PRODUCT_COLUMNS = ["productId", "productName", "productDescription", "brandId", "brandName", "categoryId"]
@@ -65,22 +66,28 @@ def category_product_pages(graph: CatalogGraph, page_size: int = 20) -> DataFram
 # ---- product detail -------------------------------------------------------------------------
 
 
-def product_details(graph: CatalogGraph, products: DataFrame | None = None) -> DataFrame:
-    """Products with their brand and parameter list (empty, never null)."""
+def product_details(
+    graph: CatalogGraph, products: DataFrame | None = None, collation: str | None = None
+) -> DataFrame:
+    """Products with their brand and parameter list (empty, never null).
+
+    Parameters are in name order: binary, or by a collation such as "UNICODE".
+    """
     base = graph.product if products is None else graph.product.join(products, "productId", "left_semi")
     # Several brands: the lowest id, by a plain aggregate that combines before the shuffle.
     brand = product_brands(graph).groupBy("productId").agg(
         F.min(F.struct("brandId", "brandName")).alias("_brand")
     )
+    place = collated("parameterName", collation).alias("_place")
     traits = (
         graph.has_parameter.join(
             graph.parameter.select("parameterId", "value", "parameterName"), ["parameterId", "value"]
         )
         .groupBy("productId")
-        .agg(F.array_sort(F.collect_list(F.struct("parameterName", "parameterId", "value"))).alias("_traits"))
+        .agg(F.array_sort(F.collect_list(F.struct(place, "parameterName", "parameterId", "value"))).alias("_traits"))
     )
     parameters = F.transform(
-        F.coalesce("_traits", F.array().cast("array<struct<parameterName:string,parameterId:bigint,value:string>>")),
+        F.coalesce("_traits", F.array()),
         lambda t: F.struct(
             t["parameterId"].alias("parameterId"), t["parameterName"].alias("parameterName"), t["value"].alias("value")
         ),
@@ -152,7 +159,7 @@ def related_totals(graph: CatalogGraph) -> DataFrame:
     products whose own category set contains it: one grouped count over the subsets
     of each product's set. Cost is linear in memberships however large a category is.
     """
-    pairs = members(graph)
+    pairs = stage(members(graph), "members")
     degree = pairs.groupBy("productId").agg(F.count("*").alias("_k"))
     narrow = (
         pairs.join(degree.where(F.col("_k") <= NARROW), "productId")
@@ -206,7 +213,7 @@ def related_pages(graph: CatalogGraph, page: int = 1, page_size: int = 20) -> Da
     """
     need = page * page_size
     named = graph.product.select("productId", "productName", "productDescription", "categoryId")
-    listed = members(graph).withColumnRenamed("categoryId", "_shared")
+    listed = stage(members(graph), "members").withColumnRenamed("categoryId", "_shared")
     head = first_per_key(
         listed.join(named.select("productId", "productName"), "productId"),
         ["_shared"], by_name("productName", "productId"), need + 1,

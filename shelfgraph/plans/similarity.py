@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..operators.embedding import DIMENSION, ITERATION_WEIGHTS, SEED, embed_classes
 from ..operators.neighbours import CELL_ROWS, CUTOFF, SCORE_DECIMALS, TOP_K, expand_groups, nearest_groups
 from ..operators.projection import project_graph
-from ..operators.skew import hot_keys, split_join
 from ..session import stage
 from ..sources.schema import CatalogGraph
 
@@ -69,13 +68,15 @@ def neighbour_edges(
     nodes, edges = project_graph(graph)
     embedded = embed_classes(edges, dimension, iteration_weights, seed)
     products = nodes.where(F.col("label") == "product").select("node_key", "id")
-    held = stage(products.join(embedded.membership, "node_key").select("id", "cls"), "held")
-    groups = stage(held.groupBy("cls").agg(F.min("id").alias("grp"), F.count("*").alias("n")), "groups")
-    hot = hot_keys(groups, "cls", held.count())
-    membership = stage(split_join(held, groups.select("cls", "grp"), "cls", hot).select("id", "grp"), "members")
-    vectors = embedded.vectors.join(groups, "cls").select(F.col("grp").alias("id"), F.col("embedding").alias("vec"))
+    held = stage(
+        products.join(embedded.membership, "node_key").select("id", F.col("cls").alias("key")), "held"
+    )
+    groups = stage(held.groupBy("key").agg(F.min("id").alias("grp"), F.count("*").alias("n")), "groups")
+    vectors = embedded.vectors.join(groups, embedded.vectors.cls == groups.key).select(
+        F.col("grp").alias("id"), F.col("embedding").alias("vec")
+    )
     near = stage(nearest_groups(vectors, k, cutoff, decimals, scale, cell_rows, probes), "near")
-    return expand_groups(membership, near, k, cutoff)
+    return expand_groups(held, groups, near, k, cutoff)
 
 
 def build_similar_to(graph: CatalogGraph, bonus: float = BRAND_BONUS, **params) -> DataFrame:
@@ -92,4 +93,6 @@ def score_summary(edges: DataFrame) -> DataFrame:
         F.round(F.max("score"), 6).alias("maxScore"),
         F.round(F.avg("score"), 6).alias("meanScore"),
         F.round(F.stddev_pop("score"), 6).alias("stdDev"),
+        # Exact percentiles keep one counter per distinct score, and scores have six decimals.
+        *[F.round(F.percentile("score", p / 100), 6).alias(f"p{p}") for p in (50, 90, 99)],
     )

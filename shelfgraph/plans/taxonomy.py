@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paging import Page, normalize, one_page
 from ..operators.closure import closure
-from ..operators.expand import by_name
+from ..operators.expand import by_name, collated
 from ..session import stage
 from ..sources.schema import CatalogGraph
 
@@ -76,13 +76,13 @@ def child_counts(graph: CatalogGraph) -> DataFrame:
     )
 
 
-def nested_trees(flat: DataFrame, root_ids: DataFrame) -> DataFrame:
+def nested_trees(flat: DataFrame, root_ids: DataFrame, collation: str | None = None) -> DataFrame:
     """(categoryId, categoryName, tree): one JSON document per root.
 
     `flat` holds each category once, as flat_categories gives it, so every
     category has one kept parent link and one closure over those links finds all that a
     root's document shows. Children are folded into parents from the deepest level up;
-    siblings are ordered by name, then id. A leaf has null children. A node is entered
+    siblings are ordered by name (binary, or by a collation such as "UNICODE"), then id. A leaf has null children. A node is entered
     once per root, so a cycle is cut.
     """
     nodes = flat.select(*FLAT_COLUMNS)
@@ -125,7 +125,7 @@ def nested_trees(flat: DataFrame, root_ids: DataFrame) -> DataFrame:
     for at in range(depth, -1, -1):
         done = rendered(placed.where(F.col("depth") == at), done)
         if at:
-            ordered = F.array_sort(F.collect_list(F.struct("categoryName", "categoryId", "tree")))
+            ordered = F.array_sort(F.collect_list(F.struct(collated("categoryName", collation).alias("_place"), "categoryId", "tree")))
             done = (
                 done.groupBy("rootId", F.col("parentCategoryId").alias("categoryId"))
                 .agg(ordered.alias("_items"))
@@ -140,26 +140,33 @@ def nested_trees(flat: DataFrame, root_ids: DataFrame) -> DataFrame:
     return done.select("categoryId", "categoryName", "tree")
 
 
-def _tree_page(flat: DataFrame, chosen: DataFrame) -> DataFrame:
-    return nested_trees(flat, chosen.select("categoryId")).orderBy(*by_name("categoryName", "categoryId"))
+def _tree_page(flat: DataFrame, chosen: DataFrame, collation: str | None = None) -> DataFrame:
+    trees = nested_trees(flat, chosen.select("categoryId"), collation)
+    if collation:
+        return trees.orderBy(collated("categoryName", collation).asc_nulls_last(), "categoryId")
+    return trees.orderBy(*by_name("categoryName", "categoryId"))
 
 
-def category_trees(graph: CatalogGraph, page: int = 1, page_size: int = 0) -> Page:
+def category_trees(
+    graph: CatalogGraph, page: int = 1, page_size: int = 0, collation: str | None = None
+) -> Page:
     """A page of root trees. Roots are cut first and only those are expanded."""
     page, page_size = normalize(page, page_size)
     flat = stage(flat_categories(graph), "flat")
     # Edges have both ends, so a category without a parent edge is one without a parent here.
     every = flat.where(F.col("parentCategoryId").isNull())
-    return Page(_tree_page(flat, roots_page(every, page, page_size)), every.count(), page, page_size)
+    return Page(_tree_page(flat, roots_page(every, page, page_size), collation), every.count(), page, page_size)
 
 
-def segment_trees(graph: CatalogGraph, segment_id: int, page: int = 1, page_size: int = 0) -> Page:
+def segment_trees(
+    graph: CatalogGraph, segment_id: int, page: int = 1, page_size: int = 0, collation: str | None = None
+) -> Page:
     """A page of the segment's root trees; descendants are kept whatever their segment."""
     page, page_size = normalize(page, page_size)
     flat = stage(flat_categories(graph), "flat")
     # A category may be in several segments, so membership is read from the edges.
     every = stage(segment_roots(graph, segment_id), "segment-roots")
-    return Page(_tree_page(flat, roots_page(every, page, page_size)), every.count(), page, page_size)
+    return Page(_tree_page(flat, roots_page(every, page, page_size), collation), every.count(), page, page_size)
 
 
 def category_subtree(graph: CatalogGraph, category_id: int) -> Page:

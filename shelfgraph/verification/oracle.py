@@ -279,7 +279,8 @@ def statements() -> dict[str, str]:
         FROM kept k JOIN product_rows p ON p.productId = k.productId"""
     distribution = similar + """
         SELECT count(*) AS relationshipsWritten, count(DISTINCT sourceId) AS sources, round(min(score), 6) AS minScore,
-               round(max(score), 6) AS maxScore, round(avg(score), 6) AS meanScore, round(stddev_pop(score), 6) AS stdDev
+               round(max(score), 6) AS maxScore, round(avg(score), 6) AS meanScore, round(stddev_pop(score), 6) AS stdDev,
+               round(quantile_cont(score, 0.5), 6) AS p50, round(quantile_cont(score, 0.9), 6) AS p90, round(quantile_cont(score, 0.99), 6) AS p99
         FROM similar_to"""
     return {
         # scans, projection, checks
@@ -381,7 +382,7 @@ def statements() -> dict[str, str]:
         "knn_filtered": _with(GRAPH, NEAR_PRODUCTS) + f"SELECT {edge_columns} FROM near",
         "same_brand_pairs": _with(GRAPH, NEAR_PRODUCTS, BOOST) + "SELECT * FROM shared",
         "brand_boost": _with(GRAPH, NEAR_VECTORS, BOOST) + f"SELECT {edge_columns}, sameBrand FROM similar_to",
-        "similar_to_pipeline": similar + f"SELECT {edge_columns}, sameBrand FROM similar_to",
+        "similar_to_build": similar + f"SELECT {edge_columns}, sameBrand FROM similar_to",
         "write_similar_to": similar + f"SELECT {edge_columns}, sameBrand FROM similar_to",
         "similarity_distribution": distribution,
         "similarity_count": similar + "SELECT count(*) AS totalSimilarities FROM similar_to",

@@ -365,7 +365,7 @@ def brand_boost(spark, folder):
 
 
 @query
-def similar_to_pipeline(spark, folder):
+def similar_to_build(spark, folder):
     return _rounded(similarity.build_similar_to(bind_folder(spark, folder)), "score")
 
 

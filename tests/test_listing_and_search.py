@@ -58,6 +58,11 @@ def test_detail_takes_lowest_brand_and_sorts_parameters(micro):
     assert listing.product_detail(micro, 1).collect() == [rows[1]]
 
 
+def test_detail_with_a_collation(micro):
+    rows = {r.productId: r for r in listing.product_details(micro, collation="UNICODE").collect()}
+    assert [p.parameterName for p in rows[1].parameters] == ["Age", "Colour", "Colour"] and rows[3].parameters == []
+
+
 def test_unknown_product_is_an_error(micro):
     with pytest.raises(KeyError, match="Product with id '123' was not found."):
         listing.product_detail(micro, 123)

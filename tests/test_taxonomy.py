@@ -28,6 +28,18 @@ def test_children_sorted_by_name(spark):
     assert [c["categoryName"] for c in root["subCategories"]] == ["Apple", "Mango", "Zebra"]
 
 
+def test_children_sorted_by_collation(spark):
+    rows = [(1, "Root"), (2, "laptops", 1), (3, "Electronics", 1), (4, "Phones", 1), (5, "Smart", 1)]
+    flat = spark.createDataFrame([tuple(r) + (None,) * (5 - len(r)) for r in rows], FLAT)
+    ids = spark.createDataFrame([(1,)], "categoryId long")
+    order = {}
+    for collation in (None, "UNICODE"):
+        tree = json.loads(taxonomy.nested_trees(flat, ids, collation).first().tree)
+        order[collation] = [c["categoryName"] for c in tree["subCategories"]]
+    assert order[None] == ["Electronics", "Phones", "Smart", "laptops"]
+    assert order["UNICODE"] == ["Electronics", "laptops", "Phones", "Smart"]
+
+
 def test_many_roots(spark):
     got = build(spark, [(1, "Electronics", None, 1, "Tech"), (2, "Clothing", None, 2, "Fashion"), (3, "Phones", 1, 1, "Tech")], [1, 2])
     assert [r["categoryName"] for r in got] == ["Clothing", "Electronics"]
