@@ -14,6 +14,7 @@ every score is the base rate (0 without labels) and nothing is predicted toxic.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -245,8 +246,7 @@ def scores_of(model: Model, text: pa.Array, seen: np.ndarray, known: dict) -> tu
     for lo, hi in tb.slices(text):
         row, term, count = term_counts(tb.Words(*tb.flat(text[lo:hi]), tb.LETTERED, fold=True), model.terms, seen)
         value = unit_vectors(row, term, count, model.idf, hi - lo)
-        edges = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
-        for a, b in zip(edges, np.append(edges[1:], len(row)), strict=True):
+        for a, b in itertools.pairwise(np.flatnonzero(np.diff(row, prepend=-1, append=-1))):
             key = term[a:b].tobytes() + count[a:b].tobytes()
             if key not in known:
                 if len(known) > 20_000:
