@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfgraph.llm import textbytes as tb
-from shelfgraph.llm import decontaminate, language, quality, toxicity
+from shelfgraph.llm import decontaminate, language, packing, quality, tokenfiles, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -40,6 +40,14 @@ def op5_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "languages", "shares")
 
 
+def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenfiles.round_trip(_table(spark, folder, "documents")).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_table(spark, folder, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -47,7 +55,9 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_quality": op3_quality,
+    "op4_token_files": op4_token_files,
     "op5_language": op5_language,
+    "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
 }
 
