@@ -31,7 +31,7 @@ END = 1
 CAPACITY = 2048
 PIECE = 512
 WINDOWS = 64  # windows of a full group
-SLACK = 4  # ids per window left free for what differencing cannot even out
+SLACK = 16  # ids per window left free for what differencing cannot even out
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
