@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfgraph.llm import textbytes as tb
-from shelfgraph.llm import decontaminate, language, packing, quality, tokenfiles, toxicity
+from shelfgraph.llm import decontaminate, language, packing, quality, repeats, tokenfiles, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op5_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "languages", "shares")
 
 
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeats.remove(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
+
+
 def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfiles.round_trip(_table(spark, folder, "documents")).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
@@ -54,6 +59,7 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_quality": op3_quality,
     "op4_token_files": op4_token_files,
     "op5_language": op5_language,
