@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfgraph.llm import textbytes as tb
-from shelfgraph.llm import decontaminate, language, packing, quality, repeats, tokenfiles, toxicity
+from shelfgraph.llm import decontaminate, language, neardup, packing, quality, repeats, tokenfiles, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfiles.round_trip(_table(spark, folder, "documents")).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.classes(_table(spark, folder, "documents"))
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_token_files": op4_token_files,
     "op5_language": op5_language,
+    "op6_near_dedup": op6_near_dedup,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
 }
