@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfgraph.llm import textbytes as tb
-from shelfgraph.llm import decontaminate, language, neardup, packing, quality, repeats, tokenfiles, toxicity
+from shelfgraph.llm import decontaminate, language, neardup, packing, quality, repeats, secrets, tokenfiles, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -53,6 +53,11 @@ def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.classes(_table(spark, folder, "documents"))
 
 
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    model, found = secrets.learn(_table(spark, folder, "documents"))
+    return secrets.scan(found, model)
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op5_language": op5_language,
     "op6_near_dedup": op6_near_dedup,
+    "op7_secrets": op7_secrets,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
 }
