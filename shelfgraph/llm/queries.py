@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfgraph.llm import textbytes as tb
-from shelfgraph.llm import decontaminate, language, neardup, packing, quality, repeats, secrets, tokenfiles, toxicity
+from shelfgraph.llm import decontaminate, language, lmscore, neardup, packing, quality, repeats, secrets, tokenfiles, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -58,6 +58,12 @@ def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(found, model)
 
 
+def op8_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.coalesce(tb.crc32_of_id() % 7 == 2, F.lit(False))
+    found = lmscore.score(_table(spark, folder, "documents").withColumn("held_out", held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language": op5_language,
     "op6_near_dedup": op6_near_dedup,
     "op7_secrets": op7_secrets,
+    "op8_lm_scores": op8_lm_scores,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
 }
