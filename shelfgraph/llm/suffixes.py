@@ -49,24 +49,38 @@ def _induce(text: np.ndarray, order: np.ndarray, zone: np.ndarray, place: np.nda
     """Set the place of the positions in order (sorted by symbol); equal keys share a place."""
     symbols = text[order]
     place[order] = zone[symbols]
+    unsettled = np.zeros(len(text) + 1, bool)
     blocks = _blocks(symbols)
     for lo, hi in reversed(blocks) if downwards else blocks:
         own, symbol = order[lo:hi], symbols[lo:hi]
-        start = np.searchsorted(symbol, symbol)
-        base = zone[symbol]
-        inside = (text[np.minimum(own + 1, len(text) - 1)] >= symbol[0]) & (text[np.minimum(own + 1, len(text) - 1)] <= symbol[-1])
+        key = symbol.astype(np.int64) << 34 | (place[own + 1] + 1)
+        sequence = np.argsort(key)
+        own, key = own[sequence], key[sequence]
+        same = _first(np.append(True, key[1:] != key[:-1]))
+        symbol = key >> 34
+        held = zone[symbol] + same - _first(np.append(True, symbol[1:] != symbol[:-1]))
+        unsettled[own] = True
+        place[own] = held
+        # successors inside the block part the ties of the positions before them, and those in turn
         while True:
-            key = symbol.astype(np.int64) << 34 | (place[own + 1] + 1)
-            sequence = np.argsort(key)
-            key = key[sequence]
-            fresh = np.append(True, key[1:] != key[:-1])
-            rank = np.empty(len(own), np.int64)
-            rank[sequence] = np.maximum.accumulate(np.where(fresh, np.arange(len(own)), 0))
-            rank += base - start
-            still = np.array_equal(place[own], rank)
-            place[own] = rank
-            if still or not inside.any():
+            size = np.bincount(same, minlength=len(own))
+            pending = ((size > 1) & (np.bincount(same, unsettled[own + 1], minlength=len(own)) > 0))[same]
+            unsettled[own] = False
+            if not pending.any():
                 break
+            own, held = own[pending], held[pending]
+            key = held << 34 | (place[own + 1] + 1)
+            sequence = np.argsort(key)
+            own, held, key = own[sequence], held[sequence], key[sequence]
+            same = _first(np.append(True, key[1:] != key[:-1]))
+            held = held + same - _first(np.append(True, held[1:] != held[:-1]))
+            unsettled[own] = True
+            place[own] = held
+
+
+def _first(starts: np.ndarray) -> np.ndarray:
+    """For each row the index of the start at or before it."""
+    return np.maximum.accumulate(np.where(starts, np.arange(len(starts)), 0))
 
 
 def ranks(text: np.ndarray) -> np.ndarray:
