@@ -162,6 +162,12 @@ def _pairs(buckets: DataFrame, known: DataFrame, turn: int) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class, the one with the least doc_id, with all columns of docs."""
-    found = classes(docs)
-    kept = found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    found = written(classes(docs), "classes")
+    kept = found.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    # rows without an id cannot name a class; they stay
+    known = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    if not kept.where("rows > 1").isEmpty():
+        known = known.dropDuplicates(["doc_id", "text"])
+    if not found.where("doc_id is null").isEmpty():
+        known = known.unionByName(docs.where("doc_id is null"))
+    return known
