@@ -15,18 +15,23 @@ def components(links: DataFrame) -> DataFrame:
     nothing changes. Every node's neighbours meet in aggregates and joins, never in one list.
     """
     edges = written(_ordered(links), "edges")
+    seen = _fingerprint(edges)
     while True:
-        large = _star(_both(edges), larger=True)
-        small = _star(large, larger=False)
-        fresh = written(small, "edges")
-        if fresh.exceptAll(edges).isEmpty() and edges.exceptAll(fresh).isEmpty():
+        edges = written(_star(_star(_both(edges), larger=True), larger=False), "edges")
+        last, seen = seen, _fingerprint(edges)
+        if seen == last:
             break
-        edges = fresh
     members = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return members.unionByName(roots)
 
 
+def _fingerprint(edges: DataFrame) -> tuple:
+    """Equal for equal edge sets; two sums of row hashes tell others apart."""
+    rows = [F.col("a"), F.col("b")]
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64(*rows)), F.sum(F.crc32(F.concat(*[F.col(c).cast("binary") for c in ("a", "b")])))).first())
+
+
 def _ordered(links: DataFrame) -> DataFrame:
     """Each link once, from the larger node a to the smaller node b."""
     return links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

@@ -2,11 +2,14 @@
 
 Texts with equal shingle multisets are one node, so exact copies cost one row each. Nodes meet where a
 band of their signatures agrees. A bucket is not expanded to pairs: each member is paired with one
-centre, the pairs are verified by multiset overlap, and verified links form components. Buckets whose
-members still lie in several components are dealt again, with another centre in every band, until a
-round finds no new link; small buckets are tested in full. Classes are the components of verified links.
+centre, at first the node that shares most buckets, which among edited copies is their original. Pairs
+whose registers agree far below the threshold are dropped, the others verified by multiset overlap, and
+verified links form components. Buckets whose members still lie in several components are dealt
+again, with another centre in every bucket, and small ones pair by pair, until a round finds no new link
+or MAX_ROUNDS are over. Classes are the components of verified links.
 
-Bands of 5 registers out of 150 miss a pair of similarity 0.8 with probability 7e-6.
+Bands of 5 registers out of 150 miss a pair of similarity 0.8 with probability 7e-6. A large bucket whose
+members are alike in pairs only, without a common original, can keep links untested after MAX_ROUNDS.
 
 Defined cases: words are `[^\\x20\\x09-\\x0D]+` in lower case. A text of one to four words has one shingle,
 all its words. Texts without a word, null included, are equal to one another. Rows that repeat a
@@ -33,7 +36,9 @@ SIMILARITY = 0.8
 BANDS = 30
 ROWS = 5
 SMALL = 6  # buckets of so many nodes are tested pair by pair
-MAX_ROUNDS = 6
+MAX_ROUNDS = 3
+#: Least share of agreeing registers of a pair that is worth verifying: six deviations below 0.8.
+LIKELY = 0.6
 
 
 def shingles(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,8 +84,9 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(node_keys(key, counts, bounds), pa.binary()),
                     pa.array(tb.sums(counts, bounds)),
                     tb.list_array(band.view(np.int64).reshape(-1), np.full(hi - lo, BANDS), pa.int64()),
+                    tb.binary((tb.mix(times.view(np.uint64)) & np.uint64(255)).astype(np.uint8)),
                 ],
-                names=["doc_id", "node", "size", "bands"],
+                names=["doc_id", "node", "size", "bands", "sketch"],
             )
 
 
@@ -94,68 +100,85 @@ def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 short, inverse = np.unique((key[a:b] >> np.uint64(32)).astype(np.uint32), return_inverse=True)
                 keys.append(short)
-                sizes.append(np.minimum(np.bincount(inverse, counts[a:b], minlength=len(short)), 2**32 - 1).astype(np.uint32))
+                total = np.minimum(np.bincount(inverse, counts[a:b], minlength=len(short)), 2**32 - 1).astype(np.uint32)
+                # without repeats the counts go without saying
+                sizes.append(total if (total != 1).any() else total[:0])
             yield pa.RecordBatch.from_arrays([pa.array(node_keys(key, counts, bounds), pa.binary()), tb.binary(keys), tb.binary(sizes)], names=["node", "keys", "counts"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        blobs = [[np.frombuffer(x, np.uint32) for x in batch.column(i).to_pylist()] for i in range(2, 6)]
-        good = np.array([bagminhash.similarity(*x) >= SIMILARITY - 1e-12 for x in zip(*blobs, strict=True)], bool)
+        good = []
+        for blobs in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+            keys_a, counts_a, keys_b, counts_b = (np.frombuffer(x, np.uint32) for x in blobs)
+            counts_a, counts_b = (c if len(c) else np.ones(len(k), np.uint32) for k, c in ((keys_a, counts_a), (keys_b, counts_b)))
+            good.append(bagminhash.similarity(keys_a, counts_a.astype(np.int64), keys_b, counts_b.astype(np.int64)) >= SIMILARITY - 1e-12)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], names=["a", "b", "linked"])
 
 
+def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose registers agree often enough to be worth verifying."""
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for i in (2, 3))
+        share = (a == b).mean(axis=1) if len(a) else np.zeros(0)
+        yield batch.select(["a", "b"]).filter(pa.array((share - 1 / 256) / (1 - 1 / 256) >= LIKELY))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (least doc_id of its class) for every document."""
-    described = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_describe, "doc_id long, node binary, size long, bands array<long>"), "described")
-    nodes = written(described.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size"), F.max("bands").alias("bands")), "nodes")
-    buckets = nodes.where("size > 0").select("node", "size", "doc_id", F.posexplode("bands").alias("band", "key"))
-    crowded = buckets.groupBy("band", "key").agg(F.count("*").alias("members")).where("members > 1")
-    buckets = written(buckets.join(crowded, ["band", "key"]), "buckets")
-    wanted = buckets.select("doc_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").select("text")
+    described = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_describe, "doc_id long, node binary, size long, bands array<long>, sketch binary"), "described")
+    same = [F.first(c).alias(c) for c in ("size", "bands", "sketch")]  # equal in all rows of a node
+    nodes = written(described.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *same), "nodes")
+    exploded = nodes.where("size > 0").select("node", F.posexplode("bands").alias("band", "value"))
+    keyed = exploded.select(F.xxhash64("band", "value").alias("key"), "node")
+    crowded = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    buckets = written(keyed.join(crowded, "key"), "buckets")
+    degrees = buckets.groupBy("node").agg(F.sum("members").alias("degree"))
+    facts = written(degrees.join(nodes.select("node", "size", "doc_id", "sketch"), "node"), "crowded-nodes")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(facts.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
     spelled = written(texts.mapInArrow(_spell, "node binary, keys binary, counts binary").dropDuplicates(["node"]), "spelled")
 
     links = tested = None
-    known = buckets.select("node").distinct().withColumn("component", F.col("node"))
+    known = facts.select("node", F.col("node").alias("component"))
     for turn in range(MAX_ROUNDS):
-        pairs = _pairs(buckets, known, turn)
+        pairs = _pairs(buckets, facts.drop("sketch", "doc_id").join(known, "node"), turn)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        one = spelled.select(F.col("node").alias("a"), F.col("keys").alias("keys_a"), F.col("counts").alias("counts_a"))
-        two = spelled.select(F.col("node").alias("b"), F.col("keys").alias("keys_b"), F.col("counts").alias("counts_b"))
-        joined = pairs.join(one, "a").join(two, "b").select("a", "b", "keys_a", "counts_a", "keys_b", "counts_b")
-        result = written(joined.mapInArrow(_verify, "a binary, b binary, linked boolean"), "tested")
+        sketches = facts.select("node", "sketch")
+        both = pairs.join(sketches.toDF("a", "sketch_a"), "a").join(sketches.toDF("b", "sketch_b"), "b")
+        likely = both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_agree, "a binary, b binary")
+        joined = likely.join(spelled.toDF("a", "keys_a", "counts_a"), "a").join(spelled.toDF("b", "keys_b", "counts_b"), "b")
+        checked = joined.select("a", "b", "keys_a", "counts_a", "keys_b", "counts_b").mapInArrow(_verify, "a binary, b binary, linked boolean")
+        result = written(checked, "tested")
         found = result.where("linked").select("a", "b")
-        if found.isEmpty() and turn:
+        if turn and found.isEmpty():
             break
         tested = result.select("a", "b") if tested is None else tested.unionByName(result.select("a", "b"))
+        # links of this round join the components of the last one
         links = found if links is None else links.unionByName(found)
-        known = written(components(links), "components")
-        known = buckets.select("node").distinct().join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = described.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        grouped = written(components(links), "components")
+        known = facts.select("node").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = described.select("doc_id", "node").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     return named.select("doc_id", "component").join(least, "component").select("doc_id", "class_id")
 
 
-def _pairs(buckets: DataFrame, known: DataFrame, turn: int) -> DataFrame:
+def _pairs(buckets: DataFrame, placed: DataFrame, turn: int) -> DataFrame:
     """Pairs (a > b) of nodes in one bucket and different components: each member with its bucket's centre.
 
-    The first round takes the same order of nodes in every band, so that a group meets in few centres;
-    later rounds take another one in each band. Small buckets give all their pairs from the second round on.
+    The first round's centre is the node of greatest degree; later rounds take any, another in each bucket.
+    Small buckets give all their pairs from the second round on.
     """
-    placed = buckets.select("band", "key", "node", "size", "members").join(known, "node")
-    salt = [F.lit(turn), *([F.col("band")] if turn else [])]
-    ranked = F.xxhash64("node", *salt)
-    open_buckets = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("node", "size", "component"), F.struct(ranked, F.col("node"))).alias("centre")).where("lo <> hi")
-    paired = placed.join(open_buckets.select("band", "key", "centre"), ["band", "key"])
+    filed = buckets.join(placed, "node")
+    rank = F.struct("degree", F.xxhash64("node"), "node") if turn == 0 else F.struct(F.xxhash64("node", "key", F.lit(turn)), F.col("node"))
+    open_buckets = filed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max_by(F.struct("node", "size", "component"), rank).alias("centre")).where("lo <> hi")
     other = F.col("centre")
-    paired = paired.select("node", "size", "component", other["node"].alias("other"), other["size"].alias("other_size"), other["component"].alias("other_component"))
+    paired = filed.join(open_buckets.select("key", "centre"), "key").select("node", "size", "component", other["node"].alias("other"), other["size"].alias("other_size"), other["component"].alias("other_component"))
     if turn:
-        small = placed.where(F.col("members") <= SMALL)
-        left = small.select("band", "key", "node", "size", "component")
-        right = small.select("band", "key", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("component").alias("other_component"))
-        paired = paired.unionByName(left.join(right, ["band", "key"]).drop("band", "key"))
+        small = filed.where(F.col("members") <= SMALL)
+        left = small.select("key", "node", "size", "component")
+        right = small.select("key", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("component").alias("other_component"))
+        paired = paired.unionByName(left.join(right, "key").drop("key"))
     fits = (F.col("component") != F.col("other_component")) & (F.least("size", "other_size") >= F.lit(SIMILARITY) * F.greatest("size", "other_size"))
     return paired.where(fits).select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
 
