@@ -42,7 +42,7 @@ def main() -> None:
     spark = build_session(
         "bench",
         f"local[{cpus}]",
-        spark__driver__memory=os.environ.get("BENCH_MEMORY", "20g"),
+        spark__driver__memory=os.environ.get("BENCH_MEMORY", "12g"),
         spark__sql__shuffle__partitions=cpus,
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",

@@ -37,26 +37,3 @@ def closure(child_of: DataFrame, roots: DataFrame, max_levels: int | None = None
             break
         reached = reached.unionByName(level)
     return reached
-
-
-def closure_recursive(child_of: DataFrame, roots: DataFrame, max_levels: int = 100) -> DataFrame:
-    """The same set by one recursive query: no staged levels, for shallow trees.
-
-    The session's recursion row limit applies (it raises, it does not cut), so the
-    staged form above is the one for large trees.
-    """
-    spark = child_of.sparkSession
-    return spark.sql(
-        f"""
-        WITH RECURSIVE walk(rootId, categoryId, depth, path) MAX RECURSION LEVEL {max_levels} AS (
-            SELECT categoryId, categoryId, 0, array(categoryId) FROM {{roots}}
-            UNION ALL
-            SELECT w.rootId, e.childId, w.depth + 1, array_append(w.path, e.childId)
-            FROM walk w JOIN {{edges}} e ON e.parentId = w.categoryId
-            WHERE NOT array_contains(w.path, e.childId)
-        )
-        SELECT rootId, categoryId, min(depth) AS depth FROM walk GROUP BY rootId, categoryId
-        """,
-        roots=roots.select("categoryId").distinct(),
-        edges=child_of.select("childId", "parentId").distinct(),
-    )

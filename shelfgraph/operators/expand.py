@@ -18,11 +18,11 @@ def collated(name: str, collation: str | None) -> Column:
     return F.collate(name, collation) if collation else F.col(name)
 
 
-def product_brands(graph: CatalogGraph) -> DataFrame:
+def product_brands(graph: CatalogGraph, made_by: DataFrame | None = None) -> DataFrame:
     """(productId, brandId, brandName): edge and node joined first, so that an
-    optional expand never yields a brand id without its name."""
+    optional expand never yields a brand id without its name. made_by: only these edges."""
     named = graph.brand.select("brandId", F.col("name").alias("brandName"))
-    return graph.made_by.join(named, "brandId").select("productId", "brandId", "brandName")
+    return (graph.made_by if made_by is None else made_by).join(named, "brandId").select("productId", "brandId", "brandName")
 
 
 def with_brand(products: DataFrame, graph: CatalogGraph) -> DataFrame:

@@ -34,9 +34,9 @@ from .skew import hot_keys, split_join
 TOP_K = 20
 CUTOFF = 0.5
 
-# Scores are kept to this many decimals before they are ranked, which is the
-# precision of single-precision cosines, so summation order cannot flip a tie.
-SCORE_DECIMALS = 6
+# Scores are cut and ranked on this many decimals: finer than any threshold, and coarser than what
+# the order of summation can change.
+SCORE_DECIMALS = 9
 
 MAX_PIVOTS = 4096  # bounds what the driver and each task hold: 8 MB at 256 dimensions
 CELL_ROWS = 1024  # wanted rows per cell while MAX_PIVOTS allows it

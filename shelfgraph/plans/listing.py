@@ -53,6 +53,7 @@ def products_by_category(graph: CatalogGraph, category_id: int, page: int = 1, p
 
 def category_product_pages(graph: CatalogGraph, page_size: int = 20) -> DataFrame:
     """Every page of every category at once."""
+    _, page_size = normalize(1, page_size)
     order = [*by_name("productName", "productId"), F.asc_nulls_last("brandId")]
     placed = sliced_positions(category_product_rows(graph), ["listedCategoryId"], order).drop("total")
     totals = graph.belongs_to.groupBy(F.col("categoryId").alias("listedCategoryId")).agg(
@@ -211,6 +212,7 @@ def related_pages(graph: CatalogGraph, page: int = 1, page_size: int = 20) -> Da
     among the first n + 1 products (one may be itself) of each of its categories.
     So a membership meets one bounded list instead of its whole category.
     """
+    page, page_size = normalize(page, page_size)
     need = page * page_size
     named = graph.product.select("productId", "productName", "productDescription", "categoryId")
     listed = stage(members(graph), "members").withColumnRenamed("categoryId", "_shared")

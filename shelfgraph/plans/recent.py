@@ -23,8 +23,9 @@ def recent_items(views: DataFrame, keep: int = MAX_RECENT) -> DataFrame:
 
     Viewing an item again only moves it to the front, so its last view decides. Both
     steps combine before their shuffles: a user with a third of all events sends at most
-    one row per item and then `keep` rows per task.
+    one row per item and then `keep` rows per task. Views without an item or a time are dropped.
     """
+    views = views.where(F.col("productId").isNotNull() & F.col("viewed_at").isNotNull())
     last = views.groupBy("user_id", "productId").agg(F.max("viewed_at").alias("viewed_at"))
     kept = first_per_key(last, ["user_id"], newest_first(), keep)
     position = F.row_number().over(W.partitionBy("user_id").orderBy(*newest_first()))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paging import has_more, page_of_position, total_pages
+from ..functions.paging import has_more, normalize, page_of_position, total_pages
 from ..functions.text import serving_key
 from ..sources.schema import CatalogGraph
 from .suggest import MIN_SIMILARITY, SCORED_COLUMNS, all_recommendations
@@ -39,6 +39,7 @@ def recommendation_pages(
     A product without suggestions has one empty page, as its lookup would return.
     Items per group are bounded by the page size.
     """
+    _, page_size = normalize(1, page_size)
     rows = all_recommendations(graph, similar_to, min_score).withColumn(
         "page", page_of_position(F.col("position"), page_size)
     )

@@ -93,6 +93,6 @@ def score_summary(edges: DataFrame) -> DataFrame:
         F.round(F.max("score"), 6).alias("maxScore"),
         F.round(F.avg("score"), 6).alias("meanScore"),
         F.round(F.stddev_pop("score"), 6).alias("stdDev"),
-        # Exact percentiles keep one counter per distinct score, and scores have six decimals.
-        *[F.round(F.percentile("score", p / 100), 6).alias(f"p{p}") for p in (50, 90, 99)],
+        # Exact percentiles keep one counter per distinct value, so they are taken of six decimals.
+        *[F.round(F.percentile(F.round("score", 6), p / 100), 6).alias(f"p{p}") for p in (50, 90, 99)],
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paging import Page, normalize, one_page
 from ..operators.expand import product_brands
+from ..operators.skew import hot_keys, split_join
 from ..sources.schema import CatalogGraph
 
 # Fixed value of the public contract: the score, bonus included, from which an edge is served.
@@ -23,17 +24,30 @@ def served_edges(similar_to: DataFrame, min_score: float = MIN_SIMILARITY) -> Da
     return similar_to.where(F.col("score") >= min_score)
 
 
-def scored_rows(graph: CatalogGraph, edges: DataFrame) -> DataFrame:
+def scored_rows(graph: CatalogGraph, edges: DataFrame, few: bool = False) -> DataFrame:
     """(sourceId, scored product columns): each edge with its target product and optional brand.
 
-    Products meet their brands before they meet the edges, so a row is widened once per
-    product and a popular target's record is not joined to brands once per edge.
+    few: the edges are those of one product, at most k, and travel to the products; no product
+    or brand edge is shuffled. Otherwise a target that many products point to is met by a broadcast of its
+    record (at most HOT_SHARE such targets), and the other targets by a balanced join.
     """
-    target = (
-        graph.product.select("productId", "productName", "productDescription")
-        .join(product_brands(graph), "productId", "left")
-    )
-    return edges.join(target, edges.targetId == target.productId).select(
+    plain = graph.product.select(F.col("productId").alias("targetId"), "productName", "productDescription")
+    if few:
+        wanted = F.broadcast(edges.select("targetId").distinct())
+        made_by = graph.made_by.join(wanted, graph.made_by.productId == wanted.targetId, "left_semi")
+        brands = product_brands(graph, made_by).withColumnRenamed("productId", "targetId")
+        joined = plain.join(F.broadcast(edges), "targetId").join(F.broadcast(brands), "targetId", "left")
+    else:
+        counts = edges.groupBy("targetId").agg(F.count("*").alias("n"))
+        hot = hot_keys(counts, "targetId", edges.count())
+        named = split_join(edges, plain, "targetId", hot)
+        # one row per target, so that a target of several brands stays one row on either side of the join
+        brands = product_brands(graph).groupBy(F.col("productId").alias("targetId")).agg(
+            F.collect_list(F.struct("brandId", "brandName")).alias("_brands")
+        )
+        listed = split_join(named, brands, "targetId", hot, "left")
+        joined = listed.withColumn("_brand", F.explode_outer("_brands")).select("*", "_brand.brandId", "_brand.brandName")
+    return joined.withColumn("productId", F.col("targetId")).select(
         "sourceId",
         "productId",
         "productName",
@@ -56,7 +70,7 @@ def recommendations(
     """Suggestions for one product. Only out-edges count: similarity is directed."""
     page, page_size = normalize(page, page_size)
     edges = served_edges(similar_to, min_score).where(F.col("sourceId") == product_id)
-    rows = scored_rows(graph, edges).select(*SCORED_COLUMNS).orderBy(*best_first())
+    rows = scored_rows(graph, edges, few=True).select(*SCORED_COLUMNS).orderBy(*best_first())
     return Page(one_page(rows, page, page_size), edges.count(), page, page_size)
 
 

@@ -16,12 +16,10 @@ from .schema import CatalogGraph
 # Category numbers by noun and by part type, alphabetical.
 NOUNS = ["anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget"]
 TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-SEGMENTS = {
-    1: ("Hardware", ["anvil", "bolt", "gear", "rod"]),
-    2: ("Gadgets", ["gizmo", "widget"]),
-    3: ("Parts", ["plate", "ring"]),
-    4: ("Empty", []),
-}
+# Segments are the rows of the region table; which nouns each holds. A region without nouns is an empty segment.
+SEGMENT_NOUNS = {0: ["gizmo", "widget"], 1: ["anvil", "bolt", "gear", "rod"], 2: ["plate", "ring"]}
+
+REGION_SCHEMA = T.StructType([T.StructField("r_regionkey", T.IntegerType()), T.StructField("r_name", T.StringType())])
 
 PART_SCHEMA = T.StructType(
     [
@@ -53,8 +51,7 @@ def _index_of(value: Column, names: list[str]) -> Column:
     return F.array_position(F.array(*[F.lit(n) for n in names]), value).cast("bigint")
 
 
-def bind_parts(part: DataFrame) -> CatalogGraph:
-    spark = part.sparkSession
+def bind_parts(part: DataFrame, region: DataFrame) -> CatalogGraph:
     noun = F.element_at(F.split("p_name", " "), 2)
     noun_id = _index_of(noun, NOUNS)
     type_code = noun_id * 100 + _index_of(F.col("p_type"), TYPES)
@@ -126,11 +123,8 @@ def bind_parts(part: DataFrame) -> CatalogGraph:
         .distinct()
         .withColumns({"created_at": _no_time(), "updated_at": _no_time()})
     )
-    rows = ", ".join(f"({key}L, '{name}')" for key, (name, _) in SEGMENTS.items())
-    segment = spark.sql(f"SELECT * FROM VALUES {rows} AS s(segmentId, segmentName)")
-    by_noun = F.create_map(
-        *[F.lit(x) for key, (_, nouns) in SEGMENTS.items() for n in nouns for x in (n, key)]
-    )
+    segment = region.select(F.col("r_regionkey").cast("bigint").alias("segmentId"), F.col("r_name").alias("segmentName"))
+    by_noun = F.create_map(*[F.lit(x) for key, nouns in SEGMENT_NOUNS.items() for n in nouns for x in (n, key)])
     in_segment = category.where(F.col("categoryId") < 1000).select(
         "categoryId",
         F.try_element_at(by_noun, F.element_at(F.split("categoryName", "/"), 1)).cast("bigint").alias("segmentId"),
@@ -158,4 +152,5 @@ def read_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bind_folder(spark: SparkSession, folder: str) -> CatalogGraph:
-    return bind_parts(read_part(spark, folder))
+    region = spark.read.schema(REGION_SCHEMA).parquet(f"{folder}/region.parquet")
+    return bind_parts(read_part(spark, folder), region)

@@ -7,9 +7,10 @@ edges (embedding and brute-force neighbours spelled out), and the query itself.
 from __future__ import annotations
 
 from ..operators.embedding import DIMENSION, ITERATION_WEIGHTS, SEED
+from ..operators.neighbours import SCORE_DECIMALS
 from ..plans.serving import TTL_MINUTES
-from ..sources.binding import NOUNS, SEGMENTS, TYPES
-from .registry import CATEGORY, EMBEDDING_DIMENSION, PRODUCT, SEGMENT, TERM, VECTOR_CUTOFF
+from ..sources.binding import NOUNS, SEGMENT_NOUNS, TYPES
+from .registry import CATEGORY, PRODUCT, SEGMENT, TERM, VECTOR_CUTOFF
 
 
 def _names(values: list[str]) -> str:
@@ -17,7 +18,7 @@ def _names(values: list[str]) -> str:
 
 
 _SEGMENT_OF = " ".join(
-    f"WHEN noun IN ({', '.join(repr(n) for n in nouns)}) THEN {key}" for key, (_, nouns) in SEGMENTS.items() if nouns
+    f"WHEN noun IN ({', '.join(repr(n) for n in nouns)}) THEN {key}" for key, nouns in SEGMENT_NOUNS.items()
 )
 
 GRAPH = f"""
@@ -51,7 +52,7 @@ held AS (
     UNION ALL SELECT productId, 4, 'PriceBand', CAST(CAST(floor(p_retailprice / 100) AS BIGINT) AS VARCHAR) FROM leaves WHERE productId % 23 <> 0),
 parameter AS (SELECT DISTINCT parameterId, parameterName, value FROM held),
 has_parameter AS (SELECT productId, parameterId, value FROM held),
-segment AS (SELECT * FROM (VALUES {', '.join(f"(CAST({k} AS BIGINT), '{n}')" for k, (n, _) in SEGMENTS.items())}) s(segmentId, segmentName)),
+segment AS (SELECT CAST(r_regionkey AS BIGINT) AS segmentId, r_name AS segmentName FROM region),
 in_segment AS (SELECT categoryId, CAST(CASE {_SEGMENT_OF} END AS BIGINT) AS segmentId FROM category WHERE categoryId < 1000),
 branded AS (SELECT m.productId, b.brandId, b.name AS brandName FROM made_by m JOIN brand b USING (brandId)),
 product_rows AS (
@@ -118,7 +119,7 @@ def _neighbours(vectors: str, cutoff: float) -> str:
     return f"""
 unit AS MATERIALIZED ({vectors}),
 scored AS (
-    SELECT a.id AS sourceId, b.id AS targetId, round(list_cosine_similarity(a.e, b.e), 6) AS score
+    SELECT a.id AS sourceId, b.id AS targetId, round(list_cosine_similarity(a.e, b.e), {SCORE_DECIMALS}) AS score
     FROM unit a JOIN unit b ON a.id <> b.id),
 near AS MATERIALIZED (
     SELECT sourceId, targetId, score FROM scored WHERE score >= {cutoff}
@@ -280,7 +281,7 @@ def statements() -> dict[str, str]:
     distribution = similar + """
         SELECT count(*) AS relationshipsWritten, count(DISTINCT sourceId) AS sources, round(min(score), 6) AS minScore,
                round(max(score), 6) AS maxScore, round(avg(score), 6) AS meanScore, round(stddev_pop(score), 6) AS stdDev,
-               round(quantile_cont(score, 0.5), 6) AS p50, round(quantile_cont(score, 0.9), 6) AS p90, round(quantile_cont(score, 0.99), 6) AS p99
+               round(quantile_cont(round(score, 6), 0.5), 6) AS p50, round(quantile_cont(round(score, 6), 0.9), 6) AS p90, round(quantile_cont(round(score, 6), 0.99), 6) AS p99
         FROM similar_to"""
     return {
         # scans, projection, checks
@@ -354,7 +355,6 @@ def statements() -> dict[str, str]:
         "category_roots": g + "SELECT * FROM roots",
         "category_roots_page": g + "SELECT * FROM roots ORDER BY categoryName, categoryId LIMIT 3 OFFSET 3",
         "category_closure": closure + "SELECT rootId, categoryId, min(depth) AS depth FROM walk GROUP BY 1, 2",
-        "category_closure_recursive": closure + "SELECT rootId, categoryId, min(depth) AS depth FROM walk GROUP BY 1, 2",
         "category_flat": g + "SELECT * FROM flat",
         "category_flat_tree": closure + """
             SELECT w.rootId, w.depth, f.* FROM walk w JOIN flat f USING (categoryId) WHERE w.rootId IN (SELECT categoryId FROM roots)""",
@@ -374,9 +374,9 @@ def statements() -> dict[str, str]:
         "global_search": _with(GRAPH, _search(f"SELECT '{TERM}' AS term", 15)) + "SELECT * EXCLUDE (term) FROM top",
         "search_bulk": _with(GRAPH, TERMS, _search("SELECT term FROM terms WHERE length(term) >= 2", 5)) + "SELECT * FROM top",
         # embeddings, neighbours, similarity build
-        "fastrp_step": _with(GRAPH, _propagations(16, 1))
+        "fastrp_step": _with(GRAPH, _propagations(DIMENSION, 1))
         + "SELECT z.node_key, CAST(z.d AS BIGINT) AS dim, round(coalesce(h.v, 0.0), 6) + 0.0 AS value FROM h0 z LEFT JOIN h1 h ON h.node_key = z.node_key AND h.d = z.d",
-        "fastrp_embedding": _with(GRAPH, _embedding(EMBEDDING_DIMENSION, ITERATION_WEIGHTS))
+        "fastrp_embedding": _with(GRAPH, _embedding(DIMENSION, ITERATION_WEIGHTS))
         + "SELECT z.node_key, CAST(z.d AS BIGINT) AS dim, round(coalesce(h.v, 0.0), 6) + 0.0 AS value FROM h0 z LEFT JOIN embedded h ON h.node_key = z.node_key AND h.d = z.d",
         "knn_topk": _with(NEAR_VECTORS) + f"SELECT {edge_columns} FROM near",
         "knn_filtered": _with(GRAPH, NEAR_PRODUCTS) + f"SELECT {edge_columns} FROM near",
@@ -409,7 +409,7 @@ def statements() -> dict[str, str]:
         "page_cache_lookup": served + """
             SELECT a.cache_key, s.cache_key IS NOT NULL AS hit
             FROM (SELECT DISTINCT 'recs:' || json_extract_string(props, '$.k') || ':1:10' AS cache_key FROM events) a
-            LEFT JOIN serving s ON s.cache_key = a.cache_key AND s.expires_at > TIMESTAMP '2024-01-30 23:30:00'""",
+            LEFT JOIN serving s ON s.cache_key = a.cache_key AND s.expires_at > (SELECT max(ts) FROM events)""",
         "page_cache_invalidate": served + """
             SELECT cache_key, product_id FROM serving WHERE product_id NOT IN (
                 SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) FROM events WHERE event_type = 'purchase')""",

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paging, text
-from ..operators.closure import closure, closure_recursive
+from ..operators.closure import closure
 from ..operators.embedding import fastrp
 from ..operators.expand import brand_product_counts, by_name, product_rows, with_brand
 from ..operators.neighbours import knn
@@ -30,7 +30,6 @@ from ..streaming import recent as recent_stream
 
 # Keys of the point lookups.
 PRODUCT, CATEGORY, SEGMENT, TERM = 8, 101, 1, "bol"
-EMBEDDING_DIMENSION = 64  # of the embedding listing; the similarity build uses its full dimension
 VECTOR_CUTOFF = 0.2  # the ready-made vectors are nearly random, so few pairs reach the default
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -231,14 +230,6 @@ def category_closure(spark, folder):
     return closure(graph.child_of, graph.category.select("categoryId")).withColumn("depth", F.col("depth").cast("bigint"))
 
 
-@query
-def category_closure_recursive(spark, folder):
-    graph = bind_folder(spark, folder)
-    return closure_recursive(graph.child_of, graph.category.select("categoryId")).withColumn(
-        "depth", F.col("depth").cast("bigint")
-    )
-
-
 @query
 def category_flat(spark, folder):
     return taxonomy.flat_categories(bind_folder(spark, folder))
@@ -324,13 +315,13 @@ def _long_vectors(vectors: DataFrame) -> DataFrame:
 @query
 def fastrp_step(spark, folder):
     nodes, edges = project_graph(bind_folder(spark, folder))
-    return _long_vectors(fastrp(nodes, edges, dimension=16, iteration_weights=(1.0,)))
+    return _long_vectors(fastrp(nodes, edges, iteration_weights=(1.0,)))
 
 
 @query
 def fastrp_embedding(spark, folder):
     nodes, edges = project_graph(bind_folder(spark, folder))
-    return _long_vectors(fastrp(nodes, edges, dimension=EMBEDDING_DIMENSION))
+    return _long_vectors(fastrp(nodes, edges))
 
 
 @query
@@ -467,7 +458,7 @@ def page_cache_lookup(spark, folder):
     asked = read_events(spark, folder).select(
         F.concat_ws(":", F.lit("recs"), F.get_json_object("props", "$.k"), F.lit("1"), F.lit("10")).alias("cache_key")
     ).distinct()
-    as_of = F.lit("2024-01-30 23:30:00").cast("timestamp")
+    as_of = F.lit(read_events(spark, folder).agg(F.max("ts").alias("at")).first()["at"]).cast("timestamp")
     return serving.look_up(asked, _serving_table(spark, folder), as_of).select("cache_key", "hit")
 
 

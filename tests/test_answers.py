@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as contract
 from compare import connect, differences
+from shelfgraph.verification import oracle, registry
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -17,12 +18,16 @@ APPROXIMATE = {"knn_lsh"}  # no exact answer to compare with; its recall is test
 
 
 def test_every_exact_query_has_an_answer():
-    assert set(contract.oracle_sql()) == set(contract.queries()) - APPROXIMATE
+    assert set(oracle.statements()) == set(registry.QUERIES) - APPROXIMATE
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - APPROXIMATE))
+def test_the_contract_offers_every_query():
+    assert set(registry.QUERIES) <= set(contract.queries()) and set(oracle.statements()) <= set(contract.oracle_sql())
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - APPROXIMATE))
 def test_answer(spark, engine, name):
-    assert differences(contract.queries()[name](spark, FOLDER), engine, contract.oracle_sql()[name]) == []
+    assert differences(registry.QUERIES[name](spark, FOLDER), engine, oracle.statements()[name]) == []
 
 
 def test_flagship_has_rows(spark):

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from shelfgraph.operators.closure import closure, closure_recursive
+from shelfgraph.operators.closure import closure
 from shelfgraph.plans import taxonomy
 
 FLAT = "categoryId long, categoryName string, parentCategoryId long, segmentId long, segmentName string"
@@ -16,50 +16,50 @@ def build(spark, rows, roots):
     return [json.loads(r.tree) for r in trees.collect()]
 
 
-def test_hierarchy_nests_children(spark):
-    [root] = build(spark, [(1, "Electronics", None, 1, "Tech"), (2, "Phones", 1, 1, "Tech"), (3, "Laptops", 1, 1, "Tech"), (4, "Smartphones", 2, 1, "Tech")], [1])
-    assert [c["categoryName"] for c in root["subCategories"]] == ["Laptops", "Phones"]
-    assert root["catalogSegmentName"] == "Tech"
-    assert list(root) == ["categoryId", "categoryName", "parentCategoryId", "catalogSegmentId", "catalogSegmentName", "subCategories"]
+ORCHARD = [
+    (40, "Orchard", None, 3, "Outdoor"), (41, "Pear", 40, 3, "Outdoor"), (43, "Apple", 40), (42, "Apple", 40),
+    (51, "Crates", 43), (52, "Baskets", 43), (53, "Lids", 52), (54, "Handles", 53), (60, "Barn", None, 7, "Indoor"),
+]
 
 
-def test_children_sorted_by_name(spark):
-    [root] = build(spark, [(1, "Root"), (2, "Zebra", 1), (3, "Apple", 1), (4, "Mango", 1)], [1])
-    assert [c["categoryName"] for c in root["subCategories"]] == ["Apple", "Mango", "Zebra"]
+def names(tree):
+    return [(c["categoryId"], c["categoryName"]) for c in tree["subCategories"] or []]
+
+
+def test_trees_nest_sort_by_name_then_id_and_keep_their_fields(spark):
+    barn, orchard = build(spark, ORCHARD, [40, 60])
+    assert barn["categoryName"] == "Barn" and barn["subCategories"] is None
+    assert names(orchard) == [(42, "Apple"), (43, "Apple"), (41, "Pear")]
+    assert list(orchard) == ["categoryId", "categoryName", "parentCategoryId", "catalogSegmentId", "catalogSegmentName", "subCategories"]
+    assert (orchard["catalogSegmentId"], orchard["catalogSegmentName"]) == (3, "Outdoor")
+    plain, full, pear = orchard["subCategories"]
+    assert plain["subCategories"] is None and pear["subCategories"] is None and plain["catalogSegmentName"] is None
+    assert names(full) == [(52, "Baskets"), (51, "Crates")]
+
+
+def test_a_tree_is_as_deep_as_its_data(spark):
+    [node] = build(spark, ORCHARD, [43])
+    path = []
+    while node:
+        path.append(node["categoryId"])
+        node = node["subCategories"][0] if node["subCategories"] else None
+    assert path == [43, 52, 53, 54]
 
 
 def test_children_sorted_by_collation(spark):
-    rows = [(1, "Root"), (2, "laptops", 1), (3, "Electronics", 1), (4, "Phones", 1), (5, "Smart", 1)]
+    rows = [(9, "Attic"), (3, "lamps", 9), (4, "Easels", 9), (5, "Pens", 9), (6, "Stools", 9)]
     flat = spark.createDataFrame([tuple(r) + (None,) * (5 - len(r)) for r in rows], FLAT)
-    ids = spark.createDataFrame([(1,)], "categoryId long")
+    ids = spark.createDataFrame([(9,)], "categoryId long")
     order = {}
     for collation in (None, "UNICODE"):
         tree = json.loads(taxonomy.nested_trees(flat, ids, collation).first().tree)
         order[collation] = [c["categoryName"] for c in tree["subCategories"]]
-    assert order[None] == ["Electronics", "Phones", "Smart", "laptops"]
-    assert order["UNICODE"] == ["Electronics", "laptops", "Phones", "Smart"]
-
+    assert order[None] == ["Easels", "Pens", "Stools", "lamps"]
+    assert order["UNICODE"] == ["Easels", "lamps", "Pens", "Stools"]
 
-def test_many_roots(spark):
-    got = build(spark, [(1, "Electronics", None, 1, "Tech"), (2, "Clothing", None, 2, "Fashion"), (3, "Phones", 1, 1, "Tech")], [1, 2])
-    assert [r["categoryName"] for r in got] == ["Clothing", "Electronics"]
 
-
-def test_leaf_has_null_children(spark):
-    [root] = build(spark, [(1, "Root"), (2, "Leaf", 1)], [1])
-    assert root["subCategories"][0]["subCategories"] is None
-
-
-def test_empty(spark):
-    assert build(spark, [], [1]) == []
-
-
-def test_deep(spark):
-    [node] = build(spark, [(1, "Level1"), (2, "Level2", 1), (3, "Level3", 2), (4, "Level4", 3)], [1])
-    for name in ("Level1", "Level2", "Level3", "Level4"):
-        assert node["categoryName"] == name
-        node = node["subCategories"][0] if node["subCategories"] else None
-    assert node is None
+def test_no_rows_no_trees(spark):
+    assert build(spark, [], [40]) == []
 
 
 def test_quotes_in_names_stay_valid_json(spark):
@@ -87,22 +87,21 @@ def test_closure_equals_search_and_stops_on_cycles(micro):
     edges = [tuple(r) for r in micro.child_of.collect()]
     every = micro.category.select("categoryId")
     expected = {(r.categoryId, c) for r in every.collect() for c in reachable(edges, r.categoryId)}
-    for form in (closure, closure_recursive):
-        rows = form(micro.child_of, every).collect()
-        assert len(rows) == len(expected)
-        assert {(r.rootId, r.categoryId) for r in rows} == expected
+    rows = closure(micro.child_of, every).collect()
+    assert len(rows) == len(expected)
+    assert {(r.rootId, r.categoryId) for r in rows} == expected
 
 
 def test_two_parents_and_two_segments_keep_the_least(micro):
     row = taxonomy.flat_categories(micro).where("categoryId = 5").collect()
-    assert [tuple(r) for r in row] == [(5, "Shared", 2, 1, "Tech")]
+    assert [tuple(r) for r in row] == [(5, "Shared", 2, 1, "Outdoor")]
 
 
 def test_subtree_keeps_parent_outside_it(micro):
     page = taxonomy.category_subtree(micro, 2)
     [tree] = [json.loads(r.tree) for r in page.items.collect()]
     assert tree["parentCategoryId"] == 1
-    assert [c["categoryName"] for c in tree["subCategories"]] == ["Shared", "Smartphones"]
+    assert [c["categoryName"] for c in tree["subCategories"]] == ["Shared", "Small pumps"]
     assert (page.total_count, page.page_size, page.total_pages, page.has_more) == (1, 1, 1, False)
 
 
@@ -121,7 +120,7 @@ def test_cycle_subtree_is_cut(micro):
 def test_root_pages_count_roots_and_expand_only_the_page(micro):
     page = taxonomy.category_trees(micro, 1, 2)
     trees = [json.loads(r.tree) for r in page.items.collect()]
-    assert [t["categoryName"] for t in trees] == ["Electronics", "Outside"]
+    assert [t["categoryName"] for t in trees] == ["Garden", "Outside"]
     assert (page.total_count, page.total_pages, page.has_more) == (3, 2, True)
 
 
@@ -129,8 +128,8 @@ def test_segment_roots_are_roots_in_the_segment_with_all_descendants(micro):
     page = taxonomy.segment_trees(micro, 1)
     [tree] = [json.loads(r.tree) for r in page.items.collect()]
     assert tree["categoryId"] == 1 and page.total_count == 1  # 5 and 10 are in it but are no roots
-    phones = [c for c in tree["subCategories"] if c["categoryName"] == "Phones"]
-    assert phones[0]["catalogSegmentName"] == "Fashion"
+    pumps = [c for c in tree["subCategories"] if c["categoryName"] == "Pumps"]
+    assert pumps[0]["catalogSegmentName"] == "Indoor"
 
 
 @pytest.mark.parametrize("segment", [2, 77])
