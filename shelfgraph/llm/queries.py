@@ -42,7 +42,7 @@ def op5_language(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = repeats.remove(_table(spark, folder, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -85,4 +85,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Every 50-byte string of every text, by its 64-bit hash; spans are islands of starts that lie at most 50 apart.
+REPEATS_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, unnest(range(0, length(h) // 2 - 49, 500)) AS base, h FROM d WHERE length(h) >= 100),
+p AS (SELECT doc_id, base, substr(h, 2 * base + 1, 1098) AS q FROM c),
+w AS (SELECT doc_id, base, q, unnest(range(0, length(q) // 2 - 49)) AS j FROM p),
+s AS (SELECT doc_id, base + j AS i, hash(substr(q, 2 * j + 1, 100)) AS b FROM w),
+hit AS (SELECT s.doc_id, s.i FROM s JOIN (SELECT b, min(doc_id) AS m FROM s GROUP BY b) USING (b) WHERE m < s.doc_id),
+cut AS (SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, -1) AS fresh FROM hit),
+numbered AS (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM cut),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM numbered GROUP BY doc_id, k),
+piece AS (
+    SELECT doc_id, coalesce(lag(z) OVER o, 0) AS a, a AS z FROM span WINDOW o AS (PARTITION BY doc_id ORDER BY a)
+    UNION ALL SELECT doc_id, coalesce(max(z), 0), NULL FROM d LEFT JOIN span USING (doc_id) GROUP BY doc_id),
+kept AS (
+    SELECT doc_id, string_agg(substr(h, 2 * p.a + 1, coalesce(2 * (p.z - p.a), length(h))), '' ORDER BY p.a, p.z NULLS LAST) AS k
+    FROM piece p JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST((length(h) - length(k)) // 2 AS BIGINT) AS n_removed,
+       CAST((SELECT count(*) FROM span WHERE span.doc_id = d.doc_id) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (doc_id)
+"""
+
+#: Components of pairs whose multisets of five-word shingles overlap by 0.8, by exact comparison.
+NEAR_SQL = """
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM documents),
+shingle AS (
+    SELECT doc_id, array_to_string(w[i : i + 4], ' ') AS s, count(*) AS n
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM words WHERE len(w) > 0) GROUP BY 1, 2),
+size AS (SELECT doc_id, sum(n) AS total FROM shingle GROUP BY 1),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.n, b.n)) AS shared FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id > b.doc_id GROUP BY 1, 2),
+link AS (
+    SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE shared >= 0.8 * (x.total + y.total - shared) - 1e-9
+    UNION ALL SELECT a.doc_id, b.doc_id FROM words a JOIN words b ON len(a.w) = 0 AND len(b.w) = 0 AND a.doc_id > b.doc_id),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, e.b FROM reach r JOIN edge e ON e.a = r.other)
+SELECT doc_id, min(other) AS class_id FROM reach GROUP BY doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_suffix_dedup": REPEATS_SQL, "op6_near_dedup": NEAR_SQL}
