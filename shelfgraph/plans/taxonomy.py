@@ -153,8 +153,7 @@ def category_trees(
     """A page of root trees. Roots are cut first and only those are expanded."""
     page, page_size = normalize(page, page_size)
     flat = stage(flat_categories(graph), "flat")
-    # Edges have both ends, so a category without a parent edge is one without a parent here.
-    every = flat.where(F.col("parentCategoryId").isNull())
+    every = stage(roots(graph), "roots")
     return Page(_tree_page(flat, roots_page(every, page, page_size), collation), every.count(), page, page_size)
 
 
@@ -170,9 +169,25 @@ def segment_trees(
 
 
 def category_subtree(graph: CatalogGraph, category_id: int) -> Page:
-    """One category's tree; an unknown id gives an empty page."""
-    flat = stage(flat_categories(graph), "flat")
-    tree = _tree_page(flat, flat.where(F.col("categoryId") == category_id))
-    found = flat.where(F.col("categoryId") == category_id).count()
-    return Page(tree, found, 1, found)
+    """One category's tree; an unknown id gives an empty page.
 
+    Only what lies below the category is read on. A category below it with several parents hangs on the least
+    of those inside the subtree; the category itself keeps its own parent.
+    """
+    asked = graph.category.where(F.col("categoryId") == category_id).select("categoryId")
+    reached = stage(closure(graph.child_of, asked).select("categoryId").distinct(), "reached")
+    inside = (
+        graph.child_of.join(reached.select(F.col("categoryId").alias("parentId")), "parentId", "left_semi")
+        .groupBy(F.col("childId").alias("categoryId"))
+        .agg(F.min("parentId").alias("_inside"))
+    )
+    own = F.when(F.col("categoryId") == category_id, F.col("parentCategoryId"))
+    flat = (
+        flat_categories(graph)
+        .join(reached, "categoryId", "left_semi")
+        .join(inside, "categoryId", "left")
+        .withColumn("parentCategoryId", own.otherwise(F.col("_inside")))
+    )
+    flat = stage(flat.select(*FLAT_COLUMNS), "flat")
+    found = flat.where(F.col("categoryId") == category_id).count()
+    return Page(_tree_page(flat, flat.where(F.col("categoryId") == category_id)), found, 1, found)

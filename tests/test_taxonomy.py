@@ -105,6 +105,11 @@ def test_subtree_keeps_parent_outside_it(micro):
     assert (page.total_count, page.page_size, page.total_pages, page.has_more) == (1, 1, 1, False)
 
 
+def test_subtree_holds_children_whose_least_parent_lies_outside(micro):
+    [tree] = [json.loads(r.tree) for r in taxonomy.category_subtree(micro, 3).items.collect()]
+    assert names(tree) == [(5, "Shared")]
+
+
 def test_unknown_subtree_is_an_empty_page(micro):
     page = taxonomy.category_subtree(micro, 999)
     assert page.items.collect() == []
