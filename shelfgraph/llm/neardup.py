@@ -36,7 +36,7 @@ SIMILARITY = 0.8
 BANDS = 30
 ROWS = 5
 SMALL = 6  # buckets of so many nodes are tested pair by pair
-MAX_ROUNDS = 3
+MAX_ROUNDS = 2
 #: Least share of agreeing registers of a pair that is worth verifying: six deviations below 0.8.
 LIKELY = 0.6
 
@@ -154,8 +154,8 @@ def classes(docs: DataFrame) -> DataFrame:
         if turn and found.isEmpty():
             break
         tested = result.select("a", "b") if tested is None else tested.unionByName(result.select("a", "b"))
-        # links of this round join the components of the last one
-        links = found if links is None else links.unionByName(found)
+        # links of this round join the components of the last one, which are stars round their least node
+        links = found if links is None else found.unionByName(grouped.where("node <> component").toDF("a", "b"))
         grouped = written(components(links), "components")
         known = facts.select("node").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = described.select("doc_id", "node").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
