@@ -37,6 +37,7 @@ BANDS = 30
 ROWS = 5
 SMALL = 6  # buckets of so many nodes are tested pair by pair
 MAX_ROUNDS = 2
+BROADCAST_IDS = 4_000_000  # ids of crowded nodes that a task holds at most (32 MB); more are joined by shuffle
 #: Least share of agreeing registers of a pair that is worth verifying: six deviations below 0.8.
 LIKELY = 0.6
 
@@ -135,7 +136,10 @@ def classes(docs: DataFrame) -> DataFrame:
     buckets = written(keyed.join(crowded, "key"), "buckets")
     degrees = buckets.groupBy("node").agg(F.sum("members").alias("degree"))
     facts = written(degrees.join(nodes.select("node", "size", "doc_id", "sketch"), "node"), "crowded-nodes")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(facts.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    wanted = facts.select("doc_id").distinct()
+    # a counted, bounded list of ids goes to the texts; otherwise both are shuffled
+    wanted = F.broadcast(wanted) if facts.count() <= BROADCAST_IDS else wanted
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").select("text")
     spelled = written(texts.mapInArrow(_spell, "node binary, keys binary, counts binary").dropDuplicates(["node"]), "spelled")
 
     links = tested = None
