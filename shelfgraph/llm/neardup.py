@@ -5,11 +5,12 @@ band of their signatures agrees. A bucket is not expanded to pairs: each member
 centre, at first the node that shares most buckets, which among edited copies is their original. Pairs
 whose registers agree far below the threshold are dropped, the others verified by multiset overlap, and
 verified links form components. Buckets whose members still lie in several components are dealt
-again, with another centre in every bucket, and small ones pair by pair, until a round finds no new link
-or MAX_ROUNDS are over. Classes are the components of verified links.
+again, with another centre in every bucket, and small ones pair by pair. What is still open then is
+finished: sketches of the nodes outside a bucket's greatest component meet all sketches of the bucket block by
+block, and the likely pairs are verified, few between the same two components at first, until no bucket
+holds an untested likely pair across components. Classes are the components of verified links.
 
-Bands of 5 registers out of 150 miss a pair of similarity 0.8 with probability 7e-6. A large bucket whose
-members are alike in pairs only, without a common original, can keep links untested after MAX_ROUNDS.
+Bands of 5 registers out of 150 miss a pair of similarity 0.8 with probability 7e-6.
 
 Defined cases: words are `[^\\x20\\x09-\\x0D]+` in lower case. A text of one to four words has one shingle,
 all its words. Texts without a word, null included, are equal to one another. Rows that repeat a
@@ -35,8 +36,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 30
 ROWS = 5
-SMALL = 6  # buckets of so many nodes are tested pair by pair
-MAX_ROUNDS = 2
+SMALL = 6  # buckets of so many nodes are tested pair by pair in the last of the rounds with a centre
+STARS = 2  # rounds with one centre in each bucket, before the pairs that these leave over
+BLOCK = 128  # nodes of a bucket that are compared with another block at once
+PORTION = 4  # pairs between two components that are verified first
 BROADCAST_IDS = 4_000_000  # ids of crowded nodes that a task holds at most (32 MB); more are joined by shuffle
 #: Least share of agreeing registers of a pair that is worth verifying: six deviations below 0.8.
 LIKELY = 0.6
@@ -142,31 +145,94 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").select("text")
     spelled = written(texts.mapInArrow(_spell, "node binary, keys binary, counts binary").dropDuplicates(["node"]), "spelled")
 
-    links = tested = None
-    known = facts.select("node", F.col("node").alias("component"))
-    for turn in range(MAX_ROUNDS):
+    known, tested = facts.select("node", F.col("node").alias("component")), None
+    for turn in range(STARS):
         pairs = _pairs(buckets, facts.drop("sketch", "doc_id").join(known, "node"), turn)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         sketches = facts.select("node", "sketch")
         both = pairs.join(sketches.toDF("a", "sketch_a"), "a").join(sketches.toDF("b", "sketch_b"), "b")
         likely = both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_agree, "a binary, b binary")
-        joined = likely.join(spelled.toDF("a", "keys_a", "counts_a"), "a").join(spelled.toDF("b", "keys_b", "counts_b"), "b")
-        checked = joined.select("a", "b", "keys_a", "counts_a", "keys_b", "counts_b").mapInArrow(_verify, "a binary, b binary, linked boolean")
-        result = written(checked, "tested")
-        found = result.where("linked").select("a", "b")
-        if turn and found.isEmpty():
-            break
+        result = _tested(likely, spelled)
         tested = result.select("a", "b") if tested is None else tested.unionByName(result.select("a", "b"))
-        # links of this round join the components of the last one, which are stars round their least node
-        links = found if links is None else found.unionByName(grouped.where("node <> component").toDF("a", "b"))
-        grouped = written(components(links), "components")
-        known = facts.select("node").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        known = _merged(known, result)
+    # all other pairs of crowded buckets whose ends still lie in different components
+    rest = written(_crossing(buckets, facts, known).join(tested, ["a", "b"], "left_anti"), "rest")
+    portion = PORTION
+    while True:
+        placed = rest.join(known.toDF("a", "of_a"), "a").join(known.toDF("b", "of_b"), "b").where("of_a <> of_b")
+        placed = placed.select("a", "b", F.least("of_a", "of_b").alias("lo"), F.greatest("of_a", "of_b").alias("hi"))
+        # of many pairs between the same two components few are tested first: one link settles the others
+        numbered = placed.join(placed.groupBy("lo", "hi").agg(F.count("*").alias("n")), ["lo", "hi"])
+        dealt = written(numbered.select("a", "b", (F.pmod(F.xxhash64("a", "b"), F.col("n")) < portion).alias("now")), "rest")
+        if dealt.isEmpty():
+            break
+        known = _merged(known, _tested(dealt.where("now").select("a", "b"), spelled))
+        rest = dealt.where("not now").select("a", "b")
+        portion *= 8
     named = described.select("doc_id", "node").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     return named.select("doc_id", "component").join(least, "component").select("doc_id", "class_id")
 
 
+def _tested(pairs: DataFrame, spelled: DataFrame) -> DataFrame:
+    """a, b, linked of every pair."""
+    joined = pairs.join(spelled.toDF("a", "keys_a", "counts_a"), "a").join(spelled.toDF("b", "keys_b", "counts_b"), "b")
+    return written(joined.select("a", "b", "keys_a", "counts_a", "keys_b", "counts_b").mapInArrow(_verify, "a binary, b binary, linked boolean"), "tested")
+
+
+def _merged(known: DataFrame, result: DataFrame) -> DataFrame:
+    """node, component of all nodes after the links of result."""
+    found = result.where("linked").select("a", "b")
+    if found.isEmpty():
+        return known
+    # new links join the components so far, which are stars round their least node
+    grouped = components(found.unionByName(known.where("node <> component").toDF("a", "b")))
+    return written(known.select("node").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node")), "components")
+
+
+def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a > b) between two blocks: of different components, fitting sizes and registers that agree often enough."""
+    for batch in batches:
+        a, b = [], []
+        for left, right in zip(*(_blocks(batch.column(i)) for i in range(2)), strict=True):
+            fits = left[1][:, None] != right[1][None, :]
+            x, y = left[2][:, None], right[2][None, :]
+            at, to = np.nonzero(fits & (np.minimum(x, y) >= SIMILARITY * np.maximum(x, y)))
+            share = np.concatenate([np.zeros(0), *((left[3][at[i : i + 4096]] == right[3][to[i : i + 4096]]).mean(axis=1) for i in range(0, len(at), 4096))])
+            for k in np.flatnonzero((share - 1 / 256) / (1 - 1 / 256) >= LIKELY):
+                one, two = left[0][at[k]], right[0][to[k]]
+                a.append(max(one, two))
+                b.append(min(one, two))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+
+def _blocks(column: pa.Array) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+    """Nodes, components, sizes and sketches of each block."""
+    for block in column:
+        node, component, size, sketch = (block.values.field(i).to_pylist() for i in range(4))
+        yield node, np.array([*component, None], object)[:-1], np.array(size, np.int64), np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, BANDS * ROWS)
+
+
+def _crossing(buckets: DataFrame, facts: DataFrame, known: DataFrame) -> DataFrame:
+    """All likely pairs (a > b) of nodes in one bucket of more than SMALL nodes and different components.
+
+    One end of such a pair is outside the bucket's greatest component. Those nodes meet all nodes of the bucket
+    block by block, so Spark moves blocks and no row for a pair that is not likely.
+    """
+    filed = buckets.where(F.col("members") > SMALL).join(known, "node")
+    parts = filed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n")).where("most < n")
+    held = written(filed.select("key", "node", "component").join(mixed, "key").join(facts.select("node", "size", "sketch"), "node"), "open-buckets")
+    entry = F.collect_list(F.struct("node", "component", "size", "sketch"))
+    place = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK))
+    right = held.withColumn("block", place).groupBy("key", "block").agg(entry.alias("right"))
+    own = F.pmod(F.xxhash64("node"), F.ceil((F.col("n") - F.col("most")) / BLOCK))
+    left = held.where("component <> main").withColumn("own", own).groupBy("key", "own", "n").agg(entry.alias("left"))
+    left = left.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK) - 1)))
+    return left.join(right, ["key", "block"]).select("left", "right").mapInArrow(_cross, "a binary, b binary").distinct()
+
+
 def _pairs(buckets: DataFrame, placed: DataFrame, turn: int) -> DataFrame:
     """Pairs (a > b) of nodes in one bucket and different components: each member with its bucket's centre.
 

@@ -51,6 +51,27 @@ def test_classes_equal_brute_force(spark, documents, prose, awkward):
     assert sorted(map(tuple, got), key=str) == brute(rows)
 
 
+def crossed(prose, pairs):
+    """Pairs of texts that are linked to one another only, all edited from one absent text, so that every bucket is crowded."""
+    rng = np.random.default_rng(4)
+    base, rows = prose(77, 400).split(), []
+    for g in range(pairs):
+        places = rng.permutation(66) * 6
+        for i in range(2):
+            w = list(base)
+            for k in [*places[:3], *places[3 + 4 * i : 7 + 4 * i]]:
+                w[k] = f"{g}x{k}" + (f"y{i}" if k not in places[:3] else "")
+            rows.append((2 * g + i, " ".join(w)))
+    return rows
+
+
+def test_links_between_members_of_crowded_buckets_are_all_found(spark, documents, prose):
+    rows = crossed(prose, 60)
+    rows += [(1000 + i, " ".join(prose(5, 300).split()[: 150 + i])) for i in range(0, 150, 3)]  # a chain without a common original
+    got = neardup.classes(documents(rows)).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
 def test_one_document_of_each_class_stays_with_all_columns(spark, documents, prose):
     rows = [(3, prose(1, 50)), (2, prose(1, 50)), (9, prose(2, 50)), (9, prose(2, 50)), (4, None)]
     docs = documents(rows)
