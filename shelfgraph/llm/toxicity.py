@@ -1,9 +1,9 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Labelled texts are TF-IDF vectors over the words that tell the two labels apart. They are filed in
-a block-max inverted index: postings in example order, cut into blocks, with the largest weight of
-every (term, block). A query bounds each block by its block maxima and opens blocks from the highest
-bound down until no unopened block can reach the k-th best, so the neighbours are exact. Their
+Labelled texts are TF-IDF vectors over all their words. They are filed in a block-max inverted index:
+postings in example order, cut into blocks, with the largest weight of every (term, block) that has
+any. A query bounds each block by its block maxima and opens blocks from the highest bound down until no
+unopened block can reach the k-th best, so the neighbours are exact. Their
 distance-weighted vote is calibrated on leave-one-out votes of the examples.
 
 Defined cases: null and empty texts, and texts without a known term, have no neighbour and score as
@@ -14,6 +14,7 @@ every score is the base rate (0 without labels) and nothing is predicted toxic.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,8 +27,6 @@ from pyspark.sql import functions as F
 from shelfgraph.llm import textbytes as tb
 
 MAX_EXAMPLES = 2000  # labelled rows of each label at most: the documented bound of the fitted sample
-MAX_TERMS = 4096
-MIN_CHI2 = 24.0
 NEIGHBOURS = 15
 BLOCK = 64
 THRESHOLD = 0.7
@@ -40,10 +39,13 @@ class Model:
     base: float  # score of a text without any term
     example: np.ndarray  # ids, in index order
     toxic: np.ndarray
-    posting_bounds: np.ndarray  # (terms, blocks + 1) into the two arrays below
+    posting_bounds: np.ndarray  # (terms, 2) into the two arrays below
     posting_example: np.ndarray
     posting_weight: np.ndarray
-    block_max: np.ndarray  # (terms, blocks)
+    term_cells: np.ndarray  # (terms + 1) into the arrays below; a cell is a (term, block) with a posting
+    cell_block: np.ndarray
+    cell_max: np.ndarray
+    cell_start: np.ndarray  # (cells + 1) into the postings
     knots: np.ndarray  # calibration: vote -> probability, by interpolation
     levels: np.ndarray
 
@@ -108,32 +110,14 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn=None) -> Model:
     if len(set(y.tolist())) < 2:
         return _blank(float(y.mean()) if len(y) else 0.0)
     keys = [np.frombuffer(r["terms"], np.uint64) for r in rows]
-    terms = _telling_terms(keys, y)
+    terms = np.unique(np.concatenate(keys))
     idf = document_frequency(docs, terms)
     return _index(rows, keys, y, weight, terms, idf)
 
 
 def _blank(base: float) -> Model:
     none = np.zeros(0)
-    return Model(none.astype(np.uint64), none, min(base, 0.5), none.astype(np.int64), none.astype(np.int64), np.zeros((0, 1), np.int64), none.astype(np.int64), none, np.zeros((0, 0)), np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-
-
-def _telling_terms(keys: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Words whose presence is tied to the label by a chi-square test; the strongest MAX_TERMS.
-
-    Equal word sets count once, so copies among the examples lend a word no weight.
-    """
-    once = list({(k.tobytes(), int(c)): i for i, (k, c) in enumerate(zip(keys, y, strict=True))}.values())
-    pool, inverse = np.unique(np.concatenate([keys[i] for i in once]), return_inverse=True)
-    label = np.repeat(y[once], [len(keys[i]) for i in once])
-    a = np.bincount(inverse, label, minlength=len(pool))
-    n = np.bincount(inverse, minlength=len(pool)).astype(float)
-    total, positive = float(len(once)), float(y[once].sum())
-    spread = n * (total - n) * positive * (total - positive)
-    chi2 = np.where(spread > 0, total * (a * total - n * positive) ** 2 / np.where(spread > 0, spread, 1), 0)
-    good = np.flatnonzero((chi2 >= MIN_CHI2) & (n >= 3))
-    good = good[np.lexsort((pool[good], -chi2[good]))[:MAX_TERMS]]
-    return np.sort(pool[good])
+    return Model(none.astype(np.uint64), none, min(base, 0.5), none.astype(np.int64), none.astype(np.int64), np.zeros((0, 2), np.int64), none.astype(np.int64), none, np.zeros(1, np.int64), none.astype(np.int64), none, np.zeros(1, np.int64), np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
 
 def document_frequency(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
@@ -183,11 +167,12 @@ def _index(rows, keys, y, weight, terms, idf) -> Model:
     blocks = max(1, -(-len(sequence) // BLOCK))
     cell = term * blocks + place[row] // BLOCK
     order = np.lexsort((place[row], cell))
-    bounds = np.searchsorted(cell[order], np.arange(len(terms) * blocks + 1))
-    table = np.zeros((len(terms), blocks))
-    np.maximum.at(table.reshape(-1), cell, value)
-    starts = np.stack([bounds[t * blocks : t * blocks + blocks + 1] for t in range(len(terms))]) if len(terms) else np.zeros((0, 2), np.int64)
-    model = Model(terms, idf, base, ids[sequence], y[sequence], starts, place[row][order], value[order], table, np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+    cells, starts = np.unique(cell[order], return_index=True)
+    term_cells = np.searchsorted(cells // blocks, np.arange(len(terms) + 1))
+    starts = np.append(starts, len(cell))
+    tops = np.maximum.reduceat(value[order], starts[:-1]) if len(cells) else np.zeros(0)
+    ranges = np.stack([starts[term_cells[:-1]], starts[term_cells[1:]]], axis=1)
+    model = Model(terms, idf, base, ids[sequence], y[sequence], ranges, place[row][order], value[order], term_cells, cells % blocks, tops, starts, np.array([0.0, 1.0]), np.array([0.0, 1.0]))
     votes = np.zeros(len(sequence))
     by_row = np.searchsorted(row, np.arange(len(rows) + 1))
     for at, i in enumerate(sequence):
@@ -198,22 +183,35 @@ def _index(rows, keys, y, weight, terms, idf) -> Model:
     return model
 
 
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges lo:hi in turn, and the range of each."""
+    count = hi - lo
+    of = np.repeat(np.arange(len(lo)), count)
+    return np.arange(len(of)) - (np.cumsum(count) - count - lo)[of], of
+
+
 def nearest(model: Model, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, skip: int = -1):
     """The k examples of greatest cosine with the query, ties by example id; exact."""
-    bound = weights @ model.block_max[terms]
+    cell, of = _ranges(model.term_cells[terms], model.term_cells[terms + 1])
+    n = len(model.example)
+    block = model.cell_block[cell]
+    bound = np.bincount(block, weights[of] * model.cell_max[cell], minlength=-(-n // BLOCK))
+    by_block = np.argsort(block, kind="stable")
+    edges = np.searchsorted(block[by_block], np.arange(len(bound) + 1))
     best_at, best = np.zeros(0, np.int64), np.zeros(0)
-    for block in np.argsort(-bound, kind="stable"):
-        if bound[block] <= 0 or (len(best) == k and bound[block] < best[-1] - 1e-12):
-            break
-        first = block * BLOCK
-        score = np.zeros(min(BLOCK, len(model.example) - first))
-        for t, w in zip(terms, weights, strict=True):
-            lo, hi = model.posting_bounds[t, block], model.posting_bounds[t, block + 1]
-            score[model.posting_example[lo:hi] - first] += w * model.posting_weight[lo:hi]
-        at = np.flatnonzero(score > 0)
+    waiting, step = np.argsort(-bound, kind="stable"), 2
+    while len(waiting):
+        # the next blocks at once, twice as many each time; those that can't reach the k-th best stay shut
+        able = bound[waiting] > 0 if len(best) < k else bound[waiting] >= max(best[-1] - 1e-9, 1e-300)
+        waiting = waiting[able]
+        opened, waiting, step = waiting[:step], waiting[step:], 2 * step
+        mine = by_block[_ranges(edges[opened], edges[opened + 1])[0]]
+        posting, at_cell = _ranges(model.cell_start[cell[mine]], model.cell_start[cell[mine] + 1])
+        score = np.bincount(model.posting_example[posting], weights[of[mine]][at_cell] * model.posting_weight[posting], minlength=n)
         if skip >= 0:
-            at = at[at + first != skip]
-        best_at, best = np.append(best_at, at + first), np.append(best, np.round(score[at], 9))
+            score[skip] = 0
+        at = np.flatnonzero(score > 0)
+        best_at, best = np.append(best_at, at), np.append(best, np.round(score[at], 9))
         order = np.lexsort((model.example[best_at], -best))[:k]
         best_at, best = best_at[order], best[order]
     return best_at, best
@@ -247,7 +245,7 @@ def scores_of(model: Model, text: pa.Array, seen: np.ndarray, known: dict) -> tu
         row, term, count = term_counts(tb.Words(*tb.flat(text[lo:hi]), tb.LETTERED, fold=True), model.terms, seen)
         value = unit_vectors(row, term, count, model.idf, hi - lo)
         for a, b in itertools.pairwise(np.flatnonzero(np.diff(row, prepend=-1, append=-1))):
-            key = term[a:b].tobytes() + count[a:b].tobytes()
+            key = hashlib.blake2b(term[a:b].tobytes() + count[a:b].tobytes(), digest_size=16).digest()
             if key not in known:
                 if len(known) > 20_000:
                     known.clear()

@@ -53,6 +53,13 @@ def test_toxic_words_decide_and_awkward_rows_pass(spark, documents, prose, awkwa
     assert kept.columns == asked.columns and kept.count() == asked.count() - 1
 
 
+def test_copies_of_examples_find_them_whatever_their_words(spark, documents, prose):
+    rows, model = small_model(spark, documents, prose)
+    asked = documents([(1000 + i, prose(i, 30)) for i in range(0, 120, 2)] + [(1001, f"{rows[1][1]}")])
+    found = {r["doc_id"]: r["evidence"] for r in toxicity.score(asked, model).collect()}
+    assert {d: e[0] for d, e in found.items()} == {**{1000 + i: i for i in range(0, 120, 2)}, 1001: 1}
+
+
 def test_no_labels_predict_nothing(spark, documents, awkward):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = documents(awkward)
