@@ -22,6 +22,8 @@ SINGLE = 39
 STEPS = 400
 BATCH = 512
 RATE = 0.01
+PASS_RATE = 0.003  # of the pass over all windows
+LEAST_STEPS = 100  # of a pass; few windows are passed over again
 CHUNK = 512  # windows scored at once
 #: Which keys a query may see: those up to its own input.
 CAUSAL = np.where(np.arange(WINDOW)[None, :] <= np.arange(BLOCK)[:, None] + WINDOW - BLOCK, 0.0, -1e9).astype(np.float32)
@@ -149,17 +151,35 @@ def fit(counts: np.ndarray, sample: list[np.ndarray], steps: int = STEPS) -> Mod
     bounds = np.append(0, np.cumsum([len(s) for s in sample]))
     inputs, target, full, _ = windows(np.concatenate(sample), bounds, kind)
     rng = np.random.default_rng(5)
+    picks = (rng.integers(0, len(inputs), min(BATCH, len(inputs))) for _ in range(steps))
+    rates = [RATE * min(1.0, step / 20) * (1 - 0.9 * step / steps) for step in range(1, steps + 1)]
+    _descend(w, inputs, target, full, kind, picks, rates)
+    return model
+
+
+def _descend(w, inputs, target, full, kind, picks, rates) -> None:
+    """Change the weights by one Adam step on each of the picked batches."""
     first, second = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
-    for step in range(1, steps + 1):
-        pick = rng.integers(0, len(inputs), min(BATCH, len(inputs)))
+    for step, (pick, rate) in enumerate(zip(picks, rates, strict=True), 1):
         goal = target[pick].reshape(-1)
         _, g = gradient(w, inputs[pick], kind[full[np.maximum(goal, 0)]], (goal >= 0).astype(np.float32))
-        rate = RATE * min(1.0, step / 20) * (1 - 0.9 * step / steps)
         for name in w:
             first[name] += 0.1 * (g[name] - first[name])
             second[name] += 0.01 * (g[name] ** 2 - second[name])
             w[name] -= (rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    return model
+
+
+def learnt(model: Model, ids: np.ndarray, bounds: np.ndarray) -> tuple[dict[str, np.ndarray], int]:
+    """Weights after a pass over every window of the texts, from those of the model; and the number of windows."""
+    w = {name: value.copy() for name, value in model.weights.items()}
+    inputs, target, full, _ = windows(ids, bounds, model.kind)
+    rng = np.random.default_rng(len(inputs))
+    picks = []
+    while len(inputs) and len(picks) < LEAST_STEPS:
+        order = rng.permutation(len(inputs))
+        picks += [order[at : at + BATCH] for at in range(0, len(order), BATCH)]
+    _descend(w, inputs, target, full, model.kind, picks, [PASS_RATE * min(1.0, (n + 1) / 20) for n in range(len(picks))])
+    return w, len(inputs)
 
 
 def log10_probabilities(model: Model, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:

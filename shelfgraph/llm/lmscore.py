@@ -3,8 +3,9 @@
 Texts are stored once in flushes: the word counts of each text, its subword ids, and the distinct words
 of the flush filed by hash bucket with their counts in learnable texts. Buckets add the counts up over the
 corpus and answer each flush; flushes are bucketed by their number, so an answer meets its flush without
-moving it. The attention model takes the frequency of every subword from all learnable texts and its
-weights from a bounded sample of them; windows overlap so that each id is scored once.
+moving it. The attention model takes the frequency of every subword and its weights from all learnable
+texts: a bounded sample gives the start, then every window of every learnable text is learnt from once, flush by
+flush, and the flushes' weights are averaged. Windows overlap so that each id is scored once.
 
 Words are known by a 64-bit hash of their bytes with A-Z in lower case.
 
@@ -31,7 +32,8 @@ from shelfgraph.llm.subwords import VOCABULARY, Encoder
 
 FLUSH_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
-SAMPLE = 600  # learnable texts that the attention weights are trained on, chosen by hash
+SAMPLE = 600  # learnable texts, chosen by hash, that give the weights from which the pass over all learnable texts starts
+FIXED = 2.0**24  # weights are summed as whole multiples of its inverse
 SIZE = 50257  # ids of the vocabulary; the end id follows them
 END_WORD = np.uint64(0x7E57E17D00C5E17D)
 TOTALS = -1  # the part under which a bucket reports its tokens and distinct words
@@ -137,7 +139,7 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     answers = written(filed.groupBy("bucket").applyInArrow(_merge, "part long, bucket int, totals binary"), "word-counts")
     totals = [np.frombuffer(bytes(r["totals"]), np.int64) for r in answers.where(F.col("part") == TOTALS).select("totals").collect()]
     tokens, kinds = (int(x) for x in np.sum(totals, axis=0)) if totals else (0, 0)
-    model = attention.fit(_subword_counts(stored), _sample(docs, vocabulary))
+    model = _trained(stored, attention.fit(_subword_counts(stored), _sample(docs, vocabulary)))
     shared = spark.sparkContext.broadcast(model)
     by_part = answers.where(F.col("part") != TOTALS).groupBy("part").agg(F.collect_list(F.struct("bucket", "totals")).alias("answers"))
     joined = stored.select("part", "ids", "words", "counts", "rows", "subwords", "bounds").join(by_part, "part")
@@ -174,6 +176,46 @@ def _subword_counts(stored: DataFrame) -> np.ndarray:
     return out
 
 
+def _trained(stored: DataFrame, start: attention.Model) -> attention.Model:
+    """The model after a pass over all learnable texts.
+
+    Each flush learns on its own from the start, and the results are averaged by their windows. Sums are of
+    whole numbers, so neither order nor packing of flushes changes a score.
+    """
+    shared = stored.sparkSession.sparkContext.broadcast(start)
+    names = sorted(start.weights)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for row in batch.to_pylist():
+                own, bounds = ~np.frombuffer(row["held"], bool), np.frombuffer(row["bounds"], np.int64)
+                sizes = np.diff(bounds)
+                if not own.any():
+                    continue
+                ids = _opened(row["subwords"], np.uint16)[np.repeat(own, sizes)].astype(np.int64)
+                weights, n = attention.learnt(shared.value, ids, np.append(0, np.cumsum(sizes[own])))
+                flat = np.concatenate([(weights[k] - shared.value.weights[k]).reshape(-1) for k in names]).astype(np.float64)
+                one = np.append(np.round(flat * FIXED).astype(np.int64) * n, n)
+                total = one if total is None else total + one
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["at", "n"])
+
+    rows = stored.select("held", "subwords", "bounds").mapInArrow(learn, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    if not rows:
+        return start
+    total = np.zeros(len(rows), np.int64)
+    for r in rows:
+        total[r["at"]] = r["n"]
+    change, at = total[:-1] / FIXED / total[-1], 0
+    weights = {}
+    for k in names:
+        old = start.weights[k]
+        weights[k] = (old + change[at : at + old.size].reshape(old.shape)).astype(np.float32)
+        at += old.size
+    return attention.Model(start.kind, start.inner, weights)
+
+
 def _rated(row: dict, tokens: int, kinds: int, model: attention.Model) -> pa.RecordBatch:
     answers = sorted(row["answers"], key=lambda a: a["bucket"])
     known = np.concatenate([_opened(a["totals"], np.int64) for a in answers])

@@ -162,6 +162,16 @@ def test_unigram_scores_equal_brute_force(spark, documents, prose, awkward):
     assert all(r["score"] < 0 for r in got)
 
 
+def test_context_is_learnt_from_texts_outside_the_sample(spark, documents):
+    rng = np.random.default_rng(3)
+    bank = ["red", "blue", "green", "dog", "cat", "house", "tree", "river"]
+    mixed = lambda n: " ".join(rng.choice(bank, n))
+    # rows without an id are learnable, but never in the sample
+    rows = [(1, mixed(100)), (2, " ".join(bank * 12)), (3, mixed(96)), *((None, " ".join(bank * 25)) for _ in range(80))]
+    got = {r["doc_id"]: r["score"] for r in lmscore.score(documents(rows).withColumn("held_out", F.coalesce(F.col("doc_id") > 1, F.lit(False)))).collect()}
+    assert got[2] > -45
+
+
 def test_windows_score_each_id_once_and_only_from_earlier_ids():
     rng = np.random.default_rng(3)
     counts = rng.integers(0, 90, 400)
