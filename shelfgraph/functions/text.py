@@ -70,6 +70,16 @@ def serving_prefix(product_id: Column) -> Column:
     return F.concat(F.lit("recs:"), product_id.cast("string"), F.lit(":"))
 
 
+def key_product(key: Column) -> Column:
+    """Product id of a serving key; null for any other text."""
+    return F.regexp_extract(key, "^recs:([0-9]{1,18}):", 1).try_cast("bigint")
+
+
+def key_page_size(key: Column) -> Column:
+    """Page size of a serving key; null for any other text."""
+    return F.regexp_extract(key, "^recs:[0-9]{1,18}:[0-9]{1,9}:([0-9]{1,9})$", 1).try_cast("int")
+
+
 def joined_errors(messages: Column) -> Column:
     return F.array_join(messages, "; ")
 

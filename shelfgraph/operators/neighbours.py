@@ -227,6 +227,15 @@ def nearest_groups(
     return _best(home.unionByName(away), k)
 
 
+def nearest_of(
+    vectors: DataFrame, asked: DataFrame, k: int = TOP_K, cutoff: float = CUTOFF, decimals: int = SCORE_DECIMALS, scale: str = "raw"
+) -> DataFrame:
+    """(qid, tid, score): the exact best k others of the asked(id) rows of vectors(id, vec), compared with all rows in blocks."""
+    packed = stage(_packed(vectors).withColumn("cell", F.lit(0)), "packed")
+    queries = packed.join(asked.select("id").distinct(), "id", "left_semi")
+    return _best(_compare(queries.select("id", "cell", "vec"), packed.select("id", "cell", "vec"), k, cutoff, decimals, scale == "unit"), k)
+
+
 def _best(hits: DataFrame, k: int) -> DataFrame:
     return first_per_key(hits, ["qid"], [F.desc("score"), F.asc("tid")], k)
 

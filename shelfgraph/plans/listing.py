@@ -148,17 +148,41 @@ def related_products(graph: CatalogGraph, product_id: int, page: int = 1, page_s
 
 
 # Category sets up to this size are counted by inclusion and exclusion (255 subsets);
-# wider ones, rare in a catalogue, by the exact distinct count below it.
+# wider ones, rare in a catalogue, by bitmaps of products.
 NARROW = 8
 
 
+def category_bitmaps(pairs: DataFrame) -> DataFrame:
+    """(categoryId, _range, _bits): the products of pairs(productId, categoryId) as bitmaps over ranges of product numbers.
+
+    Products are numbered without gaps, so a category has at most one bitmap of 4 KB for every 32,768 products.
+    """
+    products = pairs.select(F.lit(1).alias("_all"), "productId").distinct()
+    numbered = sliced_positions(products, ["_all"], [F.asc("productId")]).select("productId", "position")
+    place = pairs.join(numbered, "productId").select(
+        "categoryId", F.bitmap_bucket_number("position").alias("_range"), F.bitmap_bit_position("position").alias("_bit")
+    )
+    return place.groupBy("categoryId", "_range").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+
+
+def reached(sets: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """(_set, _reach): products in at least one category of each distinct set, from the bitmaps.
+
+    Bitmaps combine before the shuffle, so a category that most sets hold costs a task one bitmap per set and range.
+    """
+    joined = sets.select("_set", F.explode("_set").alias("categoryId")).join(bitmaps, "categoryId")
+    merged = joined.groupBy("_set", "_range").agg(F.bitmap_or_agg("_bits").alias("_bits"))
+    return merged.groupBy("_set").agg(F.sum(F.bitmap_count("_bits")).alias("_reach"))
+
+
 def related_totals(graph: CatalogGraph) -> DataFrame:
     """(productId, total): distinct other products that share a category, for every product.
 
     No product pairs are formed. The size of a union of categories follows from
     the sizes of their intersections, and the size of an intersection is the number of
     products whose own category set contains it: one grouped count over the subsets
-    of each product's set. Cost is linear in memberships however large a category is.
+    of each product's set. Cost is linear in memberships however large a category is. The union of a wide set is the
+    union of its categories' bitmaps, once per distinct set.
     """
     pairs = stage(members(graph), "members")
     degree = pairs.groupBy("productId").agg(F.count("*").alias("_k"))
@@ -185,23 +209,20 @@ def related_totals(graph: CatalogGraph) -> DataFrame:
         .agg(F.sum(sign * F.col("_n")).alias("_reach"))
     )
 
-    # Wide products, from both sides: sets of narrow ones they reach, and each other.
-    set_members = sets.withColumn("categoryId", F.explode("_set"))
-    wide_to_sets = wide.join(set_members, "categoryId").select("productId", "_set", "_same").distinct()
-    from_sets = wide_to_sets.groupBy("productId").agg(F.sum("_same").alias("_reach"))
-    other = wide.withColumnRenamed("productId", "_other")
-    from_wide = (
-        wide.join(other, "categoryId").select("productId", "_other").distinct()
-        .groupBy("productId").agg(F.count("*").alias("_reach"))
-    )
-    wide_total = from_sets.unionByName(from_wide).groupBy("productId").agg((F.sum("_reach") - 1).alias("total"))
-
-    extra = wide_to_sets.groupBy("_set").agg(F.count("*").alias("_wide"))
-    set_total = narrow_union.join(extra, "_set", "left").select(
-        "_set", (F.col("_reach") + F.coalesce("_wide", F.lit(0)) - 1).alias("total")
-    )
-    narrow_total = narrow.join(set_total, "_set").select("productId", "total")
-    every = graph.product.select("productId").join(narrow_total.unionByName(wide_total), "productId", "left")
+    if degree.where(F.col("_k") > NARROW).isEmpty():
+        set_total = narrow_union.select("_set", (F.col("_reach") - 1).alias("total"))
+        totals = narrow.join(set_total, "_set").select("productId", "total")
+    else:
+        # Wide products, from both sides: what each wide set reaches, and the wide products that narrow sets reach.
+        wide_sets = stage(wide.groupBy("productId").agg(F.array_sort(F.collect_list("categoryId")).alias("_set")), "wide")
+        distinct_sets = wide_sets.select("_set").distinct()
+        wide_total = wide_sets.join(reached(distinct_sets, category_bitmaps(pairs)), "_set").select("productId", (F.col("_reach") - 1).alias("total"))
+        extra = reached(sets.select("_set"), category_bitmaps(wide)).withColumnRenamed("_reach", "_wide")
+        set_total = narrow_union.join(extra, "_set", "left").select(
+            "_set", (F.col("_reach") + F.coalesce("_wide", F.lit(0)) - 1).alias("total")
+        )
+        totals = narrow.join(set_total, "_set").select("productId", "total").unionByName(wide_total)
+    every = graph.product.select("productId").join(totals, "productId", "left")
     return every.select("productId", F.coalesce("total", F.lit(0)).cast("bigint").alias("total"))
 
 

@@ -1,16 +1,21 @@
 """Materialised suggestion pages: build, look up, invalidate.
 
 This takes the place of a read-through result cache. Pages of all products are
-computed in one job and stored as (cache_key, payload) rows with an expiry time.
+computed in one job and stored as (cache_key, payload) rows with an expiry time. `sources/page_store.py` keeps
+them in a stored table and refills misses by `refill`; the functions here work on any table of such rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paging import has_more, normalize, page_of_position, total_pages
-from ..functions.text import serving_key
+from ..functions.paging import MAX_PAGE_SIZE, has_more, normalize, page_of_position, total_pages
+from ..functions.text import key_page_size, serving_key
+from ..session import stage
 from ..sources.schema import CatalogGraph
 from .suggest import MIN_SIMILARITY, SCORED_COLUMNS, all_recommendations
 
@@ -32,14 +37,17 @@ def expiry(computed_at: Column, ttl_minutes: int = TTL_MINUTES) -> Column:
 
 
 def recommendation_pages(
-    graph: CatalogGraph, similar_to: DataFrame, page_size: int = 20, min_score: float = MIN_SIMILARITY
+    graph: CatalogGraph, similar_to: DataFrame, page_size: int = 20, min_score: float = MIN_SIMILARITY, products: DataFrame | None = None
 ) -> DataFrame:
-    """(productId, page, totalCount, pageSize, totalPages, hasMore, items) for every product.
+    """(productId, page, totalCount, pageSize, totalPages, hasMore, items) for every product, or for products(productId).
 
     A product without suggestions has one empty page, as its lookup would return.
     Items per group are bounded by the page size.
     """
     _, page_size = normalize(1, page_size)
+    if products is not None:
+        some = products.select("productId").distinct()
+        similar_to = similar_to.join(some.withColumnRenamed("productId", "sourceId"), "sourceId", "left_semi")
     rows = all_recommendations(graph, similar_to, min_score).withColumn(
         "page", page_of_position(F.col("position"), page_size)
     )
@@ -52,8 +60,9 @@ def recommendation_pages(
         F.coalesce("_items", F.array().cast(f"array<struct<position: bigint, {ITEM_TYPE}>>")),
         lambda e: F.struct(*[e[c].alias(c) for c in SCORED_COLUMNS]),
     )
+    every = graph.product.select("productId")
     return (
-        graph.product.select("productId")
+        (every if products is None else every.join(some, "productId", "left_semi"))
         .join(filled, "productId", "left")
         .select(
             "productId",
@@ -92,6 +101,23 @@ def serving_table(pages: DataFrame, computed_at: Column, ttl_minutes: int = TTL_
     )
 
 
+def refill(graph: CatalogGraph, similar_to: DataFrame, as_of: Column, min_score: float = MIN_SIMILARITY) -> Callable[[DataFrame], DataFrame]:
+    """What a page store computes on a miss: the pages of the missed products only, in the page sizes that were asked for.
+
+    Keys that a request cannot have, such as a page size above the maximum, get no page.
+    """
+
+    def compute(missed: DataFrame) -> DataFrame:
+        sized = missed.withColumn("size", key_page_size(F.col("cache_key")))
+        sized = stage(sized.where(F.col("size").between(1, MAX_PAGE_SIZE)).select(F.col("product_id").alias("productId"), "size").distinct(), "missed")
+        sizes = sorted(r["size"] for r in sized.select("size").distinct().collect())  # at most MAX_PAGE_SIZE
+        parts = [recommendation_pages(graph, similar_to, n, min_score, sized.where(F.col("size") == n)) for n in sizes]
+        none = recommendation_pages(graph, similar_to, 1, min_score, sized.limit(0))
+        return serving_table(reduce(DataFrame.unionByName, parts, none), as_of)
+
+    return compute
+
+
 def read_payload(text: Column) -> Column:
     return F.from_json(text, PAYLOAD_TYPE)
 

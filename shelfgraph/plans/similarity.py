@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators.embedding import DIMENSION, ITERATION_WEIGHTS, SEED, embed_classes
-from ..operators.neighbours import CELL_ROWS, CUTOFF, SCORE_DECIMALS, TOP_K, expand_groups, nearest_groups
+from ..operators.neighbours import CELL_ROWS, CUTOFF, SCORE_DECIMALS, TOP_K, expand_groups, nearest_groups, nearest_of
 from ..operators.projection import project_graph
-from ..session import stage
+from ..operators.refine import refined_groups
+from ..session import released, stage
 from ..sources.schema import CatalogGraph
+from ..sources.tables import write_similar_to
 
 # Fixed value of the reference configuration.
 BRAND_BONUS = 0.01
@@ -48,6 +51,35 @@ def brand_boost(edges: DataFrame, made_by: DataFrame, bonus: float = BRAND_BONUS
     )
 
 
+@dataclass(frozen=True)
+class ProductGroups:
+    """Products in groups of equal neighbourhoods, and one vector per group."""
+
+    held: DataFrame  # (id, key)
+    groups: DataFrame  # (key, grp, n)
+    vectors: DataFrame  # (id, vec) by the least product id of the group
+
+
+def product_groups(
+    graph: CatalogGraph, dimension: int = DIMENSION, iteration_weights: Sequence[float] = ITERATION_WEIGHTS, seed: int = SEED, seen: Observation | None = None
+) -> ProductGroups:
+    """seen counts the projected nodes and the products among them while they are read."""
+    nodes, edges = project_graph(graph)
+    if seen is not None:
+        product = F.when(F.col("label") == "product", 1)
+        nodes = nodes.observe(seen, F.count("*").alias("nodes"), F.count(product).alias("products"))
+    embedded = embed_classes(edges, dimension, iteration_weights, seed)
+    products = nodes.where(F.col("label") == "product").select("node_key", "id")
+    held = stage(
+        products.join(embedded.membership, "node_key").select("id", F.col("cls").alias("key")), "held"
+    )
+    groups = stage(held.groupBy("key").agg(F.min("id").alias("grp"), F.count("*").alias("n")), "groups")
+    vectors = embedded.vectors.join(groups, embedded.vectors.cls == groups.key).select(
+        F.col("grp").alias("id"), F.col("embedding").alias("vec")
+    )
+    return ProductGroups(held, groups, vectors)
+
+
 def neighbour_edges(
     graph: CatalogGraph,
     k: int = TOP_K,
@@ -59,24 +91,39 @@ def neighbour_edges(
     decimals: int = SCORE_DECIMALS,
     cell_rows: int = CELL_ROWS,
     probes: int | None = None,
+    exact: bool = False,
+    seen: Observation | None = None,
 ) -> DataFrame:
     """(sourceId, targetId, score) between products, before the brand bonus.
 
     Neighbours are found between classes of products with equal neighbourhoods and then
-    given to the members, so copies of a product are compared once.
+    given to the members, so copies of a product are compared once. The neighbour graph is refined in rounds, each linear in
+    the classes; `exact` compares what the bound leaves, up to all classes, and `probes` only the nearest cells.
     """
-    nodes, edges = project_graph(graph)
-    embedded = embed_classes(edges, dimension, iteration_weights, seed)
-    products = nodes.where(F.col("label") == "product").select("node_key", "id")
-    held = stage(
-        products.join(embedded.membership, "node_key").select("id", F.col("cls").alias("key")), "held"
-    )
-    groups = stage(held.groupBy("key").agg(F.min("id").alias("grp"), F.count("*").alias("n")), "groups")
-    vectors = embedded.vectors.join(groups, embedded.vectors.cls == groups.key).select(
-        F.col("grp").alias("id"), F.col("embedding").alias("vec")
+    p = product_groups(graph, dimension, iteration_weights, seed, seen)
+    if exact or probes is not None:
+        near = nearest_groups(p.vectors, k, cutoff, decimals, scale, cell_rows, probes)
+    else:
+        near = refined_groups(p.vectors, k, cutoff, decimals, scale, cell_rows)
+    return expand_groups(p.held, p.groups, stage(near, "near"), k, cutoff)
+
+
+def neighbour_recall(graph: CatalogGraph, edges: DataFrame, every: int = 50, k: int = TOP_K, cutoff: float = CUTOFF, **params) -> DataFrame:
+    """sources, exactEdges, recall of edges(sourceId, targetId), for the products whose id is divisible by `every`.
+
+    Those products are compared with all others in blocks; a product without an exact neighbour has nothing to be recalled.
+    """
+    p = product_groups(graph, **params)
+    mine = p.held.where(F.col("id") % every == 0).select("key").distinct()
+    asked = p.groups.join(mine, "key", "left_semi").select(F.col("grp").alias("id"))
+    near = stage(nearest_of(p.vectors, asked, k, cutoff), "near-asked")
+    exact = stage(expand_groups(p.held, p.groups, near, k, cutoff).where(F.col("sourceId") % every == 0), "exact")
+    found = edges.where(F.col("sourceId") % every == 0).select("sourceId", "targetId", F.lit(1).alias("found"))
+    return exact.join(found, ["sourceId", "targetId"], "left").agg(
+        F.count_distinct("sourceId").alias("sources"),
+        F.count("*").alias("exactEdges"),
+        F.coalesce(F.sum("found") / F.count("*"), F.lit(1.0)).alias("recall"),
     )
-    near = stage(nearest_groups(vectors, k, cutoff, decimals, scale, cell_rows, probes), "near")
-    return expand_groups(held, groups, near, k, cutoff)
 
 
 def build_similar_to(graph: CatalogGraph, bonus: float = BRAND_BONUS, **params) -> DataFrame:
@@ -84,8 +131,34 @@ def build_similar_to(graph: CatalogGraph, bonus: float = BRAND_BONUS, **params)
     return brand_boost(neighbour_edges(graph, **params), graph.made_by, bonus)
 
 
+def write_build(graph: CatalogGraph, path: str, bonus: float = BRAND_BONUS, **params) -> DataFrame:
+    """Run the whole job: replace the edges at path, release everything it staged, and return the run's summary.
+
+    The counters ride on the job's own passes: nodes as the projection is read, edges as they are written, so nothing is
+    read again for them. Percentiles come from a mergeable sketch of bounded size (rank error one in a million).
+    Every projected node counts as embedded; one without edges has the zero vector. All products count as compared.
+    """
+    spark = graph.product.sparkSession
+    nodes, edges = Observation(), Observation()
+    levels = F.percentile_approx("score", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)), F.lit(1000000))
+    with released(spark):
+        measures = [
+            F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high"), F.avg("score").alias("mean"),
+            F.stddev_pop("score").alias("dev"), levels.alias("levels"),
+        ]
+        write_similar_to(build_similar_to(graph, bonus, seen=nodes, **params), path, edges, measures)
+        n, e = nodes.get, edges.get
+    mark = lambda v: None if v is None else float(v)
+    row = (n["nodes"], n["products"], e["n"], *(mark(e[x]) for x in ("low", "high", "mean", "dev")), *(mark(v) for v in (e["levels"] or [None] * 3)))
+    return spark.createDataFrame(
+        [row],
+        "nodePropertiesWritten bigint, nodesCompared bigint, relationshipsWritten bigint, minScore double, maxScore double, meanScore double, "
+        "stdDev double, p50 double, p90 double, p99 double",
+    )
+
+
 def score_summary(edges: DataFrame) -> DataFrame:
-    """Run summary: how many products were compared and how scores spread."""
+    """Stored edges: how many, of how many sources that kept one, and how their scores spread."""
     return edges.agg(
         F.count("*").alias("relationshipsWritten"),
         F.count_distinct("sourceId").alias("sources"),

@@ -1,7 +1,8 @@
 """Category trees: roots, subtrees, and their nested rendering.
 
 The flat tree (one row per category) is the distributed form. The nested JSON
-document is a rendering of one page of roots, as a catalogue front end shows it.
+document is a rendering of one page of roots, as a catalogue front end shows it. Numbered trees
+hold the interval of every subtree.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.paging import Page, normalize, one_page
 from ..operators.closure import closure
 from ..operators.expand import by_name, collated
+from ..operators.ranking import sliced_positions
 from ..session import stage
 from ..sources.schema import CatalogGraph
 
@@ -76,68 +78,70 @@ def child_counts(graph: CatalogGraph) -> DataFrame:
     )
 
 
-def nested_trees(flat: DataFrame, root_ids: DataFrame, collation: str | None = None) -> DataFrame:
-    """(categoryId, categoryName, tree): one JSON document per root.
+def _placed(flat: DataFrame, root_ids: DataFrame, collation: str | None = None) -> DataFrame:
+    """(rootId, depth, path, flat columns) of all categories under the roots; paths sort them as a walk from the root does.
 
-    `flat` holds each category once, as flat_categories gives it, so every
-    category has one kept parent link and one closure over those links finds all that a
-    root's document shows. Children are folded into parents from the deepest level up;
-    siblings are ordered by name (binary, or by a collation such as "UNICODE"), then id. A leaf has null children. A node is entered
-    once per root, so a cycle is cut.
+    `flat` holds each category once, as flat_categories gives it, so every category has one kept parent link. Siblings
+    are ordered by name (binary, or by a collation such as "UNICODE"), then id. A category is entered once per root, so a cycle is cut.
     """
     nodes = flat.select(*FLAT_COLUMNS)
     links = nodes.where(F.col("parentCategoryId").isNotNull()).select(
-        F.col("categoryId").alias("childId"), F.col("parentCategoryId").alias("parentId")
+        F.col("categoryId").alias("childId"),
+        F.col("parentCategoryId").alias("parentId"),
+        F.struct(collated("categoryName", collation).alias("place"), F.col("categoryId").alias("id")).alias("step"),
     )
     asked = nodes.join(root_ids, "categoryId", "left_semi").select("categoryId")
-    placed = stage(closure(links, asked).join(nodes, "categoryId"), "placed")
-    depth = placed.agg(F.max("depth")).first()[0]
-    if depth is None:
-        return nodes.limit(0).select("categoryId", "categoryName", F.lit("").alias("tree"))
-
-    def rendered(level: DataFrame, children: DataFrame | None) -> DataFrame:
-        if children is None:
-            level = level.withColumn("_kids", F.lit(None).cast("string"))
-        else:
-            level = level.join(children, ["rootId", "categoryId"], "left")
-        own = F.to_json(
-            F.struct(
-                "categoryId",
-                "categoryName",
-                "parentCategoryId",
-                F.col("segmentId").alias("catalogSegmentId"),
-                F.col("segmentName").alias("catalogSegmentName"),
-            ),
-            {"ignoreNullFields": "false"},
-        )
-        # The children are already JSON text, so they are spliced in before the closing brace.
-        return level.withColumn("_own", own).withColumn(
-            "tree",
-            F.concat(
-                F.expr("left(_own, length(_own) - 1)"),
-                F.lit(',"subCategories":'),
-                F.coalesce("_kids", F.lit("null")),
-                F.lit("}"),
-            ),
-        )
+    return closure(links, asked, label="step").join(nodes, "categoryId")
+
+
+def numbered_tree(flat: DataFrame, root_ids: DataFrame, collation: str | None = None) -> DataFrame:
+    """(rootId, left, right, depth, flat columns): every category with the interval of its subtree.
+
+    A category's `left` is its number on a walk through its root's tree, parents first; its subtree is exactly the rows of that root whose
+    left lies between its own left and right. So one sorted table serves every subtree as a range, without a join.
+    Rows are numbered in slices of the walk, so a tree of any size spreads over tasks.
+    """
+    rows = _placed(flat, root_ids, collation)
+    walked = stage(sliced_positions(rows, ["rootId"], [F.asc("path")]), "walk")
+    # each category counts for itself and for every category on its path
+    above = F.array_distinct(F.concat(F.array("rootId"), F.transform("path", lambda s: s["id"])))
+    sizes = walked.select("rootId", F.explode(above).alias("categoryId")).groupBy("rootId", "categoryId").agg(F.count("*").alias("_size"))
+    return walked.join(sizes, ["rootId", "categoryId"]).select(
+        "rootId", F.col("position").alias("left"), (F.col("position") + F.col("_size") - 1).alias("right"), "depth", *FLAT_COLUMNS
+    )
+
+
+def nested_trees(flat: DataFrame, root_ids: DataFrame, collation: str | None = None) -> DataFrame:
+    """(categoryId, categoryName, tree): one JSON document per root, in one pass over all of them.
 
-    done = None
-    for at in range(depth, -1, -1):
-        done = rendered(placed.where(F.col("depth") == at), done)
-        if at:
-            ordered = F.array_sort(F.collect_list(F.struct(collated("categoryName", collation).alias("_place"), "categoryId", "tree")))
-            done = (
-                done.groupBy("rootId", F.col("parentCategoryId").alias("categoryId"))
-                .agg(ordered.alias("_items"))
-                .select(
-                    "rootId",
-                    "categoryId",
-                    F.concat(
-                        F.lit("["), F.array_join(F.transform("_items", lambda i: i["tree"]), ","), F.lit("]")
-                    ).alias("_kids"),
-                )
-            )
-    return done.select("categoryId", "categoryName", "tree")
+    The categories of a root are walked in the order of their paths; each writes its own opening, and closes
+    as many levels as the next one lies higher. A leaf has null children.
+    """
+    rows = _placed(flat, root_ids, collation)
+    own = F.to_json(
+        F.struct(
+            "categoryId",
+            "categoryName",
+            "parentCategoryId",
+            F.col("segmentId").alias("catalogSegmentId"),
+            F.col("segmentName").alias("catalogSegmentName"),
+        ),
+        {"ignoreNullFields": "false"},
+    )
+    # The children are spliced in before the closing brace.
+    opening = rows.withColumn("_own", own).withColumn("text", F.expr("left(_own, length(_own) - 1)"))
+    walk = opening.groupBy("rootId").agg(F.array_sort(F.collect_list(F.struct("path", "depth", "text", "categoryName"))).alias("w"))
+    # after the last category everything up to the root is closed
+    following = F.concat(F.slice(F.transform("w", lambda n: n["depth"]), F.lit(2), F.size("w")), F.array(F.lit(0)))
+    parts = F.zip_with("w", following, lambda n, after: F.struct(n["text"].alias("text"), n["depth"].alias("depth"), after.alias("after")))
+
+    def written(n):
+        ends = F.concat(F.lit("null}"), F.repeat(F.lit("]}"), n["depth"] - n["after"]), F.when(n["after"] > 0, ",").otherwise(""))
+        return F.concat(n["text"], F.lit(',"subCategories":'), F.when(n["after"] > n["depth"], "[").otherwise(ends))
+
+    return walk.select(
+        F.col("rootId").alias("categoryId"), F.col("w")[0]["categoryName"].alias("categoryName"), F.array_join(F.transform(parts, written), "").alias("tree")
+    )
 
 
 def _tree_page(flat: DataFrame, chosen: DataFrame, collation: str | None = None) -> DataFrame:
@@ -168,6 +172,23 @@ def segment_trees(
     return Page(_tree_page(flat, roots_page(every, page, page_size), collation), every.count(), page, page_size)
 
 
+def all_segment_trees(graph: CatalogGraph, collation: str | None = None) -> DataFrame:
+    """(segmentId, categoryId, categoryName, tree): the root trees of every segment, each tree built once."""
+    flat = stage(flat_categories(graph), "flat")
+    places = stage(segment_roots(graph), "segment-roots")
+    trees = nested_trees(flat, places.select("categoryId").distinct(), collation)
+    return places.select("segmentId", "categoryId").join(trees, "categoryId").select("segmentId", "categoryId", "categoryName", "tree")
+
+
+def segment_intervals(graph: CatalogGraph, collation: str | None = None) -> DataFrame:
+    """(segmentId, rootId, left, right, depth, flat columns): the same trees as rows, for trees of any size."""
+    flat = stage(flat_categories(graph), "flat")
+    places = stage(segment_roots(graph), "segment-roots")
+    numbered = numbered_tree(flat, places.select("categoryId").distinct(), collation)
+    mine = places.select(F.col("segmentId").alias("treeSegmentId"), F.col("categoryId").alias("rootId"))
+    return numbered.join(mine, "rootId").select("treeSegmentId", "rootId", "left", "right", "depth", *FLAT_COLUMNS)
+
+
 def category_subtree(graph: CatalogGraph, category_id: int) -> Page:
     """One category's tree; an unknown id gives an empty page.
 

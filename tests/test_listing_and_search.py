@@ -121,6 +121,18 @@ def test_related_totals_and_pages_against_brute_force(spark, micro, seed):
             assert got.get(p, []) == full[(page - 1) * size : page * size], (p, page, size)
 
 
+def test_a_hot_category_of_wide_products_forms_no_product_pairs(spark, micro):
+    """A third of all products share one category and have more than eight each."""
+    rng = random.Random(8)
+    rows = [(p, 0) for p in range(0, 300, 3)] + [(p, c) for p in range(0, 300, 3) for c in rng.sample(range(1, 60), 9)]
+    rows += [(p, rng.randrange(60)) for p in range(300) if p % 3 and p % 7]
+    graph = dataclasses.replace(
+        with_belongs(micro, [(10**9 * p, c) for p, c in rows]), product=spark.createDataFrame([(10**9 * p, None, None, None, None, None) for p in range(300)], micro.product.schema)
+    )
+    found = listing.related_totals(graph)
+    assert {r.productId // 10**9: r.total for r in found.collect()} == {p: len(s) for p, s in brute_related(rows, 300).items()}
+
+
 def rows_of(found, kind):
     return [(r.id, r.relatedName) for r in found if r.kind == kind]
 

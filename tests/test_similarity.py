@@ -1,15 +1,18 @@
 import dataclasses
 import hashlib
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfgraph.operators import embedding, neighbours
+from shelfgraph.operators import embedding, neighbours, refine
 from shelfgraph.operators.projection import project_graph, projection_stats
 from shelfgraph.operators.ranking import sliced_positions
 from shelfgraph.operators.skew import split_join
 from shelfgraph.plans import similarity, suggest
+from shelfgraph.session import checkpoint_root, released, stage
+from shelfgraph.sources.tables import read_similar_to
 
 # ---- balanced primitives ------------------------------------------------------------------------
 
@@ -123,7 +126,7 @@ def brute_knn(ids, x, k, cutoff, unit=False):
     live = [i for i in range(len(ids)) if norm[i] > 0]
     out = set()
     for i in live:
-        score = [(-np.round(((x[i] @ x[j]) / norm[i] / norm[j] + unit) / (1 + unit), 6), ids[j], j) for j in live if j != i]
+        score = [(-np.round(((x[i] @ x[j]) / norm[i] / norm[j] + unit) / (1 + unit), neighbours.SCORE_DECIMALS), ids[j], j) for j in live if j != i]
         out |= {(ids[i], t, float(-s)) for s, t, _ in sorted(score)[:k] if -s >= cutoff}
     return out
 
@@ -172,6 +175,52 @@ def test_probed_cells_recall(spark, micro):
     assert len(found & exact) >= 0.95 * len(exact)
 
 
+def groups_of(spark, x):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+
+
+def test_refined_graph_is_exact_while_all_vectors_share_a_bucket(spark):
+    ids, x = vectors_with_copies(5, 150)
+    x = x[5 + 150 // 3 :]
+    got = [tuple(r) for r in refine.refined_groups(groups_of(spark, x), 6, 0.1, cell_rows=100).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_knn(list(range(len(x))), x, 6, 0.1)
+
+
+@pytest.mark.parametrize("spread", [0.5, 3.0])
+def test_refinement_recalls_across_many_cells_and_buckets(spark, monkeypatch, spread):
+    """Clustered and shapeless vectors in small cells: rounds lift the start lists to nearly all exact neighbours."""
+    monkeypatch.setattr(refine, "PIVOT_ROWS", 16)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(30, 16))[rng.integers(0, 30, 1500)] + spread * rng.normal(size=(1500, 16))
+    exact = brute_knn(list(range(1500)), x, 10, 0.3)
+    share = {}
+    for rounds in (0, 100):
+        found = [tuple(r) for r in refine.refined_groups(groups_of(spark, x), 10, 0.3, cell_rows=40, max_rounds=rounds, bucket_rows=50).collect()]
+        assert len({f[:2] for f in found}) == len(found) and max(np.bincount([f[0] for f in found])) <= 10
+        share[rounds] = len(set(found) & exact) / len(exact)
+    assert share[0] < 0.8 < 0.9 <= share[100]
+
+
+def test_refined_scores_and_ties_follow_the_exact_form(spark):
+    x = np.repeat(np.eye(4), 3, axis=0) + np.arange(12)[:, None] * 1e-13  # equal to nine decimals
+    got = {tuple(r) for r in refine.refined_groups(groups_of(spark, x), 2, 0.5, scale="unit").collect()}
+    assert got == brute_knn(list(range(12)), x, 2, 0.5, True)
+
+
+def test_refining_nothing(spark):
+    assert refine.refined_groups(groups_of(spark, np.zeros((2, 3)))).collect() == []
+
+
+def test_recall_counts_what_is_missing(spark, micro):
+    edges = similarity.neighbour_edges(micro, k=3, dimension=32)
+    [whole] = similarity.neighbour_recall(micro, edges, every=2, k=3, dimension=32).collect()
+    mine = [r for r in edges.collect() if r.sourceId % 2 == 0]
+    assert (whole.exactEdges, whole.recall, whole.sources) == (len(mine), 1.0, len({r.sourceId for r in mine}))
+    fewer = edges.where(~((F.col("sourceId") == mine[0].sourceId) & (F.col("targetId") == mine[0].targetId)))
+    [part] = similarity.neighbour_recall(micro, fewer, every=2, k=3, dimension=32).collect()
+    assert part.recall == pytest.approx(1 - 1 / len(mine))
+
+
 def test_knn_of_nothing(spark):
     empty = spark.createDataFrame([(1, [0.0, 0.0])], "id long, embedding array<double>")
     assert neighbours.knn(empty).collect() == []
@@ -221,6 +270,32 @@ def test_build_equals_brute_force_over_the_whole_graph(spark, micro):
     assert built.columns == ["sourceId", "targetId", "score", "sameBrand"] and built.count() == len(want)
 
 
+def test_the_written_build_reports_its_run_and_leaves_nothing_staged(spark, micro, tmp_path):
+    staged = f"{checkpoint_root(spark)}/staged"
+    before = set(os.listdir(staged)) if os.path.isdir(staged) else set()
+    run = similarity.write_build(micro, str(tmp_path / "edges"), k=3, dimension=32).first()
+    edges = read_similar_to(spark, str(tmp_path / "edges"))
+    want = {(r.sourceId, r.targetId) for r in edges.collect()}
+    assert (run.nodePropertiesWritten, run.nodesCompared, run.relationshipsWritten) == (25, 9, len(want)) and want
+    exact = edges.agg(F.min("score"), F.max("score"), F.avg("score"), F.stddev_pop("score")).first()
+    assert (run.minScore, run.maxScore, run.meanScore, run.stdDev) == pytest.approx(tuple(exact))
+    ranked = sorted(r.score for r in edges.collect())
+    assert run.p50 == ranked[-(-len(ranked) // 2) - 1] and run.p99 == ranked[-1]
+    assert set(os.listdir(staged)) == before
+
+
+def test_staged_tables_are_released_on_failure_and_by_their_own_block(spark):
+    with pytest.raises(ZeroDivisionError), released(spark) as outer:
+        kept = stage(spark.range(3), "outer")
+        with released(spark) as inner:
+            stage(spark.range(2), "inner")
+        assert len(inner) == 1 and not os.path.exists(inner[0]) and kept.count() == 3
+        1 / 0
+    assert len(outer) == 1 and not os.path.exists(outer[0])
+    stage(spark.range(1), "free")
+    assert len(outer) == 1
+
+
 def test_many_copies_of_one_product(spark, micro):
     """A third of the catalogue with one neighbourhood still gets k neighbours each, lowest ids first."""
     copies = [(100 + i, 11) for i in range(60)]

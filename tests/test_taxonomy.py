@@ -1,4 +1,6 @@
 import json
+import random
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,6 +94,79 @@ def test_closure_equals_search_and_stops_on_cycles(micro):
     assert {(r.rootId, r.categoryId) for r in rows} == expected
 
 
+def depths(edges, start):
+    found, level, depth = {start: 0}, [start], 0
+    while level:
+        depth += 1
+        level = sorted({c for c, p in edges if p in level} - set(found))
+        found.update((c, depth) for c in level)
+    return found
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_closure_depths_of_random_graphs(spark, seed):
+    """Several parents, cycles, self-loops, repeated and null edges; least depths, with and without a limit."""
+    rng = random.Random(seed)
+    edges = [(rng.randrange(14), rng.randrange(14)) for _ in range(rng.choice([8, 16, 30]))] + [(1, 1), (2, 3), (2, 3)]
+    child_of = spark.createDataFrame(edges + [(None, 1), (1, None)], "childId long, parentId long")
+    roots = spark.createDataFrame([(r,) for r in (0, 1, 5, 5, 99)], "categoryId long")
+    want = {(r, c, d) for r in (0, 1, 5, 99) for c, d in depths(edges, r).items()}
+    assert sorted(tuple(r) for r in closure(child_of, roots).collect()) == sorted(want)
+    limited = closure(child_of, roots, max_levels=3).collect()
+    assert sorted(tuple(r) for r in limited) == sorted(w for w in want if w[2] <= 3)
+    labelled = closure(child_of.withColumn("name", F.concat(F.lit("n"), "childId")), roots, label="name").collect()
+    assert len(labelled) == len(want) and all(len(r.path) == r.depth and (r.path or [f"n{r.categoryId}"])[-1] == f"n{r.categoryId}" for r in labelled)
+
+
+def test_a_chain_of_2000_levels_takes_few_rounds(spark, monkeypatch):
+    module = sys.modules[closure.__module__]
+    rounds = []
+    monkeypatch.setattr(module, "stage", lambda df, label, real=module.stage: rounds.append(label) or real(df, label))
+    chain = spark.range(2000).selectExpr("id + 1 as childId", "id as parentId")
+    rows = closure(chain, spark.createDataFrame([(0,)], "categoryId long"))
+    assert rows.count() == 2001 and rows.where("depth <> categoryId").isEmpty()
+    assert len(rounds) - 1 <= 12
+
+
+def nested_in_python(rows, root):
+    kids = lambda at: sorted((r for r in rows if r[2] == at), key=lambda r: (r[1], r[0]))
+    def node(r):
+        below = [node(c) for c in kids(r[0])]
+        return {"categoryId": r[0], "categoryName": r[1], "parentCategoryId": r[2], "catalogSegmentId": None, "catalogSegmentName": None, "subCategories": below or None}
+    return node(next(r for r in rows if r[0] == root))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_trees_and_their_intervals(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    rows = [(i, rng.choice(["a", "b", "c", "d"]), rng.choice([None, *range(i)]) if i else None) for i in range(60)]
+    tops = [r[0] for r in rows if r[2] is None]
+    assert sorted(json.dumps(t) for t in build(spark, rows, tops)) == sorted(json.dumps(nested_in_python(rows, t)) for t in tops)
+    monkeypatch.setattr(taxonomy, "sliced_positions", lambda df, keys, order, real=taxonomy.sliced_positions: real(df, keys, order, 5))
+    flat = spark.createDataFrame([r + (None, None) for r in rows], FLAT)
+    number = {(r.rootId, r.categoryId): r for r in taxonomy.numbered_tree(flat, spark.createDataFrame([(t,) for t in tops], "categoryId long")).collect()}
+
+    def walk(tree, root, at):
+        row = number.pop((root, tree["categoryId"]))
+        assert row.left == at
+        for child in tree["subCategories"] or []:
+            at = walk(child, root, at + 1)
+        assert row.right == at
+        return at
+
+    for top in tops:
+        walk(nested_in_python(rows, top), top, 1)
+    assert not number
+
+
+def test_all_segments_trees_equal_the_trees_of_each_segment(micro):
+    every = {(r.segmentId, r.categoryId): r.tree for r in taxonomy.all_segment_trees(micro).collect()}
+    single = {(s, r.categoryId): r.tree for s in (1, 2) for r in taxonomy.segment_trees(micro, s).items.collect()}
+    assert every == single and every
+    spans = taxonomy.segment_intervals(micro).collect()
+    assert {(r.treeSegmentId, r.categoryId) for r in spans if r.depth == 0} == set(every)
+
+
 def test_two_parents_and_two_segments_keep_the_least(micro):
     row = taxonomy.flat_categories(micro).where("categoryId = 5").collect()
     assert [tuple(r) for r in row] == [(5, "Shared", 2, 1, "Outdoor")]
