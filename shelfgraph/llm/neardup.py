@@ -6,15 +6,15 @@ centre, at first the node that shares most buckets, which among edited copies is
 whose registers agree far below the threshold are dropped, the others verified by multiset overlap, and
 verified links form components. Buckets whose members still lie in several components are dealt
 again, with another centre in every bucket, and small ones pair by pair. What is still open then is
-finished: sketches of the nodes outside a bucket's greatest component meet all sketches of the bucket block by
-block, and the likely pairs are verified, few between the same two components at first, until no bucket
-holds an untested likely pair across components. Classes are the components of verified links.
+finished: the nodes outside a bucket's greatest component meet all nodes of the bucket, block against block. Such a cell
+computes the overlap of all its pairs as one matrix product over the shingles that both blocks hold, and returns only links that join two of its
+trees, so its output is linear in its nodes however many of its pairs are alike. Classes are the components of verified links.
 
 Bands of 5 registers out of 150 miss a pair of similarity 0.8 with probability 7e-6.
 
 Defined cases: words are `[^\\x20\\x09-\\x0D]+` in lower case. A text of one to four words has one shingle,
 all its words. Texts without a word, null included, are equal to one another. Rows that repeat a
-doc_id are rows of their own; rows without one belong to a class but never name it unless alone. A class
+doc_id are rows of their own; rows without one belong to a class but never name it: a class of such rows only is named null. A class
 is named by its least doc_id. An empty table gives an empty result.
 """
 
@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfgraph.llm import bagminhash
 from shelfgraph.llm import textbytes as tb
@@ -38,8 +39,8 @@ BANDS = 30
 ROWS = 5
 SMALL = 6  # buckets of so many nodes are tested pair by pair in the last of the rounds with a centre
 STARS = 2  # rounds with one centre in each bucket, before the pairs that these leave over
-BLOCK = 128  # nodes of a bucket that are compared with another block at once
-PORTION = 4  # pairs between two components that are verified first
+BLOCK = 512  # nodes of a bucket that are compared with another block at once
+STRIP = 8192  # shingles of two blocks that are multiplied at once
 BROADCAST_IDS = 4_000_000  # ids of crowded nodes that a task holds at most (32 MB); more are joined by shuffle
 #: Least share of agreeing registers of a pair that is worth verifying: six deviations below 0.8.
 LIKELY = 0.6
@@ -130,6 +131,11 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (least doc_id of its class) for every document."""
+    return memberships(docs).select("doc_id", "class_id")
+
+
+def memberships(docs: DataFrame) -> DataFrame:
+    """doc_id, node, component, class_id: one row per document, with the key of its text and of its class."""
     described = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_describe, "doc_id long, node binary, size long, bands array<long>, sketch binary"), "described")
     same = [F.first(c).alias(c) for c in ("size", "bands", "sketch")]  # equal in all rows of a node
     nodes = written(described.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *same), "nodes")
@@ -142,8 +148,15 @@ def classes(docs: DataFrame) -> DataFrame:
     wanted = facts.select("doc_id").distinct()
     # a counted, bounded list of ids goes to the texts; otherwise both are shuffled
     wanted = F.broadcast(wanted) if facts.count() <= BROADCAST_IDS else wanted
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").select("text")
-    spelled = written(texts.mapInArrow(_spell, "node binary, keys binary, counts binary").dropDuplicates(["node"]), "spelled")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = named.join(wanted, "doc_id", "left_semi").select("text")
+    spelt = "node binary, keys binary, counts binary"
+    spellings = texts.mapInArrow(_spell, spelt)
+    # nodes without any id are found by their own key
+    nameless = facts.where("doc_id is null").select("node")
+    if not nameless.isEmpty():
+        spellings = spellings.unionByName(named.where("doc_id is null").select("text").mapInArrow(_spell, spelt).join(nameless, "node", "left_semi"))
+    spelled = written(spellings.dropDuplicates(["node"]), "spelled")
 
     known, tested = facts.select("node", F.col("node").alias("component")), None
     for turn in range(STARS):
@@ -157,22 +170,10 @@ def classes(docs: DataFrame) -> DataFrame:
         tested = result.select("a", "b") if tested is None else tested.unionByName(result.select("a", "b"))
         known = _merged(known, result)
     # all other pairs of crowded buckets whose ends still lie in different components
-    rest = written(_crossing(buckets, facts, known).join(tested, ["a", "b"], "left_anti"), "rest")
-    portion = PORTION
-    while True:
-        placed = rest.join(known.toDF("a", "of_a"), "a").join(known.toDF("b", "of_b"), "b").where("of_a <> of_b")
-        placed = placed.select("a", "b", F.least("of_a", "of_b").alias("lo"), F.greatest("of_a", "of_b").alias("hi"))
-        # of many pairs between the same two components few are tested first: one link settles the others
-        numbered = placed.join(placed.groupBy("lo", "hi").agg(F.count("*").alias("n")), ["lo", "hi"])
-        dealt = written(numbered.select("a", "b", (F.pmod(F.xxhash64("a", "b"), F.col("n")) < portion).alias("now")), "rest")
-        if dealt.isEmpty():
-            break
-        known = _merged(known, _tested(dealt.where("now").select("a", "b"), spelled))
-        rest = dealt.where("not now").select("a", "b")
-        portion *= 8
+    known = _merged(known, written(_crossing(buckets, known, spelled), "crossing"))
     named = described.select("doc_id", "node").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    return named.select("doc_id", "component").join(least, "component").select("doc_id", "class_id")
+    return named.select("doc_id", "node", "component").join(least, "component").select("doc_id", "node", "component", "class_id")
 
 
 def _tested(pairs: DataFrame, spelled: DataFrame) -> DataFrame:
@@ -191,46 +192,79 @@ def _merged(known: DataFrame, result: DataFrame) -> DataFrame:
     return written(known.select("node").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node")), "components")
 
 
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a > b) between two blocks: of different components, fitting sizes and registers that agree often enough."""
-    for batch in batches:
-        a, b = [], []
-        for left, right in zip(*(_blocks(batch.column(i)) for i in range(2)), strict=True):
-            fits = left[1][:, None] != right[1][None, :]
-            x, y = left[2][:, None], right[2][None, :]
-            at, to = np.nonzero(fits & (np.minimum(x, y) >= SIMILARITY * np.maximum(x, y)))
-            share = np.concatenate([np.zeros(0), *((left[3][at[i : i + 4096]] == right[3][to[i : i + 4096]]).mean(axis=1) for i in range(0, len(at), 4096))])
-            for k in np.flatnonzero((share - 1 / 256) / (1 - 1 / 256) >= LIKELY):
-                one, two = left[0][at[k]], right[0][to[k]]
-                a.append(max(one, two))
-                b.append(min(one, two))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-
-def _blocks(column: pa.Array) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
-    """Nodes, components, sizes and sketches of each block."""
-    for block in column:
-        node, component, size, sketch = (block.values.field(i).to_pylist() for i in range(4))
-        yield node, np.array([*component, None], object)[:-1], np.array(size, np.int64), np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, BANDS * ROWS)
-
-
-def _crossing(buckets: DataFrame, facts: DataFrame, known: DataFrame) -> DataFrame:
-    """All likely pairs (a > b) of nodes in one bucket of more than SMALL nodes and different components.
-
-    One end of such a pair is outside the bucket's greatest component. Those nodes meet all nodes of the bucket
-    block by block, so Spark moves blocks and no row for a pair that is not likely.
+def _columns(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, shingle copy and size of each node's multiset: the t-th copy of a shingle is an element of its own."""
+    key = [np.frombuffer(k, np.uint32) for k in keys]
+    count = [np.frombuffer(c, np.uint32) if len(c) else np.ones(len(k), np.uint32) for k, c in zip(key, counts, strict=True)]
+    flat, times = np.concatenate([*key, np.zeros(0, np.uint32)]).astype(np.uint64), np.concatenate([*count, np.zeros(0, np.uint32)]).astype(np.int64)
+    row = np.repeat(np.arange(len(key)), [len(k) for k in key])
+    copy = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    return np.repeat(row, times), np.repeat(flat << np.uint64(32), times) | copy.astype(np.uint64), np.array([c.sum() for c in count], np.float64)
+
+
+def _dense(row: np.ndarray, at: np.ndarray, rows: int, low: int, high: int) -> np.ndarray:
+    out = np.zeros((rows, high - low), np.float32)
+    mine = (at >= low) & (at < high)
+    out[row[mine], at[mine] - low] = 1.0
+    return out
+
+
+def overlaps(left: tuple, right: tuple) -> np.ndarray:
+    """Whether each pair of two blocks of multisets (keys, counts) reaches SIMILARITY; exact."""
+    (row_a, key_a, size_a), (row_b, key_b, size_b) = _columns(*left), _columns(*right)
+    both = np.intersect1d(key_a, key_b)
+    shared = np.zeros((len(size_a), len(size_b)))
+    held_a, held_b = np.isin(key_a, both), np.isin(key_b, both)
+    at_a, at_b = np.searchsorted(both, key_a[held_a]), np.searchsorted(both, key_b[held_b])
+    for low in range(0, len(both), STRIP):
+        high = min(low + STRIP, len(both))
+        shared += _dense(row_a[held_a], at_a, len(size_a), low, high) @ _dense(row_b[held_b], at_b, len(size_b), low, high).T
+    whole = size_a[:, None] + size_b[None, :] - shared
+    return shared >= (SIMILARITY - 1e-12) * whole
+
+
+def _cross(cell: pa.Table) -> pa.Table:
+    """Verified links of a cell that join two trees of its nodes; nodes of one component are joined from the start."""
+    side = cell.column("left").to_numpy(zero_copy_only=False)
+    node, component = (cell.column(n).to_pylist() for n in ("node", "component"))
+    blobs = [cell.column(n).to_pylist() for n in ("keys", "counts")]
+    at, to = np.flatnonzero(side), np.flatnonzero(~side)
+    pick = lambda rows: tuple([blob[i] for i in rows] for blob in blobs)
+    tree: dict[bytes, bytes] = {}
+
+    def root(x: bytes) -> bytes:
+        while tree.get(x, x) != x:
+            tree[x] = tree.get(tree[x], tree[x])
+            x = tree[x]
+        return x
+
+    a, b = [], []
+    for i, j in zip(*np.nonzero(overlaps(pick(at), pick(to))), strict=True):
+        one, two = root(component[at[i]]), root(component[to[j]])
+        if one != two:
+            tree[one] = two
+            a.append(max(node[at[i]], node[to[j]]))
+            b.append(min(node[at[i]], node[to[j]]))
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "linked": pa.array([True] * len(a), pa.bool_())})
+
+
+def _crossing(buckets: DataFrame, known: DataFrame, spelled: DataFrame) -> DataFrame:
+    """Links a, b that connect whatever is connected inside the buckets of more than SMALL nodes across components.
+
+    One end of a link that matters is outside the bucket's greatest component. Those nodes meet all nodes of the bucket in cells
+    of two blocks; a bucket of any size is dealt to many cells.
     """
-    filed = buckets.where(F.col("members") > SMALL).join(known, "node")
+    filed = buckets.where(F.col("members") > SMALL).select("key", "node").join(known, "node")
     parts = filed.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n")).where("most < n")
-    held = written(filed.select("key", "node", "component").join(mixed, "key").join(facts.select("node", "size", "sketch"), "node"), "open-buckets")
-    entry = F.collect_list(F.struct("node", "component", "size", "sketch"))
-    place = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK))
-    right = held.withColumn("block", place).groupBy("key", "block").agg(entry.alias("right"))
-    own = F.pmod(F.xxhash64("node"), F.ceil((F.col("n") - F.col("most")) / BLOCK))
-    left = held.where("component <> main").withColumn("own", own).groupBy("key", "own", "n").agg(entry.alias("left"))
-    left = left.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK) - 1)))
-    return left.join(right, ["key", "block"]).select("left", "right").mapInArrow(_cross, "a binary, b binary").distinct()
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    held = written(filed.join(mixed.select("key", "main", blocks(F.col("n")).alias("blocks"), blocks(F.col("n") - F.col("most")).alias("owns")), "key"), "open-buckets")
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    left = held.where("component <> main").select("key", mine("owns").alias("own"), others("blocks").alias("block"), F.lit(True).alias("left"), "node", "component")
+    right = held.select("key", others("owns").alias("own"), mine("blocks").alias("block"), F.lit(False).alias("left"), "node", "component")
+    cells = left.unionByName(right).join(spelled, "node")
+    return cells.groupBy("key", "own", "block").applyInArrow(_cross, "a binary, b binary, linked boolean")
 
 
 def _pairs(buckets: DataFrame, placed: DataFrame, turn: int) -> DataFrame:
@@ -253,14 +287,35 @@ def _pairs(buckets: DataFrame, placed: DataFrame, turn: int) -> DataFrame:
     return paired.where(fits).select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with the node of each text in column _node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = tb.column(batch, "text")
+            nodes = [k for lo, hi in tb.slices(text) for k in node_keys(*shingles(text[lo:hi]))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.binary())], names=[*batch.schema.names, "_node"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_node", T.BinaryType())]))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class, the one with the least doc_id, with all columns of docs."""
-    found = written(classes(docs), "classes")
-    kept = found.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    # rows without an id cannot name a class; they stay
-    known = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    if not kept.where("rows > 1").isEmpty():
-        known = known.dropDuplicates(["doc_id", "text"])
-    if not found.where("doc_id is null").isEmpty():
-        known = known.unionByName(docs.where("doc_id is null"))
+    """One document of each class, the one with the least doc_id, with all columns of docs.
+
+    Rows are judged by their own text: of rows that share an id only one whose text belongs to the class that the id names stays. A row without
+    an id stays only where no row of its class has one, and one such row for each class.
+    """
+    found = written(memberships(docs), "classes")
+    firsts = found.where("doc_id = class_id")
+    once = firsts.join(found.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows = 1"), "doc_id", "left_semi")
+    known = docs.join(once.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    again = written(found.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated-ids")
+    if not again.isEmpty():
+        rows = _keyed(docs.join(again, "doc_id", "left_semi").select(docs.columns))
+        mine = firsts.select("doc_id", F.col("node").alias("_node")).distinct()
+        known = known.unionByName(rows.join(mine, ["doc_id", "_node"], "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
+    nameless = found.where("doc_id IS NULL AND class_id IS NULL").select(F.col("node").alias("_node"), "component").distinct()
+    if not found.where("doc_id IS NULL").isEmpty():
+        rows = _keyed(docs.where("doc_id IS NULL")).join(nameless.withColumnRenamed("component", "_component"), "_node")
+        known = known.unionByName(rows.dropDuplicates(["_component"]).select(docs.columns))
     return known

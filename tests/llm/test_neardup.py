@@ -80,6 +80,46 @@ def test_one_document_of_each_class_stays_with_all_columns(spark, documents, pro
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 4, 9]
 
 
+def test_rows_without_an_id_are_linked_to_near_texts(documents, prose):
+    text = prose(3, 200)
+    near = lambda k: " ".join([*text.split()[:-1], f"other{k}"])
+    lone = prose(8, 80)
+    rows = [(None, text), (1, near(1)), (None, near(2)), (None, lone), (None, lone + " end"), (7, prose(9, 60))]
+    assert sorted(map(tuple, neardup.classes(documents(rows)).collect()), key=str) == brute(rows)
+    kept = sorted((r["doc_id"], len(r["text"].split())) for r in neardup.keep_one(documents(rows)).where("doc_id is not null").collect())
+    assert kept == [(1, 200), (7, 60)]
+    assert neardup.keep_one(documents(rows)).where("doc_id is null").count() == 1
+
+
+def test_rows_with_one_id_are_kept_by_their_own_text(documents, prose):
+    rows = [(3, prose(1, 60)), (5, prose(2, 60)), (5, prose(1, 60)), (5, prose(2, 60)), (6, prose(4, 60)), (6, prose(5, 60))]
+    kept = sorted((r["doc_id"], r["text"]) for r in neardup.keep_one(documents(rows)).collect())
+    assert kept[:2] == [(3, prose(1, 60)), (5, prose(2, 60))] and [k[0] for k in kept[2:]] == [6]
+
+
+@pytest.mark.parametrize("block,strip", [(512, 8192), (7, 16)])
+def test_a_crowded_group_mostly_below_the_threshold(documents, prose, monkeypatch, block, strip):
+    """All pairs are alike, few are linked, some only through others; cells of any size find the same classes."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "STRIP", strip)
+    rows = crossed(prose, 40) + [(500 + i, prose(5, 300) + " x" * (i % 3)) for i in range(9)] + [(600, "a b " * 90), (601, "a b " * 80)]
+    assert sorted(map(tuple, neardup.classes(documents(rows)).collect()), key=str) == brute(rows)
+
+
+def test_block_overlaps_equal_pairwise_similarity():
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(40):
+        keys = np.unique(rng.integers(0, 60, 40).astype(np.uint32))
+        sets.append((keys, rng.integers(1, 4, len(keys)).astype(np.uint32) if rng.random() < 0.5 else np.ones(len(keys), np.uint32)))
+    blobs = [k.tobytes() for k, _ in sets], [b"" if (c == 1).all() else c.tobytes() for _, c in sets]
+    got = neardup.overlaps(tuple(x[:15] for x in blobs), tuple(x[15:] for x in blobs))
+    for i in range(15):
+        for j in range(25):
+            exact = bagminhash.similarity(sets[i][0], sets[i][1].astype(np.int64), sets[15 + j][0], sets[15 + j][1].astype(np.int64))
+            assert got[i, j] == (exact >= neardup.SIMILARITY - 1e-12)
+
+
 def test_empty_table(spark, documents):
     assert neardup.classes(documents([])).count() == 0
 
