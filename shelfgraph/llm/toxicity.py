@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from shelfgraph.llm import textbytes as tb
 
 MAX_EXAMPLES = 2000  # labelled rows of each label at most: the documented bound of the fitted sample
-NEIGHBOURS = 15
+PRIOR = 0.05  # weight in every vote of the share of toxic examples
 BLOCK = 64
 THRESHOLD = 0.7
 
@@ -37,6 +38,7 @@ class Model:
     terms: np.ndarray  # sorted word hashes
     idf: np.ndarray
     base: float  # score of a text without any term
+    share: float  # of toxic examples
     example: np.ndarray  # ids, in index order
     toxic: np.ndarray
     posting_bounds: np.ndarray  # (terms, 2) into the two arrays below
@@ -117,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn=None) -> Model:
 
 def _blank(base: float) -> Model:
     none = np.zeros(0)
-    return Model(none.astype(np.uint64), none, min(base, 0.5), none.astype(np.int64), none.astype(np.int64), np.zeros((0, 2), np.int64), none.astype(np.int64), none, np.zeros(1, np.int64), none.astype(np.int64), none, np.zeros(1, np.int64), np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+    return Model(none.astype(np.uint64), none, min(base, 0.5), base, none.astype(np.int64), none.astype(np.int64), np.zeros((0, 2), np.int64), none.astype(np.int64), none, np.zeros(1, np.int64), none.astype(np.int64), none, np.zeros(1, np.int64), np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
 
 def document_frequency(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
@@ -172,7 +174,8 @@ def _index(rows, keys, y, weight, terms, idf) -> Model:
     starts = np.append(starts, len(cell))
     tops = np.maximum.reduceat(value[order], starts[:-1]) if len(cells) else np.zeros(0)
     ranges = np.stack([starts[term_cells[:-1]], starts[term_cells[1:]]], axis=1)
-    model = Model(terms, idf, base, ids[sequence], y[sequence], ranges, place[row][order], value[order], term_cells, cells % blocks, tops, starts, np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+    share = float((weight[y] * y).sum() / weight[y].sum())
+    model = Model(terms, idf, base, share, ids[sequence], y[sequence], ranges, place[row][order], value[order], term_cells, cells % blocks, tops, starts, np.array([0.0, 1.0]), np.array([0.0, 1.0]))
     votes = np.zeros(len(sequence))
     by_row = np.searchsorted(row, np.arange(len(rows) + 1))
     for at, i in enumerate(sequence):
@@ -190,27 +193,31 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(of)) - (np.cumsum(count) - count - lo)[of], of
 
 
-def nearest(model: Model, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, skip: int = -1):
-    """The k examples of greatest cosine with the query, ties by example id; exact."""
+def nearest(model: Model, terms: np.ndarray, weights: np.ndarray, k: int | None = None, skip: int = -1):
+    """The k examples (the root of their number, if k is not given) of greatest cosine with the query, ties by example id; exact."""
     cell, of = _ranges(model.term_cells[terms], model.term_cells[terms + 1])
     n = len(model.example)
+    k = k or max(1, math.isqrt(n))
     block = model.cell_block[cell]
     bound = np.bincount(block, weights[of] * model.cell_max[cell], minlength=-(-n // BLOCK))
-    by_block = np.argsort(block, kind="stable")
-    edges = np.searchsorted(block[by_block], np.arange(len(bound) + 1))
     best_at, best = np.zeros(0, np.int64), np.zeros(0)
-    waiting, step = np.argsort(-bound, kind="stable"), 2
+    waiting, step = np.argsort(-bound, kind="stable"), 4
     while len(waiting):
         # the next blocks at once, twice as many each time; those that can't reach the k-th best stay shut
         able = bound[waiting] > 0 if len(best) < k else bound[waiting] >= max(best[-1] - 1e-9, 1e-300)
         waiting = waiting[able]
-        opened, waiting, step = waiting[:step], waiting[step:], 2 * step
-        mine = by_block[_ranges(edges[opened], edges[opened + 1])[0]]
+        chosen, waiting, step = waiting[:step], waiting[step:], 2 * step
+        opened = np.zeros(len(bound), bool)
+        opened[chosen] = True
+        mine = np.flatnonzero(opened[block])
         posting, at_cell = _ranges(model.cell_start[cell[mine]], model.cell_start[cell[mine] + 1])
         score = np.bincount(model.posting_example[posting], weights[of[mine]][at_cell] * model.posting_weight[posting], minlength=n)
         if skip >= 0:
             score[skip] = 0
-        at = np.flatnonzero(score > 0)
+        # scores are ranked on nine decimals; what lies clearly below the k-th best so far, or the k-th of these, can't stay
+        at = np.flatnonzero(score > (max(best[-1] - 2e-9, 0.0) if len(best) == k else 0.0))
+        if len(at) > 4 * k:
+            at = at[score[at] >= np.partition(score[at], len(at) - k)[len(at) - k] - 2e-9]
         best_at, best = np.append(best_at, at), np.append(best, np.round(score[at], 9))
         order = np.lexsort((model.example[best_at], -best))[:k]
         best_at, best = best_at[order], best[order]
@@ -218,14 +225,18 @@ def nearest(model: Model, terms: np.ndarray, weights: np.ndarray, k: int = NEIGH
 
 
 def vote(model: Model, near: np.ndarray, cosine: np.ndarray) -> float:
+    """Share of toxic neighbours, weighted by the squared cosine, so that many far ones don't outvote a near one.
+
+    The share of toxic examples votes with a fixed weight: with far neighbours only, a vote stays near it.
+    """
     if not len(near):
         return model.base
-    w = 1.0 / (1.05 - np.minimum(cosine, 1.0))
-    return float((w * model.toxic[near]).sum() / w.sum())
+    w = np.square(np.minimum(cosine, 1.0))
+    return float((PRIOR * model.share + (w * model.toxic[near]).sum()) / (PRIOR + w.sum()))
 
 
 def calibrate(votes: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Isotonic regression of the label on the vote, as interpolation knots."""
+    """Isotonic regression of the label on the vote, as interpolation knots; levels never fall as the vote rises."""
     order = np.argsort(votes, kind="stable")
     pools: list[list[float]] = []
     for v, label, w in zip(votes[order], y[order], weight[order], strict=True):
@@ -233,9 +244,9 @@ def calibrate(votes: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.
         while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
             top = pools.pop()
             pools[-1] = [a + b for a, b in zip(pools[-1], top, strict=True)]
-    # one pseudo-count of either label keeps the levels off 0 and 1
+    # one pseudo-count of either label keeps the levels off 0 and 1; it moves small pools most, so order is restored after it
     knots = np.array([p[0] / p[2] for p in pools])
-    return knots, np.array([(p[1] + 0.5) / (p[2] + 1.0) for p in pools])
+    return knots, np.maximum.accumulate(np.array([(p[1] + 0.5) / (p[2] + 1.0) for p in pools]))
 
 
 def scores_of(model: Model, text: pa.Array, seen: np.ndarray, known: dict) -> tuple[np.ndarray, list[np.ndarray]]:

@@ -60,6 +60,15 @@ def test_copies_of_examples_find_them_whatever_their_words(spark, documents, pro
     assert {d: e[0] for d, e in found.items()} == {**{1000 + i: i for i in range(0, 120, 2)}, 1001: 1}
 
 
+def test_far_neighbours_do_not_outvote_a_near_one_and_levels_rise(spark, documents, prose):
+    _, model = small_model(spark, documents, prose)
+    good, bad = np.flatnonzero(model.toxic == 0), np.flatnonzero(model.toxic == 1)
+    near = np.append(good[:1], bad[:14])
+    assert toxicity.vote(model, near, np.append(0.8, np.full(14, 0.05))) < model.share
+    assert toxicity.vote(model, bad[:5], np.full(5, 0.01)) < 0.6 < toxicity.vote(model, bad[:5], np.full(5, 0.5))
+    assert (np.diff(model.levels) >= 0).all() and (np.diff(model.knots) > 0).all()
+
+
 def test_no_labels_predict_nothing(spark, documents, awkward):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = documents(awkward)

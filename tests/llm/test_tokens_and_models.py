@@ -116,10 +116,10 @@ def test_leaks_equal_brute_force(spark, documents, prose, awkward):
     assert decontaminate.leaks(documents(rows), benchmark.limit(0)).count() == 0
 
 
-def secret_rows(prose):
+def secret_rows(prose, seed=0):
     rng = np.random.default_rng(4)
     hexes = ["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(80)]
-    rows = [(i, prose(i, 30) + f' token = "{h}" ' + prose(i + 500, 20)) for i, h in enumerate(hexes[:40])]
+    rows = [(i, prose(seed + i, 30) + f' token = "{h}" ' + prose(seed + i + 500, 20)) for i, h in enumerate(hexes[:40])]
     return rows + [(100 + i, prose(i, 30) + f" {int(h[:8], 16):010d}{int(h[8:14], 16):08d} " + prose(i, 20)) for i, h in enumerate(hexes[40:])]
 
 
@@ -219,7 +219,7 @@ def test_pipeline_decisions_take_effect(spark, tmp_path, documents, prose):
     item = prose(999, 20)
     rows = [(i, prose(i, 40) + (" foul vile nasty foul" if i % 2 else "")) for i in range(80)]
     rows += [(200, prose(5000, 60)), (201, prose(5000, 60)), (202, "start " + prose(5001, 20) + " " + item + " end"), (203, None), (204, "")]
-    rows += [(300 + i, r[1] + " " + prose(7000 + i, 3, bank)) for i, r in enumerate(secret_rows(prose)[:20])]
+    rows += [(300 + i, r[1] + " " + prose(7000 + i, 3, bank)) for i, r in enumerate(secret_rows(prose, 20000)[:20])]
     documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, i % 2) for i in range(80)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
