@@ -238,13 +238,18 @@ def _cross(cell: pa.Table) -> pa.Table:
             x = tree[x]
         return x
 
+    names, code = np.unique(np.array([*component, b""], object)[:-1], return_inverse=True)
+    linked = overlaps(pick(at), pick(to)) & (code[at][:, None] != code[to][None, :])
+    i, j = np.nonzero(linked)
+    # one link is enough between the same two components
+    _, first = np.unique(code[at[i]] * len(names) + code[to[j]], return_index=True)
     a, b = [], []
-    for i, j in zip(*np.nonzero(overlaps(pick(at), pick(to))), strict=True):
-        one, two = root(component[at[i]]), root(component[to[j]])
+    for x, y in zip(at[i[first]], to[j[first]], strict=True):
+        one, two = root(component[x]), root(component[y])
         if one != two:
             tree[one] = two
-            a.append(max(node[at[i]], node[to[j]]))
-            b.append(min(node[at[i]], node[to[j]]))
+            a.append(max(node[x], node[y]))
+            b.append(min(node[x], node[y]))
     return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "linked": pa.array([True] * len(a), pa.bool_())})
 
 
