@@ -12,6 +12,7 @@ MIN_TERM_LENGTH = 2
 DEFAULT_SEARCH_LIMIT = 5
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_FOLD = str.maketrans(_UPPER, _UPPER.lower())
 _PUNCTUATION = r"([!-/:-@\[-`{-~ ])"
 
 
@@ -20,6 +21,10 @@ def ascii_fold(text: Column) -> Column:
     return F.translate(text, _UPPER, _UPPER.lower())
 
 
+def fold_text(text: str) -> str:
+    return text.translate(_FOLD)
+
+
 def escaped(term: Column) -> Column:
     """Term with every ASCII punctuation mark and space made literal."""
     return F.regexp_replace(term, _PUNCTUATION, r"\\$1")
@@ -52,15 +57,6 @@ def effective_limit(limit: int | None) -> int:
     return limit if limit is not None and limit > 0 else DEFAULT_SEARCH_LIMIT
 
 
-def grams(text: Column) -> Column:
-    """Distinct two-character substrings of the folded text (empty below two characters)."""
-    folded = ascii_fold(text)
-    starts = F.when(F.length(folded) >= 2, F.sequence(F.lit(1), F.length(folded) - 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(folded, i, F.lit(2))))
-
-
 def serving_key(product_id: Column, page: Column, page_size: Column) -> Column:
     return F.concat_ws(":", F.lit("recs"), product_id, page, page_size)
 

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import (
-    effective_limit, grams, is_searchable, is_searchable_text, search_pattern, search_pattern_text,
-)
+from ..functions.text import effective_limit, fold_text, is_searchable, is_searchable_text, search_pattern_text
 from ..operators.expand import brand_product_counts, by_name, product_brands
 from ..operators.ranking import first_per_key
+from ..session import stage
 from ..sources.schema import CatalogGraph
 
 RESULT_COLUMNS = ["kind", "position", "id", "name", "relatedName", "productCount"]
@@ -87,26 +88,83 @@ def _positions(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFra
     return rows.withColumn("position", F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("bigint"))
 
 
+# Characters at which the pattern of a term stops: a name with one matches only if the term spans it.
+LINE_ENDS = "\n\r\u0085\u2028\u2029"
+GROUP_BYTES = 4 << 20  # terms of one automaton
+
+
+class TermGroup:
+    """Terms of bounded bytes, and their automaton, which each Python worker builds once."""
+
+    def __init__(self, terms: list[str]):
+        self.terms = terms
+        self.automaton = None
+
+    def __getstate__(self) -> dict:
+        return {"terms": self.terms, "automaton": None}
+
+    def built(self):
+        import ahocorasick
+
+        if self.automaton is None:
+            filed: dict[str, list[int]] = {}
+            for i, term in enumerate(self.terms):
+                filed.setdefault(fold_text(term), []).append(i)
+            machine = ahocorasick.Automaton()
+            for folded, which in filed.items():
+                machine.add_word(folded, (len(folded), which))
+            machine.make_automaton()
+            self.automaton = machine
+        return self.automaton
+
+    def found(self, name: str) -> list[int]:
+        """Terms that occur in a name, each once; all line ends of the name have to lie inside the occurrence."""
+        breaks = [i for i, c in enumerate(name) if c in LINE_ENDS]
+        low, high = (breaks[0], breaks[-1]) if breaks else (len(name), -1)
+        hits = {i for end, (size, which) in self.built().iter(fold_text(name)) if end - size + 1 <= low and high <= end for i in which}
+        return sorted(hits)
+
+
+def term_groups(terms: DataFrame) -> Iterator[TermGroup]:
+    """The searchable terms in groups of about GROUP_BYTES, one at a time on the driver."""
+    asked = stage(terms.select("term").where(is_searchable(F.col("term"))).distinct(), "terms")
+    total = asked.agg(F.sum(F.octet_length("term"))).first()[0] or 0
+    groups = 1 + total // GROUP_BYTES
+    for g in range(groups):
+        rows = asked.where(F.pmod(F.xxhash64("term"), F.lit(groups)) == g).collect()
+        if rows:
+            yield TermGroup(sorted(r["term"] for r in rows))
+
+
 def matching_names(terms: DataFrame, names: DataFrame) -> DataFrame:
     """(term, id, name) for every term that occurs in a name.
 
-    Terms meet names through a shared two-character gram, an equi-join that
-    Spark partitions, and only those candidates are tested against the pattern.
-    Every searchable term has a gram, and a name that holds the term holds it too. A term is
-    filed under the gram that fewest names have, so a gram in a third of all
-    names is used only by terms that have nothing rarer.
+    The terms of a group form one automaton (Aho and Corasick), so a name is read once per group, whatever the number of terms
+    and however frequent their letters; nothing is joined. A term in a third of all names costs its hits only.
     """
-    asked = terms.select("term").where(is_searchable(F.col("term"))).distinct()
-    name_grams = names.select("id", "name", F.explode(grams(F.col("name"))).alias("gram"))
-    weights = name_grams.groupBy("gram").agg(F.count("*").alias("_n"))
-    filed = (
-        asked.select("term", F.explode(grams(F.col("term"))).alias("gram"))
-        .join(weights, "gram", "left")
-        .groupBy("term")
-        .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "gram")).alias("_g"))
-        .select("term", F.col("_g.gram").alias("gram"), search_pattern(F.col("term")).alias("_pattern"))
-    )
-    return name_grams.join(filed, "gram").where(F.expr("name RLIKE _pattern")).select("term", "id", "name")
+    out = None
+    for group in term_groups(terms):
+        shared = names.sparkSession.sparkContext.broadcast(group)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            known = shared.value
+            for batch in batches:
+                rows, hits = [], []
+                for row, name in enumerate(batch.column(1).to_pylist()):
+                    if name:
+                        found = known.found(name)
+                        hits += found
+                        rows += [row] * len(found)
+                    if len(hits) >= 10_000 or row == batch.num_rows - 1:
+                        at = pa.array(rows, pa.int64())
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([known.terms[i] for i in hits], pa.string()), batch.column(0).take(at), batch.column(1).take(at)], names=["term", "id", "name"]
+                        )
+                        rows, hits = [], []
+
+        part = names.select("id", "name").mapInArrow(run, "term string, id bigint, name string")
+        out = part if out is None else out.unionByName(part)
+    return names.select(F.lit("").alias("term"), "id", "name").limit(0) if out is None else out
 
 
 def search_bulk(graph: CatalogGraph, terms: DataFrame, limit: int | None = None) -> DataFrame:

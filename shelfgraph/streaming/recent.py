@@ -1,68 +1,63 @@
-"""Recently viewed lists kept up to date by a stream of view events."""
+"""Recently viewed lists kept up to date by a stream of view events.
+
+For the users of a batch the stream writes their newest views in it; every written row is a view, and the newest few of all rows
+of a user are its list. So the stream holds no state: late, repeated and replayed events change no list, and a user who stays away costs nothing.
+`compact` folds the written batches into one table of at most a list per user, whatever the number of batches.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..plans.recent import MAX_RECENT, recent_items
+from ..session import drop_path
 
-SHARES = 16  # parts of one user's state; a user with a third of all views is spread over this many tasks
 
-_OUT = "user_id bigint, share int, version bigint, productId bigint, viewed_us bigint"
-_STATE = "items array<bigint>, viewed array<bigint>, version bigint"
+def batch_rows(views: DataFrame, keep: int = MAX_RECENT) -> DataFrame:
+    """(user_id, productId, viewed_us): the newest views of each user in one batch."""
+    return recent_items(views, keep).select("user_id", "productId", F.unix_micros("viewed_at").alias("viewed_us"))
 
 
-def recent_updates(views: DataFrame, keep: int = MAX_RECENT, shares: int = SHARES) -> DataFrame:
-    """Stream of refreshed partial lists, keyed by (user_id, share), each with a growing version.
+def current_lists(updates: DataFrame, keep: int = MAX_RECENT) -> DataFrame:
+    """Current (user_id, productId, viewed_at, position) from a table of written batches."""
+    return recent_items(updates.select("user_id", "productId", F.timestamp_micros("viewed_us").alias("viewed_at")), keep)
 
-    State per key is the newest `keep` items with their last view. An item's views all go to the same
-    share, so a user's newest items are among the newest of the shares. An evicted item can only return with
-    a newer view, so late and repeated events cannot change the answer and no watermark is needed.
-    """
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        items, viewed, version = state.get if state.exists else ([], [], 0)
-        last = dict(zip(items, viewed))
-        for batch in batches:
-            newest = batch.groupby("productId")["viewed_us"].max()
-            for item, at in zip(newest.index.tolist(), newest.tolist()):
-                last[item] = max(at, last.get(item, at))
-            top = sorted(last.items(), key=lambda pair: (-pair[1], pair[0]))[:keep]
-            last = dict(top)
-        state.update((list(last.keys()), list(last.values()), version + 1))
-        yield pd.DataFrame(
-            {
-                "user_id": key[0],
-                "share": key[1],
-                "version": version + 1,
-                "productId": list(last.keys()),
-                "viewed_us": list(last.values()),
-            }
-        )
-
-    keyed = views.where(F.col("productId").isNotNull() & F.col("viewed_at").isNotNull()).select(
-        "user_id",
-        F.pmod(F.xxhash64("productId"), F.lit(shares)).cast("int").alias("share"),
-        "productId",
-        F.unix_micros("viewed_at").alias("viewed_us"),
-    )
-    return keyed.groupBy("user_id", "share").applyInPandasWithState(
-        update, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout
-    )
+def _merged_root(table_path: str) -> str:
+    return f"{table_path.rstrip('/')}-merged"
 
 
-def current_lists(updates: DataFrame, keep: int = MAX_RECENT) -> DataFrame:
-    """Current (user_id, productId, viewed_at, position) from a table of emitted updates."""
-    newest = updates.groupBy("user_id", "share").agg(F.max("version").alias("version"))
-    live = updates.join(newest, ["user_id", "share", "version"], "left_semi")
-    return recent_items(
-        live.select("user_id", "productId", F.timestamp_micros("viewed_us").alias("viewed_at")), keep
-    )
+def _read(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(pattern)
+    except AnalysisException:  # nothing written yet
+        return spark.createDataFrame([], schema)
+
+
+def stored_lists(spark: SparkSession, table_path: str, keep: int = MAX_RECENT) -> DataFrame:
+    """Current lists from the compacted table and the batches since."""
+    rows = "user_id bigint, productId bigint, viewed_us bigint"
+    batches, merged = _read(spark, f"{table_path}/batch=*", rows), _read(spark, f"{_merged_root(table_path)}/*", rows)
+    return current_lists(batches.unionByName(merged), keep)
+
+
+def compact(spark: SparkSession, table_path: str, keep: int = MAX_RECENT) -> None:
+    """Fold all batches into one compacted table, then delete what it holds.
+
+    Run it between two runs of the stream. A failure in between leaves rows twice, which changes no list; a batch that a
+    restart writes again is folded again. The compacted table has at most `keep` rows per user.
+    """
+    files = stored_lists(spark, table_path, keep)
+    old = sorted({f.rsplit("/", 1)[0] for f in files.inputFiles()})
+    if old:
+        rows = files.select("user_id", "productId", F.unix_micros("viewed_at").alias("viewed_us"))
+        rows.write.parquet(f"{_merged_root(table_path)}/{uuid.uuid4().hex}")
+        for path in old:
+            drop_path(spark, path)
 
 
 def start(views: DataFrame, table_path: str, checkpoint_path: str, **trigger):
@@ -70,12 +65,11 @@ def start(views: DataFrame, table_path: str, checkpoint_path: str, **trigger):
     so a restart after a failure leaves no duplicate."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
+        batch_rows(batch).write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
 
     return (
-        recent_updates(views)
-        .writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint_path)
+        views.select("user_id", "productId", "viewed_at")
+        .writeStream.option("checkpointLocation", checkpoint_path)
         .foreachBatch(write)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

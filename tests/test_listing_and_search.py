@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from shelfgraph.functions.text import is_searchable_text, search_pattern_text
 from shelfgraph.plans import listing, search
 from shelfgraph.sources import quality, tables
 
@@ -197,3 +198,19 @@ def test_graph_round_trip_and_clear(spark, micro, tmp_path):
     )
     tables.clear_graph(spark, root)
     assert all(t.isEmpty() for t in tables.read_graph(spark, root).tables().values())
+
+
+@pytest.mark.parametrize("group_bytes", [1 << 22, 12])
+def test_bulk_matches_equal_the_pattern_of_every_term(spark, monkeypatch, group_bytes):
+    """Nested, overlapping and folded terms, line ends inside and outside of them, a term in a third of all names."""
+    monkeypatch.setattr(search, "GROUP_BYTES", group_bytes)
+    rng = random.Random(2)
+    names = [(i, ("hot" if i % 3 == 0 else "") + "".join(rng.choice("aAbBé .\n\r\u2028*") for _ in range(rng.randint(0, 9)))) for i in range(200)] + [(500, None), (501, "")]
+    terms = ["hot", "HOT", "ab", "a", "aba", "b a", "a\nb", "\n\n", "\r\n", ".*", "é ", "É ", "  ", "", None, "ba", "ba", "a\u2028"]
+    table = spark.createDataFrame(names, "id long, name string")
+    got = search.matching_names(spark.createDataFrame([(t,) for t in terms], "term string"), table).collect()
+    want = set()
+    for term in {t for t in terms if is_searchable_text(t)}:
+        want |= {(term, r.id) for r in table.where(F.col("name").rlike(search_pattern_text(term))).collect()}
+    assert len(got) == len(want) and {(r.term, r.id) for r in got} == want
+    assert len([1 for t, _ in want if t == "hot"]) >= 20

@@ -103,6 +103,24 @@ def test_stream_equals_batch_in_any_arrival_order(spark, tmp_path):
     assert found(stream.current_lists(spark.read.parquet(updates))) == brute_recent(rows)
 
 
+def test_compaction_between_runs_loses_no_view(spark, tmp_path):
+    """The stream holds no state; batches are folded between its runs, lists stay right and the table small."""
+    rows = views(5)
+    updates, checkpoint = str(tmp_path / "updates"), str(tmp_path / "checkpoint")
+    (tmp_path / "in").mkdir()
+    source = spark.readStream.schema(VIEW).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    stream.compact(spark, updates)  # nothing there yet
+    for part in range(3):
+        seen = rows[: (part + 1) * len(rows) // 3]
+        spark.createDataFrame(rows[part * len(rows) // 3 : (part + 1) * len(rows) // 3], VIEW).coalesce(1).write.parquet(str(tmp_path / "in" / f"p={part}"))
+        stream.start(source, updates, checkpoint).awaitTermination()
+        assert found(stream.stored_lists(spark, updates)) == brute_recent(seen)
+        stream.compact(spark, updates)
+        assert found(stream.stored_lists(spark, updates)) == brute_recent(seen)
+    merged = spark.read.parquet(f"{updates}-merged/*")
+    assert merged.count() == len(brute_recent(rows)) and not list((tmp_path / "updates").glob("batch=*/part-*"))
+
+
 def test_display_columns(spark, micro):
     items = spark.createDataFrame([(7, 1, dt.datetime(2024, 1, 1), 1), (7, 3, dt.datetime(2024, 1, 1), 2)], "user_id long, productId long, viewed_at timestamp, position long")
     rows = {r.productId: r for r in recent.with_display(items, micro).collect()}
