@@ -180,7 +180,8 @@ def _trained(stored: DataFrame, start: attention.Model) -> attention.Model:
     """The model after a pass over all learnable texts.
 
     Each flush learns on its own from the start, and the results are averaged by their windows. Sums are of
-    whole numbers, so neither order nor packing of flushes changes a score.
+    whole numbers, so the order of flushes changes no score; which texts share a flush follows the table's files, so the same
+    rows in other files train slightly other weights.
     """
     shared = stored.sparkSession.sparkContext.broadcast(start)
     names = sorted(start.weights)

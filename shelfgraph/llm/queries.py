@@ -1,4 +1,7 @@
-"""The registered query of each operator, over its whole table with production parameters."""
+"""The registered query of each operator, over its whole table with production parameters.
+
+A document without an id has no remainder: op1 and op5 give it a null held_out and don't learn from it, op8 learns from it (held_out false).
+"""
 
 from __future__ import annotations
 
