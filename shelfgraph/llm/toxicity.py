@@ -29,6 +29,7 @@ from shelfgraph.llm import textbytes as tb
 
 MAX_EXAMPLES = 2000  # labelled rows of each label at most: the documented bound of the fitted sample
 PRIOR = 0.05  # weight in every vote of the share of toxic examples
+UNLIKE = 0.05  # weight of texts like no example in the calibration
 BLOCK = 64
 THRESHOLD = 0.7
 
@@ -182,7 +183,7 @@ def _index(rows, keys, y, weight, terms, idf) -> Model:
         own = slice(by_row[i], by_row[i + 1])
         near, cosine = nearest(model, term[own], value[own], skip=at)
         votes[at] = vote(model, near, cosine)
-    model.knots, model.levels = calibrate(votes, y[sequence], weight[y[sequence]])
+    model.knots, model.levels = calibrate(votes, y[sequence], weight[y[sequence]], share)
     return model
 
 
@@ -225,18 +226,23 @@ def nearest(model: Model, terms: np.ndarray, weights: np.ndarray, k: int | None
 
 
 def vote(model: Model, near: np.ndarray, cosine: np.ndarray) -> float:
-    """Share of toxic neighbours, weighted by the squared cosine, so that many far ones don't outvote a near one.
+    """Share of toxic neighbours, weighted by the cosine, so that far ones count for little beside a near one.
 
     The share of toxic examples votes with a fixed weight: with far neighbours only, a vote stays near it.
     """
     if not len(near):
         return model.base
-    w = np.square(np.minimum(cosine, 1.0))
+    w = np.minimum(cosine, 1.0)
     return float((PRIOR * model.share + (w * model.toxic[near]).sum()) / (PRIOR + w.sum()))
 
 
-def calibrate(votes: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Isotonic regression of the label on the vote, as interpolation knots; levels never fall as the vote rises."""
+def calibrate(votes: np.ndarray, y: np.ndarray, weight: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Isotonic regression of the label on the vote, as interpolation knots; levels never fall as the vote rises.
+
+    A text that is like no example has the share of toxic examples as its vote, and should score so: that point stands beside
+    the examples with UNLIKE of their weight.
+    """
+    votes, y, weight = np.append(votes, share), np.append(y, share), np.append(weight, UNLIKE * weight.sum())
     order = np.argsort(votes, kind="stable")
     pools: list[list[float]] = []
     for v, label, w in zip(votes[order], y[order], weight[order], strict=True):
