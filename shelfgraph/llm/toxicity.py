@@ -1,10 +1,11 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
 Labelled texts are TF-IDF vectors over all their words. They are filed in a block-max inverted index:
-postings in example order, cut into blocks, with the largest weight of every (term, block) that has
-any. A query bounds each block by its block maxima and opens blocks from the highest bound down until no
-unopened block can reach the k-th best, so the neighbours are exact. Their
-distance-weighted vote is calibrated on leave-one-out votes of the examples.
+postings in example order, and for the terms that many examples hold blocks of examples with the largest
+weight of every (term, block). A query sums the short postings of the rarer terms, bounds each block by that
+and the block maxima, and opens blocks from the highest bound down until no unopened block can reach the k-th
+best, so the neighbours are exact. Texts are searched together, so that an opened block is a matrix product.
+The neighbours' distance-weighted vote is calibrated on leave-one-out votes of the examples.
 
 Defined cases: null and empty texts, and texts without a known term, have no neighbour and score as
 the share of toxic examples among those without a term. Equal cosines rank by example id. Repeated
@@ -31,6 +32,10 @@ MAX_EXAMPLES = 2000  # labelled rows of each label at most: the documented bound
 PRIOR = 0.05  # weight in every vote of the share of toxic examples
 UNLIKE = 0.05  # weight of texts like no example in the calibration
 BLOCK = 64
+COMMON = 512  # terms at most that are filed in blocks
+COMMON_SHARE = 16  # such a term stands in one of so many examples at least; for rarer ones postings cost less
+FIRST = 8  # blocks that every search opens
+TOGETHER = 64  # searches at once
 THRESHOLD = 0.7
 
 
@@ -45,10 +50,6 @@ class Model:
     posting_bounds: np.ndarray  # (terms, 2) into the two arrays below
     posting_example: np.ndarray
     posting_weight: np.ndarray
-    term_cells: np.ndarray  # (terms + 1) into the arrays below; a cell is a (term, block) with a posting
-    cell_block: np.ndarray
-    cell_max: np.ndarray
-    cell_start: np.ndarray  # (cells + 1) into the postings
     knots: np.ndarray  # calibration: vote -> probability, by interpolation
     levels: np.ndarray
 
@@ -120,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn=None) -> Model:
 
 def _blank(base: float) -> Model:
     none = np.zeros(0)
-    return Model(none.astype(np.uint64), none, min(base, 0.5), base, none.astype(np.int64), none.astype(np.int64), np.zeros((0, 2), np.int64), none.astype(np.int64), none, np.zeros(1, np.int64), none.astype(np.int64), none, np.zeros(1, np.int64), np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+    return Model(none.astype(np.uint64), none, min(base, 0.5), base, none.astype(np.int64), none.astype(np.int64), np.zeros((0, 2), np.int64), none.astype(np.int32), none, np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
 
 def document_frequency(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
@@ -167,21 +168,15 @@ def _index(rows, keys, y, weight, terms, idf) -> Model:
     sequence = filed[np.lexsort((ids[filed], lead[filed]))]
     place = np.zeros(len(rows), np.int64)
     place[sequence] = np.arange(len(sequence))
-    blocks = max(1, -(-len(sequence) // BLOCK))
-    cell = term * blocks + place[row] // BLOCK
-    order = np.lexsort((place[row], cell))
-    cells, starts = np.unique(cell[order], return_index=True)
-    term_cells = np.searchsorted(cells // blocks, np.arange(len(terms) + 1))
-    starts = np.append(starts, len(cell))
-    tops = np.maximum.reduceat(value[order], starts[:-1]) if len(cells) else np.zeros(0)
-    ranges = np.stack([starts[term_cells[:-1]], starts[term_cells[1:]]], axis=1)
+    order = np.lexsort((place[row], term))
+    edges = np.searchsorted(term[order], np.arange(len(terms) + 1))
+    ranges = np.stack([edges[:-1], edges[1:]], axis=1)
     share = float((weight[y] * y).sum() / weight[y].sum())
-    model = Model(terms, idf, base, share, ids[sequence], y[sequence], ranges, place[row][order], value[order], term_cells, cells % blocks, tops, starts, np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+    model = Model(terms, idf, base, share, ids[sequence], y[sequence], ranges, place[row][order].astype(np.int32), value[order], np.array([0.0, 1.0]), np.array([0.0, 1.0]))
     votes = np.zeros(len(sequence))
-    by_row = np.searchsorted(row, np.arange(len(rows) + 1))
-    for at, i in enumerate(sequence):
-        own = slice(by_row[i], by_row[i + 1])
-        near, cosine = nearest(model, term[own], value[own], skip=at)
+    places, _ = _ranges(*(np.searchsorted(row, sequence, side=side) for side in ("left", "right")))
+    bounds = np.append(0, np.cumsum(np.bincount(place[row], minlength=len(sequence))))
+    for at, (near, cosine) in enumerate(nearest_each(model, Common(model), bounds, term[places], value[places], skip=np.arange(len(sequence)))):
         votes[at] = vote(model, near, cosine)
     model.knots, model.levels = calibrate(votes, y[sequence], weight[y[sequence]], share)
     return model
@@ -194,35 +189,79 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(of)) - (np.cumsum(count) - count - lo)[of], of
 
 
+class Common:
+    """The terms that the most examples hold, by block: their weights in every example, and their block maxima."""
+
+    def __init__(self, model: Model):
+        self.blocks = -(-len(model.example) // BLOCK)
+        held = model.posting_bounds[:, 1] - model.posting_bounds[:, 0]
+        often = np.argsort(-held, kind="stable")[:COMMON]
+        often = often[held[often] * COMMON_SHARE >= max(1, len(model.example))]
+        self.line = np.full(len(model.terms), -1)
+        self.line[often] = np.arange(len(often))
+        posting, of = _ranges(model.posting_bounds[often, 0], model.posting_bounds[often, 1])
+        block, place = np.divmod(model.posting_example[posting], BLOCK)
+        self.weight = np.zeros((self.blocks, len(often), BLOCK))
+        self.weight[block, of, place] = model.posting_weight[posting]
+        self.top = self.weight.max(axis=2, initial=0.0).T.copy()
+
+
 def nearest(model: Model, terms: np.ndarray, weights: np.ndarray, k: int | None = None, skip: int = -1):
     """The k examples (the root of their number, if k is not given) of greatest cosine with the query, ties by example id; exact."""
-    cell, of = _ranges(model.term_cells[terms], model.term_cells[terms + 1])
-    n = len(model.example)
-    k = k or max(1, math.isqrt(n))
-    block = model.cell_block[cell]
-    bound = np.bincount(block, weights[of] * model.cell_max[cell], minlength=-(-n // BLOCK))
-    best_at, best = np.zeros(0, np.int64), np.zeros(0)
-    waiting, step = np.argsort(-bound, kind="stable"), 4
-    while len(waiting):
-        # the next blocks at once, twice as many each time; those that can't reach the k-th best stay shut
-        able = bound[waiting] > 0 if len(best) < k else bound[waiting] >= max(best[-1] - 1e-9, 1e-300)
-        waiting = waiting[able]
-        chosen, waiting, step = waiting[:step], waiting[step:], 2 * step
-        opened = np.zeros(len(bound), bool)
-        opened[chosen] = True
-        mine = np.flatnonzero(opened[block])
-        posting, at_cell = _ranges(model.cell_start[cell[mine]], model.cell_start[cell[mine] + 1])
-        score = np.bincount(model.posting_example[posting], weights[of[mine]][at_cell] * model.posting_weight[posting], minlength=n)
-        if skip >= 0:
-            score[skip] = 0
-        # scores are ranked on nine decimals; what lies clearly below the k-th best so far, or the k-th of these, can't stay
-        at = np.flatnonzero(score > (max(best[-1] - 2e-9, 0.0) if len(best) == k else 0.0))
-        if len(at) > 4 * k:
-            at = at[score[at] >= np.partition(score[at], len(at) - k)[len(at) - k] - 2e-9]
-        best_at, best = np.append(best_at, at), np.append(best, np.round(score[at], 9))
-        order = np.lexsort((model.example[best_at], -best))[:k]
-        best_at, best = best_at[order], best[order]
-    return best_at, best
+    return next(nearest_each(model, Common(model), np.array([0, len(terms)]), terms, weights, k, np.array([skip])))
+
+
+def nearest_each(model: Model, common: Common, bounds: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int | None = None, skip: np.ndarray | None = None):
+    """nearest() of several queries, whose terms and weights lie between the bounds; skip: an example that each leaves out, or -1."""
+    k = k or max(1, math.isqrt(len(model.example)))
+    for lo in range(0, len(bounds) - 1, TOGETHER):
+        part = bounds[lo : lo + TOGETHER + 1]
+        own = slice(part[0], part[-1])
+        yield from _nearest_together(model, common, part - part[0], terms[own], weights[own], k, None if skip is None else skip[lo : lo + TOGETHER])
+
+
+def _nearest_together(model, common, bounds, terms, weights, k, skip):
+    n, blocks, width = len(bounds) - 1, common.blocks, common.blocks * BLOCK
+    query = np.repeat(np.arange(n), np.diff(bounds))
+    line = common.line[terms]
+    often, rare = np.flatnonzero(line >= 0), np.flatnonzero(line < 0)
+    share = np.zeros((n, common.top.shape[0]))
+    share[query[often], line[often]] = weights[often]
+    posting, of = _ranges(model.posting_bounds[terms[rare], 0], model.posting_bounds[terms[rare], 1])
+    at = (query[rare] * width)[of] + model.posting_example[posting]
+    score = np.bincount(at, weights[rare][of] * model.posting_weight[posting], minlength=n * width).astype(float, copy=False).reshape(n, blocks, BLOCK)
+    bound = score.max(axis=2) + share @ common.top
+    # the blocks of the highest bounds first; then all that can still reach the k-th best
+    able = bound > 0
+    if blocks > FIRST:
+        able &= bound >= np.partition(bound, blocks - FIRST, axis=1)[:, [blocks - FIRST]]
+    _open(common, able, share, score, skip)
+    rest = ~able & (bound > 0) & (bound >= _kth(score, k)[:, None] - 1e-9)
+    _open(common, rest, share, score, skip)
+    # scores are ranked on nine decimals; what lies clearly below the k-th best can't stay
+    at, place = np.nonzero(score.reshape(n, width) > np.maximum(_kth(score, k) - 2e-9, 0.0)[:, None])
+    value = np.round(score.reshape(n, width)[at, place], 9)
+    order = np.lexsort((model.example[place], -value, at))
+    for a, b in itertools.pairwise(np.searchsorted(at, np.arange(n + 1))):
+        best = order[a : min(b, a + k)]
+        yield place[best], value[best]
+
+
+def _kth(score: np.ndarray, k: int) -> np.ndarray:
+    """The k-th greatest score of each query, 0 if it has fewer; scores only rise as blocks are opened."""
+    flat = score.reshape(len(score), -1)
+    below = flat.shape[1] - k
+    return np.partition(flat, below, axis=1)[:, below] if below >= 0 else np.zeros(len(score))
+
+
+def _open(common: Common, fresh: np.ndarray, share: np.ndarray, score: np.ndarray, skip: np.ndarray | None) -> None:
+    """Adds what the common terms bring to the scores of the opened blocks (queries, blocks)."""
+    for block in np.flatnonzero(fresh.any(axis=0)):
+        who = np.flatnonzero(fresh[:, block])
+        score[who, block] += share[who] @ common.weight[block]
+    if skip is not None:
+        who = np.flatnonzero(skip >= 0)
+        score[who, skip[who] // BLOCK, skip[who] % BLOCK] = 0.0
 
 
 def vote(model: Model, near: np.ndarray, cosine: np.ndarray) -> float:
@@ -255,20 +294,24 @@ def calibrate(votes: np.ndarray, y: np.ndarray, weight: np.ndarray, share: float
     return knots, np.maximum.accumulate(np.array([(p[1] + 0.5) / (p[2] + 1.0) for p in pools]))
 
 
-def scores_of(model: Model, text: pa.Array, seen: np.ndarray, known: dict) -> tuple[np.ndarray, list[np.ndarray]]:
+def scores_of(model: Model, common: Common, text: pa.Array, seen: np.ndarray, known: dict) -> tuple[np.ndarray, list[np.ndarray]]:
     """Score and nearest example ids of each text; equal vectors are searched once per task."""
     out, evidence = np.full(len(text), model.base), [np.zeros(0, np.int64)] * len(text)
     for lo, hi in tb.slices(text):
         row, term, count = term_counts(tb.Words(*tb.flat(text[lo:hi]), tb.LETTERED, fold=True), model.terms, seen)
         value = unit_vectors(row, term, count, model.idf, hi - lo)
-        for a, b in itertools.pairwise(np.flatnonzero(np.diff(row, prepend=-1, append=-1))):
-            key = hashlib.blake2b(term[a:b].tobytes() + count[a:b].tobytes(), digest_size=16).digest()
-            if key not in known:
-                if len(known) > 20_000:
-                    known.clear()
-                near, cosine = nearest(model, term[a:b], value[a:b])
-                level = float(np.interp(vote(model, near, cosine), model.knots, model.levels)) if len(near) else model.base
-                known[key] = level, model.example[near[:3]]
+        edges = np.flatnonzero(np.diff(row, prepend=-1, append=-1))
+        keys = [hashlib.blake2b(term[a:b].tobytes() + count[a:b].tobytes(), digest_size=16).digest() for a, b in itertools.pairwise(edges)]
+        if len(known) > 20_000:
+            known.clear()
+        fresh = {key: i for i, key in enumerate(keys) if key not in known}
+        first = np.array(list(fresh.values()), np.int64)
+        places, _ = _ranges(edges[first], edges[first + 1])
+        bounds = np.append(0, np.cumsum(edges[first + 1] - edges[first]))
+        for key, (near, cosine) in zip(fresh, nearest_each(model, common, bounds, term[places], value[places]), strict=True):
+            level = float(np.interp(vote(model, near, cosine), model.knots, model.levels)) if len(near) else model.base
+            known[key] = level, model.example[near[:3]]
+        for key, a in zip(keys, edges):
             out[lo + row[a]], evidence[lo + row[a]] = known[key]
     return np.clip(out, 0.0, 1.0), evidence
 
@@ -279,9 +322,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        seen, known = m.seen(), {}
+        common, seen, known = Common(m), m.seen(), {}
         for batch in batches:
-            s, e = scores_of(m, tb.column(batch, "text"), seen, known)
+            s, e = scores_of(m, common, tb.column(batch, "text"), seen, known)
             near = tb.list_array(np.concatenate([*e, np.zeros(0, np.int64)]), np.array([len(x) for x in e], np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), near], names=["doc_id", "score", "evidence"])
 
@@ -294,9 +337,9 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        seen, known = m.seen(), {}
+        common, seen, known = Common(m), m.seen(), {}
         for batch in batches:
-            s, _ = scores_of(m, tb.column(batch, "text"), seen, known)
+            s, _ = scores_of(m, common, tb.column(batch, "text"), seen, known)
             yield batch.filter(pa.array(s < threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -44,6 +44,35 @@ def test_index_search_equals_a_full_scan(spark, documents, prose):
         assert near.tolist() == order and np.allclose(cosine, full[order])
 
 
+def test_texts_searched_together_find_what_a_full_scan_finds():
+    rng = np.random.default_rng(7)
+    n, kinds = 40 * toxicity.BLOCK + 5, 300
+    held = rng.random((n, kinds)) < np.geomspace(0.6, 0.001, kinds)
+    dense = np.where(held, rng.random((n, kinds)), 0.0)
+    dense[:, 0] += 1e-3
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    dense[100] = dense[2000]
+    term, place = np.nonzero(dense.T)
+    edges = np.searchsorted(term, np.arange(kinds + 1))
+    blank = toxicity._blank(0.5)
+    model = toxicity.Model(blank.terms.copy(), blank.idf, 0.5, 0.5, rng.permutation(n), np.zeros(n, np.int64), np.stack([edges[:-1], edges[1:]], axis=1), place, dense[place, term], blank.knots, blank.levels)
+    model.terms = np.arange(kinds, dtype=np.uint64)
+    common = toxicity.Common(model)
+    assert 0 < common.top.shape[0] < kinds
+    asked = np.arange(0, n, 17)[: 2 * toxicity.TOGETHER + 3]
+    row, terms = np.nonzero(dense[asked])
+    bounds = np.searchsorted(row, np.arange(len(asked) + 1))
+    weights = dense[asked][row, terms]
+    for skip in (np.full(len(asked), -1), asked):
+        found = list(toxicity.nearest_each(model, common, bounds, terms, weights, k=20, skip=skip))
+        full = np.round(dense[asked] @ dense.T, 9)
+        for i, (near, cosine) in enumerate(found):
+            if skip[i] >= 0:
+                full[i, skip[i]] = 0
+            order = np.lexsort((model.example, -full[i]))[:20]
+            assert near.tolist() == order.tolist() and np.allclose(cosine, full[i][order])
+
+
 def test_toxic_words_decide_and_awkward_rows_pass(spark, documents, prose, awkward):
     rows, model = small_model(spark, documents, prose)
     asked = documents([*awkward, (500, "such a FOUL and vile day"), (501, "sun tree lake")])
