@@ -25,8 +25,10 @@ RATE = 0.01
 PASS_RATE = 0.003  # of the pass over all windows
 LEAST_STEPS = 100  # of a pass; few windows are passed over again
 CHUNK = 512  # windows scored at once
+PART = 128  # windows whose gradient is taken at once
 #: Which keys a query may see: those up to its own input.
-CAUSAL = np.where(np.arange(WINDOW)[None, :] <= np.arange(BLOCK)[:, None] + WINDOW - BLOCK, 0.0, -1e9).astype(np.float32)
+SEEN = np.arange(WINDOW)[None, :] <= np.arange(BLOCK)[:, None] + WINDOW - BLOCK
+CAUSAL = np.where(SEEN, 0.0, -1e9).astype(np.float32)
 
 
 @dataclass
@@ -101,35 +103,87 @@ def forward(w: dict[str, np.ndarray], inputs: np.ndarray):
 
 
 def gradient(w, inputs, kinds, valid):
-    """Mean loss over valid targets and its gradient."""
-    logits, (x, last, q, k, v, attention, context, mixed, hidden) = forward(w, inputs)
-    p = _softmax(logits)
+    """Mean loss over valid targets and its gradient.
+
+    Inputs are a class and a position, so what they bring to queries, keys and values is looked up, and what comes back is
+    added up by class and by position before it meets the weights. Scores are small, so exponentials are safe.
+    """
+    early, scale = WINDOW - BLOCK, np.float32(WIDTH**-0.5)
+    x = w["embed"][:, None] + w["position"]
+    keyed = np.concatenate([x @ w["key"], x @ w["value"]], axis=2).reshape(-1, 2 * WIDTH)
+    asked = np.concatenate([x[:, early:] @ (w["query"] * scale), x[:, early:]], axis=2).reshape(-1, 2 * WIDTH)
+    total = np.float32(max(1.0, float(valid.sum())))
+    loss, g = 0.0, {}
+    for lo in range(0, len(inputs), PART):
+        own = slice(lo * BLOCK, (lo + PART) * BLOCK)
+        more, part = _part_gradient(w, keyed, asked, inputs[lo : lo + PART], kinds[own], valid[own] / total)
+        loss += more
+        g = {name: g[name] + value for name, value in part.items()} if g else part
+    return loss, g
+
+
+def _part_gradient(w, keyed, asked, inputs, kinds, valid):
+    n, early, scale = len(inputs), WINDOW - BLOCK, np.float32(WIDTH**-0.5)
+    last = inputs[:, early:]
+    both = np.take(keyed, inputs * WINDOW + np.arange(WINDOW), axis=0)
+    k, v = both[:, :, :WIDTH], both[:, :, WIDTH:]
+    both = np.take(asked, last * BLOCK + np.arange(BLOCK), axis=0)
+    q, own = both[:, :, :WIDTH], both[:, :, WIDTH:]
+    attention = q @ k.transpose(0, 2, 1)
+    np.exp(attention, out=attention)
+    attention *= SEEN
+    before = np.flatnonzero(inputs[:, 0] == CLASSES + 1)
+    attention[before] *= (inputs[before] != CLASSES + 1)[:, None, :]
+    attention /= (attention @ np.ones(WINDOW, np.float32))[:, :, None]
+    context = attention @ v
+    flat = context.reshape(-1, WIDTH)
+    mixed = own.reshape(-1, WIDTH) + flat @ w["project"]
+    hidden = mixed @ w["inner"]
+    hidden += w["inner_bias"]
+    np.maximum(hidden, 0, out=hidden)
+    p = hidden @ w["out"]
+    p += w["out_bias"]
     rows = np.arange(len(kinds))
-    total = max(1.0, float(valid.sum()))
-    loss = float(-(np.log(np.maximum(p[rows, kinds], 1e-30)) * valid).sum() / total)
-    p[rows, kinds] -= 1
-    p *= (valid / total)[:, None]
-    g = {"out": hidden.T @ p, "out_bias": p.sum(axis=0)}
-    dh = (p @ w["out"].T) * (hidden > 0)
-    g["inner"], g["inner_bias"] = mixed.T @ dh, dh.sum(axis=0)
-    dm = (dh @ w["inner"].T).reshape(last.shape)
-    g["project"] = context.reshape(-1, WIDTH).T @ dm.reshape(-1, WIDTH)
-    dc = dm @ w["project"].T
-    da = dc @ v.transpose(0, 2, 1)
-    dv = attention.transpose(0, 2, 1) @ dc
-    ds = attention * (da - (da * attention).sum(axis=-1, keepdims=True)) * np.float32(WIDTH**-0.5)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    g["query"] = last.reshape(-1, WIDTH).T @ dq.reshape(-1, WIDTH)
-    g["key"] = x.reshape(-1, WIDTH).T @ dk.reshape(-1, WIDTH)
-    g["value"] = x.reshape(-1, WIDTH).T @ dv.reshape(-1, WIDTH)
-    dx = dk @ w["key"].T + dv @ w["value"].T
-    dx[:, WINDOW - BLOCK :] += dm + dq @ w["query"].T
-    g["position"] = dx.sum(axis=0)
-    g["embed"] = np.zeros_like(w["embed"])
-    np.add.at(g["embed"], inputs, dx)
+    picked = p[rows, kinds]
+    np.exp(p, out=p)
+    whole = p @ np.ones(CLASSES, np.float32)
+    loss = float(((np.log(whole) - picked) * valid).sum())
+    p *= (valid / whole)[:, None]
+    p[rows, kinds] -= valid
+    one = np.ones(len(kinds), np.float32)
+    g = {"out": hidden.T @ p, "out_bias": one @ p}
+    dh = p @ w["out"].T
+    dh *= hidden > 0
+    g["inner"], g["inner_bias"] = mixed.T @ dh, one @ dh
+    dm = dh @ w["inner"].T
+    g["project"] = flat.T @ dm
+    dc = (dm @ w["project"].T).reshape(context.shape)
+    ds = dc @ v.transpose(0, 2, 1)
+    ds -= (dc * context) @ np.ones((WIDTH, 1), np.float32)
+    ds *= attention
+    dkey = np.concatenate([ds.transpose(0, 2, 1) @ q, attention.transpose(0, 2, 1) @ dc], axis=2)
+    dask = np.concatenate([ds @ k, dm.reshape(n, BLOCK, WIDTH)], axis=2)
+    by_class, by_place = _by_class(inputs, dkey), dkey.sum(axis=0)
+    by_class_last, by_place_last = _by_class(last, dask), dask.sum(axis=0)
+    by_class_last[:, :WIDTH] *= scale
+    by_place_last[:, :WIDTH] *= scale
+    embed, position = w["embed"], w["position"]
+    g["key"], g["value"] = np.hsplit(embed.T @ by_class + position.T @ by_place, 2)
+    g["query"] = embed.T @ by_class_last[:, :WIDTH] + position[early:].T @ by_place_last[:, :WIDTH]
+    back = np.concatenate([w["key"], w["value"]], axis=1).T
+    back_last = np.concatenate([w["query"], np.eye(WIDTH, dtype=np.float32)], axis=1).T
+    g["embed"] = by_class @ back + by_class_last @ back_last
+    g["position"] = by_place @ back
+    g["position"][early:] += by_place_last @ back_last
     return loss, g
 
 
+def _by_class(inputs: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of the values (windows, inputs, columns) of each class."""
+    one_hot = np.take(np.eye(CLASSES + 2, dtype=np.float32), inputs.reshape(-1), axis=0)
+    return one_hot.T @ values.reshape(inputs.size, -1)
+
+
 def fresh_weights(kind_counts: np.ndarray, seed: int = 11) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     draw = lambda *shape: (rng.standard_normal(shape) * 0.15).astype(np.float32)

@@ -193,6 +193,30 @@ def test_windows_score_each_id_once_and_only_from_earlier_ids():
     assert np.allclose(np.bincount(model.kind, kinds, minlength=attention.CLASSES)[np.unique(model.kind)], 1)
 
 
+def test_gradient_in_parts_is_the_slope_of_the_loss():
+    rng = np.random.default_rng(8)
+    counts = rng.integers(0, 50, 200)
+    counts[-1] = 9
+    kind, _ = attention.classify(counts.astype(float))
+    weights = {k: v * 2 for k, v in attention.fresh_weights(np.bincount(kind, counts, minlength=attention.CLASSES)).items()}
+    sizes = rng.integers(0, 90, 60)
+    inputs, target, full, _ = attention.windows(rng.integers(0, 199, sizes.sum()), np.append(0, np.cumsum(sizes)), kind)
+    assert len(inputs) > attention.PART
+    kinds, valid = kind[full[np.maximum(target, 0)]].reshape(-1), (target >= 0).astype(np.float32).reshape(-1)
+
+    def loss(w):
+        logits = attention.forward(w, inputs)[0].astype(float)
+        picked = np.take_along_axis(logits, kinds[:, None], axis=1)[:, 0]
+        return ((np.log(np.exp(logits).sum(axis=1)) - picked) * valid).sum() / valid.sum()
+
+    found, slopes = attention.gradient(weights, inputs, kinds, valid)
+    assert found == pytest.approx(loss(weights), rel=1e-5) and slopes.keys() == weights.keys()
+    for name, slope in slopes.items():
+        way = rng.standard_normal(slope.shape)
+        up, down = ({**{k: v.astype(float) for k, v in weights.items()}, name: weights[name] + sign * 1e-6 * way} for sign in (1, -1))
+        assert (loss(up) - loss(down)) / 2e-6 == pytest.approx((slope * way).sum(), rel=1e-3, abs=1e-5), name
+
+
 def test_training_lowers_the_loss():
     rng = np.random.default_rng(5)
     pattern = np.tile(np.arange(20), 60)
