@@ -41,7 +41,7 @@ SMALL = 6  # buckets of so many nodes are tested pair by pair in the last of the
 STARS = 2  # rounds with one centre in each bucket, before the pairs that these leave over
 BLOCK = 512  # nodes of a bucket that are compared with another block at once
 STRIP = 8192  # shingles of two blocks that are multiplied at once
-BROADCAST_IDS = 4_000_000  # ids of crowded nodes that a task holds at most (32 MB); more are joined by shuffle
+BROADCAST_IDS = 4_000_000  # ids of crowded nodes, or of documents to drop, that a task holds at most (32 MB); more are joined by shuffle
 #: Least share of agreeing registers of a pair that is worth verifying: six deviations below 0.8.
 LIKELY = 0.6
 
@@ -312,9 +312,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     found = written(memberships(docs), "classes")
     firsts = found.where("doc_id = class_id")
-    once = firsts.join(found.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows = 1"), "doc_id", "left_semi")
-    known = docs.join(once.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
     again = written(found.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated-ids")
+    gone = written(found.where("doc_id <> class_id").select("doc_id").unionByName(again).distinct(), "gone-ids")
+    # a counted, bounded list of ids goes to the documents, whose texts then stay where they are; otherwise both are shuffled
+    wanted = docs.where(F.col("doc_id").cast("long").isNotNull())
+    known = wanted.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(docs.columns)
     if not again.isEmpty():
         rows = _keyed(docs.join(again, "doc_id", "left_semi").select(docs.columns))
         mine = firsts.select("doc_id", F.col("node").alias("_node")).distinct()

@@ -80,6 +80,20 @@ def test_one_document_of_each_class_stays_with_all_columns(spark, documents, pro
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 4, 9]
 
 
+@pytest.mark.parametrize("most,moved", [(neardup.BROADCAST_IDS, False), (0, True)])
+def test_texts_are_not_shuffled_to_drop_a_bounded_list(spark, documents, prose, monkeypatch, capsys, most, moved):
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", most)
+    rows = [(i, prose(i // 2, 50)) for i in range(20)] + [(None, prose(50, 50))]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = neardup.keep_one(documents(rows).where("doc_id >= 0"))
+        kept.explain()
+        assert ("SortMergeJoin" in capsys.readouterr().out) == moved
+        assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 20, 2))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_rows_without_an_id_are_linked_to_near_texts(documents, prose):
     text = prose(3, 200)
     near = lambda k: " ".join([*text.split()[:-1], f"other{k}"])
