@@ -1,7 +1,8 @@
 """Corpus pipeline over documents: toxicity, near-duplicates, benchmark leaks, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and keeps the columns of documents, but for the last, which packs.
-Stages work on all that their predecessor kept; null and empty texts pass every filter.
+Stages work on all that their predecessor kept; null and empty texts pass every filter. All columns travel through
+Python with the texts, so each stage bounds the bytes of its Arrow batches.
 """
 
 from __future__ import annotations
@@ -10,33 +11,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfgraph.llm import decontaminate, neardup, packing, secrets, toxicity
+from shelfgraph.llm import textbytes as tb
 from shelfgraph.llm.durable import written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the toxicity threshold."""
+    tb.bounded_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.keep_clean(docs, toxicity.fit(docs, labels))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of every near-duplicate class."""
+    tb.bounded_batches(spark)
     return neardup.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
+    tb.bounded_batches(spark)
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by a mark."""
+    tb.bounded_batches(spark)
     model, _ = secrets.learn(docs)
     return secrets.redact(docs, model)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in windows of at most 2048 ids."""
+    tb.bounded_batches(spark)
     return packing.pack(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 

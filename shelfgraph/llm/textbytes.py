@@ -1,7 +1,8 @@
 """Texts of an Arrow batch as flat byte arrays: slicing, words, hashes, per-document sums.
 
-Every operator of the package walks its batches in slices of bounded bytes, so the memory of a
-task follows the slice (or the longest single text), not the batch or the partition.
+Every operator of the package walks its batches in slices of bounded bytes, so what a task computes
+follows the slice (or the longest single text), not the batch or the partition. bounded_batches() bounds the
+batches too.
 Null texts are empty texts.
 """
 
@@ -13,8 +14,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 SLICE_BYTES = 1 << 20
+BATCH_BYTES = 2 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
 MIX_2 = np.uint64(0x94D049BB133111EB)
@@ -70,6 +73,14 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Sends rows to Python in Arrow batches of about BATCH_BYTES (or one longer row) from now on, not in 10,000 rows of any size.
+
+    All rows still arrive; a task's two processes and their buffers just hold fewer of them at once.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     """A text column by name, as plain strings without nulls."""
     array = batch.column(batch.schema.get_field_index(name))

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -250,3 +251,26 @@ def test_pipeline_decisions_take_effect(spark, tmp_path, documents, prose):
     got = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert not got & {i for i in range(80) if i % 2} and 202 not in got and 201 not in got
     assert {i for i in range(0, 80, 2)} | {200, 203} | set(range(300, 320)) <= got
+
+
+def test_pipeline_stages_bound_the_bytes_of_batches(spark, tmp_path):
+    import corpus_pipeline
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(300, numPartitions=1).selectExpr("id AS doc_id", "repeat('some words ', 5000) AS text")
+    spark.createDataFrame([(0, 1, 0), (1, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "an item of a benchmark that no text holds")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    before = spark.conf.get(name)
+    try:
+        for stage, run in corpus_pipeline.STAGES:
+            spark.conf.unset(name)
+            run(spark, docs.where("doc_id < 2"), str(tmp_path))
+            got = docs.mapInArrow(sizes, "rows long, bytes long").collect()
+            assert sum(r["rows"] for r in got) == 300 and max(r["bytes"] for r in got) < 2 * tb.BATCH_BYTES, stage
+    finally:
+        spark.conf.set(name, before)
