@@ -140,10 +140,12 @@ def document_frequency(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], names=["term", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    found = {r["term"]: r["n"] for r in rows}
-    df = np.array([found.get(i, 0) for i in range(len(terms))], dtype=float)
-    return np.log1p(found.get(-1, 0) / (1.0 + df))
+    # as two arrays: a row object for each term weighs on the driver
+    found = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = (found.column(name).to_numpy() for name in ("term", "n"))
+    df = np.zeros(len(terms))
+    df[term[term >= 0]] = n[term >= 0]
+    return np.log1p(n[term < 0].sum() / (1.0 + df))
 
 
 def _index(rows, keys, y, weight, terms, idf) -> Model:
@@ -152,12 +154,14 @@ def _index(rows, keys, y, weight, terms, idf) -> Model:
         at = np.searchsorted(terms, k)
         at[at == len(terms)] = 0
         hit = np.flatnonzero(terms[at] == k) if len(terms) else np.zeros(0, np.int64)
-        row_of.append(np.full(len(hit), i))
-        term_of.append(at[hit])
+        row_of.append(np.full(len(hit), i, np.int32))
+        term_of.append(at[hit].astype(np.int32))
         count_of.append(np.frombuffer(r["counts"], np.int32)[hit])
-    row, term, count = (np.concatenate(x).astype(np.int64) for x in (row_of, term_of, count_of))
+    row, term, count = (np.concatenate(x) for x in (row_of, term_of, count_of))
+    del row_of, term_of, count_of
     ids = np.array([r["doc_id"] for r in rows], dtype=np.int64)
     value = unit_vectors(row, term, count, idf, len(rows))
+    del count
     filed = np.unique(row)
     bare = np.setdiff1d(np.arange(len(rows)), filed)
     base = float((weight[y[bare]] * y[bare]).sum() / max(weight[y[bare]].sum(), 1e-9)) if len(bare) else 0.0
@@ -173,11 +177,16 @@ def _index(rows, keys, y, weight, terms, idf) -> Model:
     ranges = np.stack([edges[:-1], edges[1:]], axis=1)
     share = float((weight[y] * y).sum() / weight[y].sum())
     model = Model(terms, idf, base, share, ids[sequence], y[sequence], ranges, place[row][order].astype(np.int32), value[order], np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+    del order
     votes = np.zeros(len(sequence))
-    places, _ = _ranges(*(np.searchsorted(row, sequence, side=side) for side in ("left", "right")))
-    bounds = np.append(0, np.cumsum(np.bincount(place[row], minlength=len(sequence))))
-    for at, (near, cosine) in enumerate(nearest_each(model, Common(model), bounds, term[places], value[places], skip=np.arange(len(sequence)))):
-        votes[at] = vote(model, near, cosine)
+    lo, hi = (np.searchsorted(row, sequence, side=side) for side in ("left", "right"))
+    common = Common(model)
+    for at in range(0, len(sequence), TOGETHER):
+        own = slice(at, at + TOGETHER)
+        places, _ = _ranges(lo[own], hi[own])
+        bounds = np.append(0, np.cumsum(hi[own] - lo[own]))
+        found = nearest_each(model, common, bounds, term[places], value[places], skip=np.arange(len(sequence))[own])
+        votes[own] = [vote(model, near, cosine) for near, cosine in found]
     model.knots, model.levels = calibrate(votes, y[sequence], weight[y[sequence]], share)
     return model
 

@@ -170,3 +170,21 @@ def test_nothing_learnt_is_undetermined(spark, documents, awkward):
     docs = documents(awkward)
     model = language.fit(docs.where("lang is null"))
     assert {r["lang_pred"] for r in language.predict(docs, model).collect()} == {"und"}
+
+
+def test_toxicity_index_is_built_in_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    vocabulary = np.unique(rng.integers(0, 2**63, 40_000).astype(np.uint64))
+    rows = []
+    for i in range(600):
+        at = np.unique(rng.integers(0, len(vocabulary), 500))
+        rows.append({"doc_id": i, "toxic": i % 2, "terms": vocabulary[at].tobytes(), "counts": np.ones(len(at), np.int32).tobytes()})
+    keys = [np.frombuffer(r["terms"], np.uint64) for r in rows]
+    terms = np.unique(np.concatenate(keys))
+    tracemalloc.start()
+    model = toxicity._index(rows, keys, np.arange(600) % 2, np.ones(2), terms, np.ones(len(terms)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.posting_weight) == sum(len(k) for k in keys) and peak < 100 * len(model.posting_weight)
