@@ -1,6 +1,8 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Labelled texts are TF-IDF vectors over all their words. They are filed in a block-max inverted index:
+Labelled texts are TF-IDF vectors over all their words. A word that stands in one kind of example more often than chance
+allows weighs more, so that a few such words decide between texts that share much else; every other word keeps its
+inverse document frequency. The vectors are filed in a block-max inverted index:
 postings in example order, and for the terms that many examples hold blocks of examples with the largest
 weight of every (term, block). A query sums the short postings of the rarer terms, bounds each block by that
 and the block maxima, and opens blocks from the highest bound down until no unopened block can reach the k-th
@@ -37,12 +39,13 @@ COMMON_SHARE = 16  # such a term stands in one of so many examples at least; for
 FIRST = 8  # blocks that every search opens
 TOGETHER = 64  # searches at once
 THRESHOLD = 0.7
+CHANCE = 3.0  # standard errors up to which a word's counts in the two kinds of examples may differ by chance
 
 
 @dataclass
 class Model:
     terms: np.ndarray  # sorted word hashes
-    idf: np.ndarray
+    idf: np.ndarray  # times the marking weight
     base: float  # score of a text without any term
     share: float  # of toxic examples
     example: np.ndarray  # ids, in index order
@@ -115,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn=None) -> Model:
         return _blank(float(y.mean()) if len(y) else 0.0)
     keys = [np.frombuffer(r["terms"], np.uint64) for r in rows]
     terms = np.unique(np.concatenate(keys))
-    idf = document_frequency(docs, terms)
+    idf = document_frequency(docs, terms) * marking(keys, y, terms)
     return _index(rows, keys, y, weight, terms, idf)
 
 
@@ -148,6 +151,26 @@ def document_frequency(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
     return np.log1p(n[term < 0].sum() / (1.0 + df))
 
 
+def marking(keys: list[np.ndarray], y: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """How much more each term weighs for standing in one kind of example: 1, if that may be chance.
+
+    The root of the log-likelihood ratio counts as standard errors; copies of an example count once.
+    """
+    held, n, known = np.zeros((2, len(terms))), np.zeros((2, 1)), set()
+    for key, label in zip(keys, y.tolist(), strict=True):
+        copy = label, hashlib.blake2b(key.tobytes(), digest_size=16).digest()
+        if copy not in known:
+            known.add(copy)
+            held[label, np.searchsorted(terms, key)] += 1
+            n[label] += 1
+    share = held.sum(axis=0) / n.sum()
+    ratio = np.zeros(len(terms))
+    for count, part in ((held, share), (n - held, 1.0 - share)):
+        at = np.nonzero(count)
+        np.add.at(ratio, at[1], count[at] * np.log(count[at] / (n * part)[at]))
+    return (1.0 + np.maximum(np.sqrt(np.maximum(2.0 * ratio, 0.0)) - CHANCE, 0.0)) ** 2
+
+
 def _index(rows, keys, y, weight, terms, idf) -> Model:
     row_of, term_of, count_of = [], [], []
     for i, (r, k) in enumerate(zip(rows, keys, strict=True)):

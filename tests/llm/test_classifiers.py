@@ -116,6 +116,31 @@ def test_toxicity_on_held_out_rows(labelled):
     assert np.mean(clean) < 0.05 and np.mean(toxic) > 0.5
 
 
+def test_a_few_marked_words_decide_between_long_texts_of_equal_words(spark, documents, prose):
+    """Held-out toxic texts are found by one or two marked words among 80 that clean texts use as well."""
+    bank = prose(1, 400).split()
+    marked = [f"{BAD[i % 3]}{end}" for i, end in enumerate(("o", "an", "es", "ent", "ou", "le"))]
+    rows = [(i, prose(100 + i, 80, bank) + (" " + prose(9000 + i, 2, marked) if i % 4 == 0 else "")) for i in range(600)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    docs = documents(rows)
+    kept = {r["doc_id"] for r in toxicity.keep_clean(docs, toxicity.fit(docs, labels)).collect()}
+    held = range(400, 600)
+    assert np.mean([i not in kept for i in held if i % 4 == 0]) > 0.9
+    assert np.mean([i in kept for i in held if i % 4]) > 0.97
+
+
+def test_marking_raises_what_chance_does_not_explain_and_counts_copies_once():
+    # word 0 in all, 1 in the toxic, 2 in half of either, 3 in three of the toxic; one word of its own in each
+    held = [{0, 10 + i} | ({1} if i < 40 else set()) | ({2} if i % 2 else set()) | ({3} if i < 3 else set()) for i in range(80)]
+    keys, y = [np.array(sorted(h), np.uint64) for h in held], np.repeat([1, 0], 40)
+    terms = np.unique(np.concatenate(keys))
+    weight = toxicity.marking(keys, y, terms)
+    assert weight[1] == pytest.approx((1 + np.sqrt(160 * np.log(2)) - toxicity.CHANCE) ** 2)
+    assert (np.delete(weight, 1) == 1).all()
+    again = toxicity.marking(keys + [keys[0]] * 300, np.append(y, np.ones(300, int)), terms)
+    assert np.allclose(again, weight)
+
+
 def plain_counts(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
