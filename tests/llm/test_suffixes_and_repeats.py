@@ -1,7 +1,9 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -63,5 +65,20 @@ def test_removed_bytes_equal_brute_force(spark, documents, prose, awkward, seed)
     assert sorted(map(tuple, got), key=str) == brute(rows, repeats.LENGTH)
 
 
+def test_strings_alone_under_their_seed_are_answered_without_being_sorted(monkeypatch):
+    """Two flushes; seed 5 has one string (with windows that repeat), seed 7 has two that share windows."""
+    alone, left, right = b"ab" * 8, b"0123456789xy", b"z0123456789x"
+    sent = [([5, 7], [30, 10], [alone, left]), ([5, 7], [20, 4], [alone, right])]
+    rows = [
+        {"part": part, "shard": 0, "seeds": np.array(seeds, np.uint64).tobytes(), "docs": np.array(docs, np.int64).tobytes(), "lengths": np.array([len(t) for t in texts], "<u2").tobytes(), "bytes": b"".join(texts)}
+        for part, (seeds, docs, texts) in enumerate(sent)
+    ]
+    sorted_strings, plain = [], repeats.smallest_documents
+    monkeypatch.setattr(repeats, "smallest_documents", lambda texts, docs, length: sorted_strings.extend(texts) or plain(texts, docs, length))
+    got = {r["part"]: np.frombuffer(zstandard.ZstdDecompressor().decompress(r["least"]), np.int64).tolist() for r in repeats._shard(pa.Table.from_pylist(rows), 10).to_pylist()}
+    assert sorted_strings == [left, right]
+    assert got == {0: [20] * 7 + [4, 4, 10], 1: [20] * 7 + [4, 4, 4]}
+
+
 def test_empty_table(spark, documents):
     assert repeats.remove(documents([])).count() == 0
