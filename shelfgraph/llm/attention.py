@@ -24,8 +24,7 @@ BATCH = 512
 RATE = 0.01
 PASS_RATE = 0.003  # of the pass over all windows
 LEAST_STEPS = 100  # of a pass; few windows are passed over again
-CHUNK = 512  # windows scored at once
-PART = 128  # windows whose gradient is taken at once
+PART = 128  # windows whose gradient is taken, or that are scored, at once
 #: Which keys a query may see: those up to its own input.
 SEEN = np.arange(WINDOW)[None, :] <= np.arange(BLOCK)[:, None] + WINDOW - BLOCK
 CAUSAL = np.where(SEEN, 0.0, -1e9).astype(np.float32)
@@ -75,10 +74,14 @@ def windows(ids: np.ndarray, bounds: np.ndarray, kind: np.ndarray) -> tuple[np.n
     start = np.repeat(first, count) + BLOCK * (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count))
     target = start[:, None] + np.arange(BLOCK)
     target = np.where(target < (first + n)[text][:, None], target, -1)
-    # the input before a target predicts it
-    at = start[:, None] - (WINDOW - BLOCK) - 1 + np.arange(WINDOW)
-    begin = first[text][:, None]
-    inputs = np.where(at >= begin, kind[full[np.clip(at, 0, len(full) - 1)]], np.where(at == begin - 1, CLASSES, CLASSES + 1))
+    # the input before a target predicts it, so a text's inputs are its marks, its ids and filling; windows are slices of these
+    early = WINDOW - BLOCK
+    begin = first + WINDOW * np.arange(len(n))
+    line = np.zeros(len(full) + WINDOW * (len(n) + 1), np.int64)
+    line[(begin[:, None] + np.arange(early)).reshape(-1)] = CLASSES + 1
+    line[begin + early] = CLASSES
+    line[np.arange(len(full)) + np.repeat(WINDOW * np.arange(len(n)) + early + 1, n)] = kind[full]
+    inputs = np.lib.stride_tricks.sliding_window_view(line, WINDOW)[start + WINDOW * text]
     return inputs, target, full, text
 
 
@@ -106,12 +109,9 @@ def gradient(w, inputs, kinds, valid):
     """Mean loss over valid targets and its gradient.
 
     Inputs are a class and a position, so what they bring to queries, keys and values is looked up, and what comes back is
-    added up by class and by position before it meets the weights. Scores are small, so exponentials are safe.
+    added up by class and by position before it meets the weights. Logits are small, so exponentials are safe.
     """
-    early, scale = WINDOW - BLOCK, np.float32(WIDTH**-0.5)
-    x = w["embed"][:, None] + w["position"]
-    keyed = np.concatenate([x @ w["key"], x @ w["value"]], axis=2).reshape(-1, 2 * WIDTH)
-    asked = np.concatenate([x[:, early:] @ (w["query"] * scale), x[:, early:]], axis=2).reshape(-1, 2 * WIDTH)
+    keyed, asked = _tables(w)
     total = np.float32(max(1.0, float(valid.sum())))
     loss, g = 0.0, {}
     for lo in range(0, len(inputs), PART):
@@ -122,9 +122,17 @@ def gradient(w, inputs, kinds, valid):
     return loss, g
 
 
-def _part_gradient(w, keyed, asked, inputs, kinds, valid):
-    n, early, scale = len(inputs), WINDOW - BLOCK, np.float32(WIDTH**-0.5)
-    last = inputs[:, early:]
+def _tables(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Key and value of every class at every position, and scaled query and input of every class at every scored one."""
+    x = w["embed"][:, None] + w["position"]
+    last = x[:, WINDOW - BLOCK :]
+    keyed = np.concatenate([x @ w["key"], x @ w["value"]], axis=2).reshape(-1, 2 * WIDTH)
+    return keyed, np.concatenate([last @ (w["query"] * np.float32(WIDTH**-0.5)), last], axis=2).reshape(-1, 2 * WIDTH)
+
+
+def _ahead(w, keyed, asked, inputs):
+    """What forward() gives, by lookups: queries, keys, values, attention, context, mixed, hidden and logits."""
+    last = inputs[:, WINDOW - BLOCK :]
     both = np.take(keyed, inputs * WINDOW + np.arange(WINDOW), axis=0)
     k, v = both[:, :, :WIDTH], both[:, :, WIDTH:]
     both = np.take(asked, last * BLOCK + np.arange(BLOCK), axis=0)
@@ -136,13 +144,24 @@ def _part_gradient(w, keyed, asked, inputs, kinds, valid):
     attention[before] *= (inputs[before] != CLASSES + 1)[:, None, :]
     attention /= (attention @ np.ones(WINDOW, np.float32))[:, :, None]
     context = attention @ v
-    flat = context.reshape(-1, WIDTH)
-    mixed = own.reshape(-1, WIDTH) + flat @ w["project"]
+    mixed = own.reshape(-1, WIDTH) + context.reshape(-1, WIDTH) @ w["project"]
     hidden = mixed @ w["inner"]
     hidden += w["inner_bias"]
     np.maximum(hidden, 0, out=hidden)
-    p = hidden @ w["out"]
-    p += w["out_bias"]
+    logits = hidden @ w["out"]
+    logits += w["out_bias"]
+    return q, k, v, attention, context, mixed, hidden, logits
+
+
+def _logits(w, tables, inputs: np.ndarray) -> np.ndarray:
+    return _ahead(w, *tables, inputs)[-1]
+
+
+def _part_gradient(w, keyed, asked, inputs, kinds, valid):
+    n, early, scale = len(inputs), WINDOW - BLOCK, np.float32(WIDTH**-0.5)
+    last = inputs[:, early:]
+    q, k, v, attention, context, mixed, hidden, p = _ahead(w, keyed, asked, inputs)
+    flat = context.reshape(-1, WIDTH)
     rows = np.arange(len(kinds))
     picked = p[rows, kinds]
     np.exp(p, out=p)
@@ -161,8 +180,11 @@ def _part_gradient(w, keyed, asked, inputs, kinds, valid):
     ds = dc @ v.transpose(0, 2, 1)
     ds -= (dc * context) @ np.ones((WIDTH, 1), np.float32)
     ds *= attention
-    dkey = np.concatenate([ds.transpose(0, 2, 1) @ q, attention.transpose(0, 2, 1) @ dc], axis=2)
-    dask = np.concatenate([ds @ k, dm.reshape(n, BLOCK, WIDTH)], axis=2)
+    dkey, dask = np.empty((n, WINDOW, 2 * WIDTH), np.float32), np.empty((n, BLOCK, 2 * WIDTH), np.float32)
+    np.matmul(ds.transpose(0, 2, 1), q, out=dkey[:, :, :WIDTH])
+    np.matmul(attention.transpose(0, 2, 1), dc, out=dkey[:, :, WIDTH:])
+    np.matmul(ds, k, out=dask[:, :, :WIDTH])
+    dask[:, :, WIDTH:] = dm.reshape(n, BLOCK, WIDTH)
     by_class, by_place = _by_class(inputs, dkey), dkey.sum(axis=0)
     by_class_last, by_place_last = _by_class(last, dask), dask.sum(axis=0)
     by_class_last[:, :WIDTH] *= scale
@@ -214,9 +236,9 @@ def fit(counts: np.ndarray, sample: list[np.ndarray], steps: int = STEPS) -> Mod
 def _descend(w, inputs, target, full, kind, picks, rates) -> None:
     """Change the weights by one Adam step on each of the picked batches."""
     first, second = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
+    kinds, valid = kind[full[np.maximum(target, 0)]], (target >= 0).astype(np.float32)
     for step, (pick, rate) in enumerate(zip(picks, rates, strict=True), 1):
-        goal = target[pick].reshape(-1)
-        _, g = gradient(w, inputs[pick], kind[full[np.maximum(goal, 0)]], (goal >= 0).astype(np.float32))
+        _, g = gradient(w, inputs[pick], kinds[pick].reshape(-1), valid[pick].reshape(-1))
         for name in w:
             first[name] += 0.1 * (g[name] - first[name])
             second[name] += 0.01 * (g[name] ** 2 - second[name])
@@ -241,45 +263,12 @@ def log10_probabilities(model: Model, ids: np.ndarray, bounds: np.ndarray) -> np
     inputs, target, full, text = windows(ids, bounds, model.kind)
     tables = _tables(model.weights)
     value = np.zeros(len(inputs))
-    for lo in range(0, len(inputs), CHUNK):
-        goal = target[lo : lo + CHUNK]
-        logits = _logits(model.weights, tables, inputs[lo : lo + CHUNK])
+    for lo in range(0, len(inputs), PART):
+        goal = target[lo : lo + PART]
+        logits = _logits(model.weights, tables, inputs[lo : lo + PART])
         own = full[np.maximum(goal, 0)]
-        picked = np.take_along_axis(logits, model.kind[own].reshape(-1, 1), axis=1).reshape(goal.shape)
+        picked = logits[np.arange(len(logits)), model.kind[own].reshape(-1)].reshape(goal.shape)
         np.exp(logits, out=logits)
         whole = np.log(logits @ np.ones(CLASSES, np.float32)).reshape(goal.shape)
-        value[lo : lo + CHUNK] = np.where(goal >= 0, picked - whole + model.inner[own], 0.0).sum(axis=1)
+        value[lo : lo + PART] = np.where(goal >= 0, picked - whole + model.inner[own], 0.0).sum(axis=1)
     return np.bincount(text, value, minlength=len(bounds) - 1) / np.log(10.0)
-
-
-def _tables(w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """What a class and a position bring to inputs, queries, keys and values, so that scoring looks them up."""
-    out = {}
-    for name in ("query", "key", "value"):
-        scale = np.float32(WIDTH**-0.5 if name == "query" else 1)
-        out[name] = w["embed"] @ w[name] * scale, w["position"] @ w[name] * scale
-    return out
-
-
-def _logits(w, tables, inputs: np.ndarray) -> np.ndarray:
-    """The logits of forward(), without what only training needs. Scores are small, so exponentials are safe."""
-    last = inputs[:, WINDOW - BLOCK :]
-    q = tables["query"][0][last] + tables["query"][1][WINDOW - BLOCK :]
-    k = tables["key"][0][inputs] + tables["key"][1]
-    v = tables["value"][0][inputs] + tables["value"][1]
-    attention = q @ k.transpose(0, 2, 1)
-    attention += CAUSAL
-    early = np.flatnonzero(inputs[:, 0] == CLASSES + 1)
-    if len(early):
-        attention[early] += np.where(inputs[early] == CLASSES + 1, np.float32(-1e9), np.float32(0))[:, None, :]
-    np.exp(attention, out=attention)
-    context = attention @ v
-    context /= (attention @ np.ones(WINDOW, np.float32))[:, :, None]
-    mixed = (w["embed"][last] + w["position"][WINDOW - BLOCK :]).reshape(-1, WIDTH)
-    mixed += context.reshape(-1, WIDTH) @ w["project"]
-    hidden = mixed @ w["inner"]
-    hidden += w["inner_bias"]
-    np.maximum(hidden, 0, out=hidden)
-    logits = hidden @ w["out"]
-    logits += w["out_bias"]
-    return logits

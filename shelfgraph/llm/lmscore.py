@@ -68,6 +68,14 @@ def word_table(data: np.ndarray, offsets: np.ndarray, buckets: int):
     return distinct[order], bucket[order].astype(np.int32), pair & 0xFFFFFFFF, count, np.searchsorted(pair >> 32, np.arange(n + 1))
 
 
+def _even(size: int) -> int:
+    """Bytes of a flush, so that a batch of that size falls into flushes of about one size, each of at most FLUSH_BYTES.
+
+    A small rest would be learnt from several times over, to take as many steps as other flushes.
+    """
+    return min(FLUSH_BYTES, -(-size // max(1, -(-size // FLUSH_BYTES))) + tb.SLICE_BYTES // 16)
+
+
 def _merge(key: tuple, group: pa.Table) -> pa.Table:
     """Corpus counts of one bucket's words, as an answer to every flush, and the bucket's totals."""
     words = [np.frombuffer(x, np.uint64) for x in group.column("words").to_pylist()]
@@ -111,7 +119,7 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         for batch in batches:
             text, held = tb.column(batch, "text"), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             doc = batch.column(0)
-            for lo, hi in tb.slices(text, FLUSH_BYTES):
+            for lo, hi in tb.slices(text, _even(len(tb.flat(text)[0]))):
                 own = held[lo:hi]
                 words, bucket, index, count, rows = word_table(*tb.flat(text[lo:hi]), buckets)
                 learnt = np.bincount(index, count * np.repeat(~own, np.diff(rows)), minlength=len(words)).astype(np.uint32)

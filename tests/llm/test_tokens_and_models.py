@@ -218,6 +218,34 @@ def test_gradient_in_parts_is_the_slope_of_the_loss():
         assert (loss(up) - loss(down)) / 2e-6 == pytest.approx((slope * way).sum(), rel=1e-3, abs=1e-5), name
 
 
+def test_windows_hold_the_marks_and_ids_before_each_target():
+    rng = np.random.default_rng(4)
+    sizes = np.array([0, 1, 15, 16, 17, 40, 0, 70])
+    bounds = np.append(0, np.cumsum(sizes))
+    ids, kind = rng.integers(0, 99, sizes.sum()), rng.permutation(100) % attention.CLASSES
+    inputs, target, full, text = attention.windows(ids, bounds, kind)
+    scored = []
+    for row, goals, of in zip(inputs, target, text, strict=True):
+        own = [attention.CLASSES + 1] * attention.WINDOW + [attention.CLASSES] + kind[ids[bounds[of] : bounds[of + 1]]].tolist()
+        for k, goal in enumerate(goals):
+            if goal >= 0:
+                scored.append(goal)
+                last = attention.WINDOW - attention.BLOCK + k + 1
+                upto = attention.WINDOW + 1 + goal - bounds[of] - of
+                assert row[:last].tolist() == own[upto - last : upto]
+    assert scored == list(range(len(full)))
+
+
+@pytest.mark.parametrize("rest", [0.1, 0.4, 0.9])
+def test_batches_fall_into_even_flushes(rest):
+    """No small rest, that would be learnt from several times over to take as many steps as other flushes."""
+    text = pa.array(["x" * 3000] * int((3 + rest) * lmscore.FLUSH_BYTES / 3000))
+    parts = list(tb.slices(text, lmscore._even(3000 * len(text))))
+    sizes = [3000 * (b - a) for a, b in parts]
+    assert [a for a, _ in parts] == [0, *(b for _, b in parts[:-1])] and parts[-1][1] == len(text)
+    assert max(sizes) <= lmscore.FLUSH_BYTES and min(sizes) > 0.9 * max(sizes)
+
+
 def test_training_lowers_the_loss():
     rng = np.random.default_rng(5)
     pattern = np.tile(np.arange(20), 60)
