@@ -2,9 +2,11 @@
 
 Ids are spread over classes of about equal frequency; the frequent ids are classes of their own. The
 model predicts the class from the ids before it, and the id within its class by its corpus frequency, so
-the product is a distribution over all ids. One attention head with learned positions, one hidden
-layer. A window holds WINDOW inputs; its last BLOCK are scored, the others are context. Windows overlap
-so that each id is scored exactly once.
+the product is a distribution over all ids. One attention head: the query of the last input's class meets the
+keys of the classes before it, and each place has a weight of its own. What a key brings is a distribution
+over the next class, counted over all texts for its distance, and attention mixes these; so a target's
+probability is looked up, and no distribution is computed whole. A window holds WINDOW inputs; its last
+BLOCK are scored, the others are context. Windows overlap so that each id is scored exactly once.
 """
 
 from __future__ import annotations
@@ -16,18 +18,26 @@ import numpy as np
 WINDOW = 32
 BLOCK = 16
 WIDTH = 16
-HIDDEN = 32
-CLASSES = 64
-SINGLE = 39
+CLASSES = 256
+SINGLE = 160
 STEPS = 400
 BATCH = 512
 RATE = 0.01
 PASS_RATE = 0.003  # of the pass over all windows
 LEAST_STEPS = 100  # of a pass; few windows are passed over again
 PART = 128  # windows whose gradient is taken, or that are scored, at once
+GROUPS = 3  # distances with values of their own: the last input, the one before it, all earlier ones
+FAR = 4  # distances up to here are counted; the last group's values are those of its nearest ones
+LEAST = -20.0  # of a class's attention logits, below its highest
+RECENT = 0.25  # what each step back costs a key before training
+PRIOR = 20.0  # weight of the classes' frequencies in the counted values
+FOLLOWERS = (GROUPS, CLASSES + 2, CLASSES)  # shape of followers()
+AWAY = np.arange(BLOCK)[:, None] + WINDOW - BLOCK - np.arange(WINDOW)[None, :]
 #: Which keys a query may see: those up to its own input.
-SEEN = np.arange(WINDOW)[None, :] <= np.arange(BLOCK)[:, None] + WINDOW - BLOCK
+SEEN = AWAY >= 0
 CAUSAL = np.where(SEEN, 0.0, -1e9).astype(np.float32)
+#: Where the values of each query's keys start, in rows of classes.
+GROUP = np.clip(AWAY, 0, GROUPS - 1) * (CLASSES + 2)
 
 
 @dataclass
@@ -93,117 +103,82 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def forward(w: dict[str, np.ndarray], inputs: np.ndarray):
-    """Logits (windows * BLOCK, CLASSES) of the scored positions, and what the gradient needs."""
-    x = w["embed"][inputs] + w["position"]
-    last = x[:, WINDOW - BLOCK :]
-    q, k, v = last @ w["query"], x @ w["key"], x @ w["value"]
-    mask = CAUSAL + np.where(inputs == CLASSES + 1, np.float32(-1e9), np.float32(0))[:, None, :]
-    attention = _softmax(q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + mask)
-    context = attention @ v
-    mixed = (last + context @ w["project"]).reshape(-1, WIDTH)
-    hidden = np.maximum(mixed @ w["inner"] + w["inner_bias"], 0)
-    return hidden @ w["out"] + w["out_bias"], (x, last, q, k, v, attention, context, mixed, hidden)
-
-
-def gradient(w, inputs, kinds, valid):
-    """Mean loss over valid targets and its gradient.
-
-    Inputs are a class and a position, so what they bring to queries, keys and values is looked up, and what comes back is
-    added up by class and by position before it meets the weights. Logits are small, so exponentials are safe.
+    """Log probabilities (windows * BLOCK, CLASSES) of all classes at the scored positions, and the attention. Plain, to check _ahead() against."""
+    scores = w["query"][inputs[:, WINDOW - BLOCK :]] @ w["key"][inputs].transpose(0, 2, 1) + w["place"] + CAUSAL
+    attention = _softmax(scores + np.where(inputs == CLASSES + 1, np.float32(-1e9), np.float32(0))[:, None, :])
+    values = _softmax(w["value"].copy())
+    mixed = sum((attention * (GROUP == n * (CLASSES + 2))) @ values[n][inputs] for n in range(GROUPS))
+    return np.log(mixed).reshape(-1, CLASSES), attention
+
+
+def _values(w: dict[str, np.ndarray]) -> np.ndarray:
+    return _softmax(w["value"].copy()).reshape(-1)
+
+
+def _tables(w: dict[str, np.ndarray], values: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Attention of every class to every class, of every place, and the values, each as it is multiplied.
+
+    A key that a query all but ignores keeps exp(LEAST) of that query's strongest, so that no sum is ever 0.
     """
-    keyed, asked = _tables(w)
-    total = np.float32(max(1.0, float(valid.sum())))
-    loss, g = 0.0, {}
-    for lo in range(0, len(inputs), PART):
-        own = slice(lo * BLOCK, (lo + PART) * BLOCK)
-        more, part = _part_gradient(w, keyed, asked, inputs[lo : lo + PART], kinds[own], valid[own] / total)
-        loss += more
-        g = {name: g[name] + value for name, value in part.items()} if g else part
-    return loss, g
+    content = w["query"] @ w["key"].T
+    content -= content.max(axis=1, keepdims=True)
+    np.exp(np.maximum(content, LEAST, out=content), out=content)
+    content[:, CLASSES + 1] = 0
+    return content.reshape(-1), np.exp(w["place"]) * SEEN, _values(w) if values is None else values
+
+
+def _ahead(tables, inputs: np.ndarray, kinds: np.ndarray):
+    """Of each target (windows, BLOCK): attention to each input before it is scaled, that times the target's probability by the input, and where both were looked up."""
+    content, place, values = tables
+    met = (inputs[:, WINDOW - BLOCK :] * (CLASSES + 2))[:, :, None] + inputs[:, None, :]
+    weight = np.take(content, met)
+    weight *= place
+    told = (GROUP * CLASSES + kinds[:, :, None]) + (inputs * CLASSES)[:, None, :]
+    hit = np.take(values, told)
+    hit *= weight
+    return weight, hit, met, told
 
 
-def _tables(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Key and value of every class at every position, and scaled query and input of every class at every scored one."""
-    x = w["embed"][:, None] + w["position"]
-    last = x[:, WINDOW - BLOCK :]
-    keyed = np.concatenate([x @ w["key"], x @ w["value"]], axis=2).reshape(-1, 2 * WIDTH)
-    return keyed, np.concatenate([last @ (w["query"] * np.float32(WIDTH**-0.5)), last], axis=2).reshape(-1, 2 * WIDTH)
-
-
-def _ahead(w, keyed, asked, inputs):
-    """What forward() gives, by lookups: queries, keys, values, attention, context, mixed, hidden and logits."""
-    last = inputs[:, WINDOW - BLOCK :]
-    both = np.take(keyed, inputs * WINDOW + np.arange(WINDOW), axis=0)
-    k, v = both[:, :, :WIDTH], both[:, :, WIDTH:]
-    both = np.take(asked, last * BLOCK + np.arange(BLOCK), axis=0)
-    q, own = both[:, :, :WIDTH], both[:, :, WIDTH:]
-    attention = q @ k.transpose(0, 2, 1)
-    np.exp(attention, out=attention)
-    attention *= SEEN
-    before = np.flatnonzero(inputs[:, 0] == CLASSES + 1)
-    attention[before] *= (inputs[before] != CLASSES + 1)[:, None, :]
-    attention /= (attention @ np.ones(WINDOW, np.float32))[:, :, None]
-    context = attention @ v
-    mixed = own.reshape(-1, WIDTH) + context.reshape(-1, WIDTH) @ w["project"]
-    hidden = mixed @ w["inner"]
-    hidden += w["inner_bias"]
-    np.maximum(hidden, 0, out=hidden)
-    logits = hidden @ w["out"]
-    logits += w["out_bias"]
-    return q, k, v, attention, context, mixed, hidden, logits
+def _sums(x: np.ndarray) -> np.ndarray:
+    return x @ np.ones(x.shape[-1], x.dtype)
 
 
 def _logits(w, tables, inputs: np.ndarray) -> np.ndarray:
-    return _ahead(w, *tables, inputs)[-1]
-
-
-def _part_gradient(w, keyed, asked, inputs, kinds, valid):
-    n, early, scale = len(inputs), WINDOW - BLOCK, np.float32(WIDTH**-0.5)
-    last = inputs[:, early:]
-    q, k, v, attention, context, mixed, hidden, p = _ahead(w, keyed, asked, inputs)
-    flat = context.reshape(-1, WIDTH)
-    rows = np.arange(len(kinds))
-    picked = p[rows, kinds]
-    np.exp(p, out=p)
-    whole = p @ np.ones(CLASSES, np.float32)
-    loss = float(((np.log(whole) - picked) * valid).sum())
-    p *= (valid / whole)[:, None]
-    p[rows, kinds] -= valid
-    one = np.ones(len(kinds), np.float32)
-    g = {"out": hidden.T @ p, "out_bias": one @ p}
-    dh = p @ w["out"].T
-    dh *= hidden > 0
-    g["inner"], g["inner_bias"] = mixed.T @ dh, one @ dh
-    dm = dh @ w["inner"].T
-    g["project"] = flat.T @ dm
-    dc = (dm @ w["project"].T).reshape(context.shape)
-    ds = dc @ v.transpose(0, 2, 1)
-    ds -= (dc * context) @ np.ones((WIDTH, 1), np.float32)
-    ds *= attention
-    dkey, dask = np.empty((n, WINDOW, 2 * WIDTH), np.float32), np.empty((n, BLOCK, 2 * WIDTH), np.float32)
-    np.matmul(ds.transpose(0, 2, 1), q, out=dkey[:, :, :WIDTH])
-    np.matmul(attention.transpose(0, 2, 1), dc, out=dkey[:, :, WIDTH:])
-    np.matmul(ds, k, out=dask[:, :, :WIDTH])
-    dask[:, :, WIDTH:] = dm.reshape(n, BLOCK, WIDTH)
-    by_class, by_place = _by_class(inputs, dkey), dkey.sum(axis=0)
-    by_class_last, by_place_last = _by_class(last, dask), dask.sum(axis=0)
-    by_class_last[:, :WIDTH] *= scale
-    by_place_last[:, :WIDTH] *= scale
-    embed, position = w["embed"], w["position"]
-    g["key"], g["value"] = np.hsplit(embed.T @ by_class + position.T @ by_place, 2)
-    g["query"] = embed.T @ by_class_last[:, :WIDTH] + position[early:].T @ by_place_last[:, :WIDTH]
-    back = np.concatenate([w["key"], w["value"]], axis=1).T
-    back_last = np.concatenate([w["query"], np.eye(WIDTH, dtype=np.float32)], axis=1).T
-    g["embed"] = by_class @ back + by_class_last @ back_last
-    g["position"] = by_place @ back
-    g["position"][early:] += by_place_last @ back_last
-    return loss, g
+    """What forward() gives, by lookups."""
+    out = []
+    for kind in range(CLASSES):
+        weight, hit, _, _ = _ahead(tables, inputs, np.full((len(inputs), BLOCK), kind))
+        out.append(np.log(_sums(hit) / _sums(weight)).reshape(-1))
+    return np.stack(out, axis=1)
+
 
+def gradient(w, inputs, kinds, valid, values=None):
+    """Mean loss over valid targets and its gradient. With values given, those of w are not learnt.
 
-def _by_class(inputs: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Sums of the values (windows, inputs, columns) of each class."""
-    one_hot = np.take(np.eye(CLASSES + 2, dtype=np.float32), inputs.reshape(-1), axis=0)
-    return one_hot.T @ values.reshape(inputs.size, -1)
+    What an input brings depends on classes and places alone, so slopes are added up by pairs of classes and by places before they meet the weights.
+    """
+    tables = _tables(w, values)
+    kinds, valid = kinds.reshape(-1, BLOCK), valid.reshape(-1, BLOCK)
+    total = np.float32(max(1.0, float(valid.sum())))
+    loss, by_pair, place, share = 0.0, np.zeros((CLASSES + 2) ** 2), np.zeros((BLOCK, WINDOW)), np.zeros(w["value"].size)
+    for lo in range(0, len(inputs), PART):
+        own = valid[lo : lo + PART] / total
+        weight, hit, met, told = _ahead(tables, inputs[lo : lo + PART], kinds[lo : lo + PART])
+        whole, right = _sums(weight), _sums(hit)
+        loss += float((own * np.log(whole / right)).sum())
+        hit *= (own / right)[:, :, None]
+        if values is None:
+            share += np.bincount(told.reshape(-1), hit.reshape(-1), minlength=len(share))
+        weight *= (own / whole)[:, :, None]
+        weight -= hit
+        by_pair += np.bincount(met.reshape(-1), weight.reshape(-1), minlength=len(by_pair))
+        place += weight.sum(axis=0)
+    by_pair = by_pair.reshape(CLASSES + 2, CLASSES + 2).astype(np.float32)
+    g = {"query": by_pair @ w["key"], "key": by_pair.T @ w["query"], "place": place.astype(np.float32)}
+    if values is None:
+        share = share.reshape(w["value"].shape)
+        g["value"] = (tables[2].reshape(share.shape) * share.sum(axis=-1, keepdims=True) - share).astype(np.float32)
+    return loss, g
 
 
 def fresh_weights(kind_counts: np.ndarray, seed: int = 11) -> dict[str, np.ndarray]:
@@ -211,21 +186,46 @@ def fresh_weights(kind_counts: np.ndarray, seed: int = 11) -> dict[str, np.ndarr
     draw = lambda *shape: (rng.standard_normal(shape) * 0.15).astype(np.float32)
     share = (kind_counts + 1.0) / (kind_counts + 1.0).sum()
     return {
-        "embed": draw(CLASSES + 2, WIDTH), "position": draw(WINDOW, WIDTH), "query": draw(WIDTH, WIDTH), "key": draw(WIDTH, WIDTH),
-        "value": draw(WIDTH, WIDTH), "project": draw(WIDTH, WIDTH), "inner": draw(WIDTH, HIDDEN), "inner_bias": np.zeros(HIDDEN, np.float32),
-        "out": draw(HIDDEN, CLASSES), "out_bias": np.log(share).astype(np.float32),
+        "query": draw(CLASSES + 2, WIDTH), "key": draw(CLASSES + 2, WIDTH), "place": np.where(SEEN, -RECENT * AWAY, 0).astype(np.float32),
+        "value": np.tile(np.log(share).astype(np.float32), (GROUPS, CLASSES + 2, 1)),
     }
 
 
-def fit(counts: np.ndarray, sample: list[np.ndarray], steps: int = STEPS) -> Model:
-    """counts: of every id over the corpus, the end last. sample: ids of some texts, to train the weights on."""
+def followers(ids: np.ndarray, bounds: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """How often each class follows each class (and the start mark) of the texts, by group of distances."""
+    n = np.diff(bounds) + 1
+    line = np.full(len(ids) + 2 * len(n), CLASSES, np.int64)
+    ends = np.cumsum(n + 1) - 1
+    body = np.ones(len(line), bool)
+    body[ends] = body[ends - n] = False
+    line[body], line[ends] = kind[ids], kind[-1]
+    text = np.repeat(np.arange(len(n)), n + 1)
+    out = np.zeros(FOLLOWERS, np.int64).reshape(GROUPS, -1)
+    for away in range(min(FAR, max(0, len(line) - 1))):
+        before, after = line[: -1 - away], line[1 + away :]
+        inside = text[: -1 - away] == text[1 + away :]
+        out[min(away, GROUPS - 1)] += np.bincount((before * CLASSES + after)[inside], minlength=out.shape[1])
+    return out.reshape(FOLLOWERS)
+
+
+def counted_values(counts: np.ndarray, kind_counts: np.ndarray) -> np.ndarray:
+    """Log probabilities of what follows, from followers() and the frequencies of the classes."""
+    share = (kind_counts + 1.0) / (kind_counts + 1.0).sum()
+    return np.log((counts + PRIOR * share) / (counts.sum(axis=-1, keepdims=True) + PRIOR)).astype(np.float32)
+
+
+def fit(counts: np.ndarray, sample: list[np.ndarray], steps: int = STEPS, follow: np.ndarray | None = None) -> Model:
+    """counts: of every id over the corpus, the end last. sample: ids of some texts, to start the weights on. follow: followers() of the corpus, else of the sample."""
     kind, inner = classify(counts.astype(float))
-    w = fresh_weights(np.bincount(kind, counts, minlength=CLASSES))
+    kind_counts = np.bincount(kind, counts, minlength=CLASSES)
+    w = fresh_weights(kind_counts)
     model = Model(kind, inner, w)
+    bounds = np.append(0, np.cumsum([len(s) for s in sample])).astype(np.int64)
+    ids = np.concatenate([*sample, np.zeros(0, np.int64)]).astype(np.int64)
+    w["value"] = counted_values(followers(ids, bounds, kind) if follow is None else follow, kind_counts)
     if not sample:
         return model
-    bounds = np.append(0, np.cumsum([len(s) for s in sample]))
-    inputs, target, full, _ = windows(np.concatenate(sample), bounds, kind)
+    inputs, target, full, _ = windows(ids, bounds, kind)
     rng = np.random.default_rng(5)
     picks = (rng.integers(0, len(inputs), min(BATCH, len(inputs))) for _ in range(steps))
     rates = [RATE * min(1.0, step / 20) * (1 - 0.9 * step / steps) for step in range(1, steps + 1)]
@@ -234,12 +234,14 @@ def fit(counts: np.ndarray, sample: list[np.ndarray], steps: int = STEPS) -> Mod
 
 
 def _descend(w, inputs, target, full, kind, picks, rates) -> None:
-    """Change the weights by one Adam step on each of the picked batches."""
-    first, second = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
+    """Change the weights of the attention by one Adam step on each of the picked batches; the values stay as counted."""
+    values = _values(w)
+    learnt = [name for name in w if name != "value"]
+    first, second = {k: np.zeros_like(w[k]) for k in learnt}, {k: np.zeros_like(w[k]) for k in learnt}
     kinds, valid = kind[full[np.maximum(target, 0)]], (target >= 0).astype(np.float32)
     for step, (pick, rate) in enumerate(zip(picks, rates, strict=True), 1):
-        _, g = gradient(w, inputs[pick], kinds[pick].reshape(-1), valid[pick].reshape(-1))
-        for name in w:
+        _, g = gradient(w, inputs[pick], kinds[pick], valid[pick], values)
+        for name in learnt:
             first[name] += 0.1 * (g[name] - first[name])
             second[name] += 0.01 * (g[name] ** 2 - second[name])
             w[name] -= (rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
@@ -265,10 +267,7 @@ def log10_probabilities(model: Model, ids: np.ndarray, bounds: np.ndarray) -> np
     value = np.zeros(len(inputs))
     for lo in range(0, len(inputs), PART):
         goal = target[lo : lo + PART]
-        logits = _logits(model.weights, tables, inputs[lo : lo + PART])
         own = full[np.maximum(goal, 0)]
-        picked = logits[np.arange(len(logits)), model.kind[own].reshape(-1)].reshape(goal.shape)
-        np.exp(logits, out=logits)
-        whole = np.log(logits @ np.ones(CLASSES, np.float32)).reshape(goal.shape)
-        value[lo : lo + PART] = np.where(goal >= 0, picked - whole + model.inner[own], 0.0).sum(axis=1)
+        weight, hit, _, _ = _ahead(tables, inputs[lo : lo + PART], model.kind[own])
+        value[lo : lo + PART] = np.where(goal >= 0, np.log(_sums(hit) / _sums(weight)) + model.inner[own], 0.0).sum(axis=1)
     return np.bincount(text, value, minlength=len(bounds) - 1) / np.log(10.0)

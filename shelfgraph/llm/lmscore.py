@@ -3,9 +3,9 @@
 Texts are stored once in flushes: the word counts of each text, its subword ids, and the distinct words
 of the flush filed by hash bucket with their counts in learnable texts. Buckets add the counts up over the
 corpus and answer each flush; flushes are bucketed by their number, so an answer meets its flush without
-moving it. The attention model takes the frequency of every subword and its weights from all learnable
-texts: a bounded sample gives the start, then every window of every learnable text is learnt from once, flush by
-flush, and the flushes' weights are averaged. Windows overlap so that each id is scored once.
+moving it. The attention model takes the frequency of every subword, what follows what, and its weights from all
+learnable texts: the first two are counted; of the weights, a bounded sample gives the start, then every window of every
+learnable text is learnt from once, flush by flush, and the flushes' weights are averaged. Windows overlap so that each id is scored once.
 
 Words are known by a 64-bit hash of their bytes with A-Z in lower case.
 
@@ -147,7 +147,8 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     answers = written(filed.groupBy("bucket").applyInArrow(_merge, "part long, bucket int, totals binary"), "word-counts")
     totals = [np.frombuffer(bytes(r["totals"]), np.int64) for r in answers.where(F.col("part") == TOTALS).select("totals").collect()]
     tokens, kinds = (int(x) for x in np.sum(totals, axis=0)) if totals else (0, 0)
-    model = _trained(stored, attention.fit(_subword_counts(stored), _sample(docs, vocabulary)))
+    counts = _subword_counts(stored)
+    model = _trained(stored, attention.fit(counts, _sample(docs, vocabulary), follow=_followers(stored, counts)))
     shared = spark.sparkContext.broadcast(model)
     by_part = answers.where(F.col("part") != TOTALS).groupBy("part").agg(F.collect_list(F.struct("bucket", "totals")).alias("answers"))
     joined = stored.select("part", "ids", "words", "counts", "rows", "subwords", "bounds").join(by_part, "part")
@@ -184,26 +185,47 @@ def _subword_counts(stored: DataFrame) -> np.ndarray:
     return out
 
 
+def _learnable(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids of the learnable texts of each flush (held, subwords, bounds) and the offsets of each text in them."""
+    for row in batch.to_pylist():
+        own, sizes = ~np.frombuffer(row["held"], bool), np.diff(np.frombuffer(row["bounds"], np.int64))
+        if own.any():
+            yield _opened(row["subwords"], np.uint16)[np.repeat(own, sizes)].astype(np.int64), np.append(0, np.cumsum(sizes[own]))
+
+
+def _followers(stored: DataFrame, counts: np.ndarray) -> np.ndarray:
+    """attention.followers() of all learnable texts."""
+    shared = stored.sparkSession.sparkContext.broadcast(attention.classify(counts.astype(float))[0])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(attention.FOLLOWERS, np.int64)
+        for batch in batches:
+            for ids, bounds in _learnable(batch):
+                total += attention.followers(ids, bounds, shared.value)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.reshape(-1)[at])], names=["at", "n"])
+
+    found = stored.select("held", "subwords", "bounds").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(attention.FOLLOWERS, np.int64)
+    out.reshape(-1)[found["at"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
 def _trained(stored: DataFrame, start: attention.Model) -> attention.Model:
-    """The model after a pass over all learnable texts.
+    """The model after a pass over all learnable texts; its values stay, as they are counted over all of them.
 
     Each flush learns on its own from the start, and the results are averaged by their windows. Sums are of
     whole numbers, so the order of flushes changes no score; which texts share a flush follows the table's files, so the same
     rows in other files train slightly other weights.
     """
     shared = stored.sparkSession.sparkContext.broadcast(start)
-    names = sorted(start.weights)
+    names = sorted(start.weights.keys() - {"value"})
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            for row in batch.to_pylist():
-                own, bounds = ~np.frombuffer(row["held"], bool), np.frombuffer(row["bounds"], np.int64)
-                sizes = np.diff(bounds)
-                if not own.any():
-                    continue
-                ids = _opened(row["subwords"], np.uint16)[np.repeat(own, sizes)].astype(np.int64)
-                weights, n = attention.learnt(shared.value, ids, np.append(0, np.cumsum(sizes[own])))
+            for ids, bounds in _learnable(batch):
+                weights, n = attention.learnt(shared.value, ids, bounds)
                 flat = np.concatenate([(weights[k] - shared.value.weights[k]).reshape(-1) for k in names]).astype(np.float64)
                 one = np.append(np.round(flat * FIXED).astype(np.int64) * n, n)
                 total = one if total is None else total + one
@@ -217,7 +239,7 @@ def _trained(stored: DataFrame, start: attention.Model) -> attention.Model:
     for r in rows:
         total[r["at"]] = r["n"]
     change, at = total[:-1] / FIXED / total[-1], 0
-    weights = {}
+    weights = dict(start.weights)
     for k in names:
         old = start.weights[k]
         weights[k] = (old + change[at : at + old.size].reshape(old.shape)).astype(np.float32)

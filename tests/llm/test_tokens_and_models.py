@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -218,6 +219,59 @@ def test_gradient_in_parts_is_the_slope_of_the_loss():
         assert (loss(up) - loss(down)) / 2e-6 == pytest.approx((slope * way).sum(), rel=1e-3, abs=1e-5), name
 
 
+def test_followers_equal_brute_force():
+    rng = np.random.default_rng(6)
+    sizes = np.array([0, 3, 1, 30, 0, 80])
+    bounds = np.append(0, np.cumsum(sizes))
+    ids, kind = rng.integers(0, 99, sizes.sum()), rng.permutation(100) % 7
+    want = np.zeros(attention.FOLLOWERS, int)
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        line = [attention.CLASSES, *kind[ids[a:b]], kind[-1]]
+        for k in range(1, len(line)):
+            for away in range(min(k, attention.FAR)):
+                want[min(away, attention.GROUPS - 1), line[k - 1 - away], line[k]] += 1
+    assert (attention.followers(ids, bounds, kind) == want).all()
+
+
+def test_an_id_is_told_by_the_one_before_among_hundreds():
+    """Each of 300 ids has one successor, which its class must not hide."""
+    ids, bounds = np.tile(np.arange(300), 50), np.array([0, 15000])
+    counts = np.append(np.bincount(ids, minlength=300), 1)
+    model = attention.fit(counts, [ids], steps=100)
+    assert attention.log10_probabilities(model, ids, bounds)[0] > -0.5 * len(ids)
+
+
+def test_strong_attention_gives_finite_scores():
+    rng = np.random.default_rng(9)
+    counts = rng.integers(1, 90, 400)
+    ids, bounds = rng.integers(0, 399, 900), np.array([0, 400, 400, 900])
+    model = attention.fit(counts, [ids], steps=2)
+    for name in ("query", "key"):
+        model.weights[name] *= 60
+    scores = attention.log10_probabilities(model, ids, bounds)
+    assert np.isfinite(scores).all() and (scores < 0).all()
+
+
+def test_learning_computes_no_distribution_whole():
+    """A step over all targets costs less than their whole distributions, which only the plain form computes."""
+    rng = np.random.default_rng(7)
+    counts = rng.integers(1, 90, 400)
+    kind, _ = attention.classify(counts.astype(float))
+    w = attention.fresh_weights(np.bincount(kind, counts, minlength=attention.CLASSES))
+    inputs, target, full, _ = attention.windows(rng.integers(0, 399, 16000), np.array([0, 16000]), kind)
+    kinds, valid = kind[full[np.maximum(target, 0)]].reshape(-1), (target >= 0).astype(np.float32).reshape(-1)
+
+    def least(run):
+        took = []
+        for _ in range(5):
+            began = time.thread_time()
+            run()
+            took.append(time.thread_time() - began)
+        return min(took)
+
+    assert least(lambda: attention.gradient(w, inputs, kinds, valid)) < least(lambda: attention.forward(w, inputs))
+
+
 def test_windows_hold_the_marks_and_ids_before_each_target():
     rng = np.random.default_rng(4)
     sizes = np.array([0, 1, 15, 16, 17, 40, 0, 70])
