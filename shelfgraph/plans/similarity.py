@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.embedding import DIMENSION, ITERATION_WEIGHTS, SEED, embed_classes
@@ -14,7 +16,7 @@ from ..operators.projection import project_graph
 from ..operators.refine import refined_groups
 from ..session import released, stage
 from ..sources.schema import CatalogGraph
-from ..sources.tables import write_similar_to
+from ..sources.tables import read_similar_to, write_similar_to
 
 # Fixed value of the reference configuration.
 BRAND_BONUS = 0.01
@@ -135,21 +137,22 @@ def write_build(graph: CatalogGraph, path: str, bonus: float = BRAND_BONUS, **pa
     """Run the whole job: replace the edges at path, release everything it staged, and return the run's summary.
 
     The counters ride on the job's own passes: nodes as the projection is read, edges as they are written, so nothing is
-    read again for them. Percentiles come from a mergeable sketch of bounded size (rank error one in a million).
+    read again for them. A counter is a few numbers per task, because each task sends its own to the driver; percentiles need
+    every score and are taken from the written table.
     Every projected node counts as embedded; one without edges has the zero vector. All products count as compared.
     """
     spark = graph.product.sparkSession
     nodes, edges = Observation(), Observation()
-    levels = F.percentile_approx("score", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)), F.lit(1000000))
     with released(spark):
         measures = [
             F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high"), F.avg("score").alias("mean"),
-            F.stddev_pop("score").alias("dev"), levels.alias("levels"),
+            F.stddev_pop("score").alias("dev"),
         ]
         write_similar_to(build_similar_to(graph, bonus, seen=nodes, **params), path, edges, measures)
         n, e = nodes.get, edges.get
+        levels = score_levels(read_similar_to(spark, path), (0.5, 0.9, 0.99))
     mark = lambda v: None if v is None else float(v)
-    row = (n["nodes"], n["products"], e["n"], *(mark(e[x]) for x in ("low", "high", "mean", "dev")), *(mark(v) for v in (e["levels"] or [None] * 3)))
+    row = (n["nodes"], n["products"], e["n"], *(mark(e[x]) for x in ("low", "high", "mean", "dev")), *map(mark, levels))
     return spark.createDataFrame(
         [row],
         "nodePropertiesWritten bigint, nodesCompared bigint, relationshipsWritten bigint, minScore double, maxScore double, meanScore double, "
@@ -157,6 +160,30 @@ def write_build(graph: CatalogGraph, path: str, bonus: float = BRAND_BONUS, **pa
     )
 
 
+def score_levels(edges: DataFrame, shares: Sequence[float]) -> list[float | None]:
+    """For each share, the least score that at least this share of the edges does not exceed.
+
+    Exact. Equal scores are counted first; their counts are put in order slice by slice, and the driver holds one
+    total per slice.
+    """
+    counted = edges.where(F.col("score").isNotNull()).groupBy("score").agg(F.count("*").alias("n"))
+    sliced = stage(counted.repartitionByRange("score").withColumn("slice", F.spark_partition_id()), "scores")
+    totals = {r["slice"]: r["n"] for r in sliced.groupBy("slice").agg(F.sum("n").alias("n")).collect()}
+    total, before, wanted = sum(totals.values()), 0, []
+    if not total:
+        return [None] * len(shares)
+    ranks = [max(1, math.ceil(share * total)) for share in shares]
+    for number in sorted(totals):
+        held = [i for i, rank in enumerate(ranks) if before < rank <= before + totals[number]]
+        if held:
+            upto = F.sum("n").over(W.partitionBy("slice").orderBy("score")) + before
+            rows = sliced.where(F.col("slice") == number).select("score", upto.alias("upto"))
+            level = rows.agg(*[F.min(F.when(F.col("upto") >= ranks[i], F.col("score"))) for i in held]).first()
+            wanted += zip(held, level)
+        before += totals[number]
+    return [level for _, level in sorted(wanted)]
+
+
 def score_summary(edges: DataFrame) -> DataFrame:
     """Stored edges: how many, of how many sources that kept one, and how their scores spread."""
     return edges.agg(

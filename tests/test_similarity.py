@@ -1,5 +1,6 @@
 import dataclasses
 import hashlib
+import math
 import os
 
 import numpy as np
@@ -284,6 +285,24 @@ def test_the_written_build_reports_its_run_and_leaves_nothing_staged(spark, micr
     assert set(os.listdir(staged)) == before
 
 
+def test_the_counters_of_a_build_hold_a_few_numbers_per_task(spark, micro, tmp_path, monkeypatch):
+    """Every task sends its counters to the driver, so none may keep the scores it has seen."""
+    seen, write = [], similarity.write_similar_to
+    monkeypatch.setattr(similarity, "write_similar_to", lambda edges, path, into, measures: (seen.extend(measures), write(edges, path, into, measures)))
+    similarity.write_build(micro, str(tmp_path / "edges"), k=3, dimension=32)
+    sent = spark.range(1000, numPartitions=1).select((F.rand(3)).alias("score")).agg(*seen).first()
+    assert all(isinstance(v, int | float) for v in sent) and {c._jc.toString().split("(")[0] for c in seen} <= {"count", "min", "max", "avg", "stddev_pop"}
+
+
+@pytest.mark.parametrize("values", [[], [0.5], [0.1, 0.2], [1.0] * 50 + [1.01] * 50, [None, 0.7, None, 0.6], [(i * 37 % 101) / 7 for i in range(101)], [-0.5, 0.0, 0.25] * 33])
+def test_score_levels_are_exact_ranks(spark, values):
+    edges = spark.createDataFrame([(v,) for v in values], "score double").repartition(3)
+    ranked = sorted(v for v in values if v is not None)
+    shares = (0.0, 0.1, 0.5, 0.9, 0.99, 1.0)
+    want = [ranked[max(1, math.ceil(s * len(ranked))) - 1] if ranked else None for s in shares]
+    assert similarity.score_levels(edges, shares) == want
+
+
 def test_staged_tables_are_released_on_failure_and_by_their_own_block(spark):
     with pytest.raises(ZeroDivisionError), released(spark) as outer:
         kept = stage(spark.range(3), "outer")
