@@ -10,8 +10,9 @@ cut into blocks, so none is too large for a task, and no pair list is ever forme
 
 How much the bound saves depends on the data: much for clustered vectors, nothing for
 vectors of high intrinsic dimension. A trial on a few thousand vectors tells; where the
-bound excludes too little, the vectors are compared block by block instead, which moves fewer
-bytes. Both ways are exact, and in the worst case both compare everything. For catalogues beyond that, `probes`
+bound excludes too little, all blocks of vectors are compared with all others instead: each block is
+written once to the shuffle and read again for each of its comparisons, so the disk holds every vector twice, not once per block it meets.
+Both ways are exact, and in the worst case both compare everything. For catalogues beyond that, `probes`
 gives the approximate graph: only the nearest cells are visited, in time
 proportional to probes / cells of the exact one.
 
@@ -23,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,9 @@ SCORE_DECIMALS = 9
 MAX_PIVOTS = 4096  # bounds what the driver and each task hold: 8 MB at 256 dimensions
 CELL_ROWS = 1024  # wanted rows per cell while MAX_PIVOTS allows it
 BLOCK_ROWS = 4096  # rows on either side of one comparison block
+BLOCK_BYTES = 4 << 20  # and of their vectors, where all blocks meet
+SIDE_BYTES = 64 << 20  # vectors of the target blocks that one task holds
+MAX_ASKING = 512  # partitions of the query blocks
 TRIAL_ROWS = 4096  # vectors that decide whether the bound is worth using
 
 _HIT = "qid bigint, tid bigint, score double"
@@ -83,12 +88,15 @@ def _block_match(k: int, floor: float, decimals: int, unit: bool):
     return match
 
 
-def _compare(queries: DataFrame, targets: DataFrame, k: int, floor: float, decimals: int, unit: bool) -> DataFrame:
+def _compare(queries: DataFrame, targets: DataFrame, k: int, floor: float, decimals: int, unit: bool, whole: bool = False) -> DataFrame:
     """Best k targets per query within each shared cell: (qid, tid, score).
 
     queries(id, cell, vec) and targets(id, cell, vec). A cell with many rows on either
     side becomes a grid of blocks, each a group of at most about BLOCK_ROWS rows per side.
+    whole: everything is one cell, and queries(id, vec, beat) ask for scores of at least beat.
     """
+    if whole:
+        return _compare_all(queries, targets, k, decimals, unit)
     # One row per cell, so at most MAX_PIVOTS: small enough to broadcast.
     sizes = (
         queries.groupBy("cell").agg(F.count("*").alias("_q"))
@@ -119,6 +127,105 @@ def _compare(queries: DataFrame, targets: DataFrame, k: int, floor: float, decim
     return both.groupBy("cell", "qb", "tb").applyInPandas(_block_match(k, floor, decimals, unit), _HIT)
 
 
+def _blocks(rows: DataFrame, size: int, names: list[str]) -> DataFrame:
+    """rows(id, vec, ...) as one row per block of at most size rows: its number and each column as bytes."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, held, parts = TaskContext.get().partitionId() << 32, 0, []
+
+        def block() -> pa.RecordBatch:
+            columns = [pa.concat_arrays([p.column(i) for p in parts]) for i in range(len(names))]
+            data = [b"".join(c.to_pylist()) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False).tobytes() for c in columns]
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[pa.array([d], pa.binary()) for d in data]], names=["block", *names])
+
+        for batch in batches:
+            low = 0
+            while low < batch.num_rows:
+                part = batch.slice(low, size - held)
+                parts.append(part)
+                low, held = low + part.num_rows, held + part.num_rows
+                if held == size:
+                    yield block()
+                    parts, held, number = [], 0, number + 1
+        if held:
+            yield block()
+
+    return rows.mapInArrow(pack, ", ".join(["block bigint", *[f"{n} binary" for n in names]]))
+
+
+def _compare_all(queries: DataFrame, targets: DataFrame, k: int, decimals: int, unit: bool) -> DataFrame:
+    """Best k targets per query, part by part: (qid, tid, score), at most k of each query from one partition of targets.
+
+    queries(id, vec, beat) asks for scores of at least beat; targets(id, vec). Blocks of both sides meet in a Cartesian
+    product of their partitions, which reads what was shuffled again instead of copying it. Queries are dealt out row by row, so that
+    the tasks are even.
+    """
+    n, width = targets.agg(F.count("*"), F.max(F.length("vec"))).first()
+    asked = queries.count()
+    if not n or not asked:
+        return targets.select(F.col("id").alias("qid"), F.col("id").alias("tid"), F.lit(0.0).alias("score")).limit(0)
+    size = max(1, min(BLOCK_ROWS, BLOCK_BYTES // width))
+    asking = min(MAX_ASKING, -(-asked // size))
+    tasks = 4 * targets.sparkSession.sparkContext.defaultParallelism
+    held = max(-(-n * width // SIDE_BYTES), min(-(-tasks // asking), -(-n // CELL_ROWS)))
+    slack = 2 * 10.0**-decimals
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        now, ids, x, bar = None, None, None, None
+        row, tid, score = none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+        def merged(row, tid, score):
+            by = np.lexsort((tid, -score, row))
+            row, tid, score = row[by], tid[by], score[by]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+            return row[keep], tid[keep], score[keep]
+
+        def hits():
+            return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(tid), pa.array(score)], names=["qid", "tid", "score"])
+
+        for batch in batches:
+            for b in range(batch.num_rows):
+                block, qid, qvec, beat, _, tids, tvec = (batch.column(i)[b] for i in range(7))
+                if block.as_py() != now:
+                    if len(row):
+                        yield hits()
+                    now, ids, bar = block.as_py(), np.frombuffer(qid.as_buffer(), np.int64), np.frombuffer(beat.as_buffer(), np.float64).copy()
+                    x = np.frombuffer(qvec.as_buffer(), np.float64).reshape(len(ids), -1)
+                    row, tid, score = none
+                tids = np.frombuffer(tids.as_buffer(), np.int64)
+                t = np.frombuffer(tvec.as_buffer(), np.float64).reshape(len(tids), -1)
+                found = [(row, tid, score)]
+                for low in range(0, len(ids), 512):
+                    mine, floor = ids[low : low + 512], bar[low : low + 512]
+                    close = x[low : low + 512] @ t.T
+                    if unit:
+                        close = (close + 1.0) / 2.0
+                    keep = close >= floor[:, None] - slack
+                    if np.count_nonzero(keep) > 4 * k * len(mine) and len(tids) > k:
+                        # many are above the bar so far: the k-th best of this block is a higher one
+                        close[mine[:, None] == tids[None, :]] = -np.inf
+                        keep &= close >= np.partition(close, -k, axis=1)[:, -k][:, None] - slack
+                    r, c = np.nonzero(keep)
+                    near = np.round(close[r, c], decimals)
+                    keep = (near >= floor[r]) & (mine[r] != tids[c])
+                    found.append((r[keep] + low, tids[c[keep]], near[keep]))
+                row, tid, score = merged(*(np.concatenate(part) for part in zip(*found)))
+                full = np.flatnonzero(np.bincount(row, minlength=len(ids)) >= k)
+                bar[full] = score[np.searchsorted(row, full, side="right") - 1]
+        if len(row):
+            yield hits()
+
+    left = queries.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), "beat").repartition(asking)
+    right = _blocks(targets.select(F.col("id").alias("tid"), F.col("vec").alias("tvec")), min(size, -(-n // held)), ["tid", "tvec"])
+    right = right.withColumnRenamed("block", "other").repartition(held)
+    pairs = _blocks(left, size, ["qid", "qvec", "beat"]).hint("shuffle_replicate_nl").crossJoin(right)
+    return pairs.mapInArrow(compare, _HIT)
+
+
 def _pivots(vectors: DataFrame, wanted: int):
     """Wanted pivots as one matrix: the rows with the least id hash, at most MAX_PIVOTS."""
     import numpy as np
@@ -219,8 +326,7 @@ def nearest_groups(
         trial = asking.orderBy(F.xxhash64("id"), "id").limit(TRIAL_ROWS).mapInPandas(visit, shape)
         visited = trial.agg(F.avg(F.size("cells"))).first()[0]
         if visited * 2 > len(held) - 1:
-            whole = celled.select("id", F.lit(0).alias("cell"), "vec")
-            return _best(_compare(whole, whole, k, cutoff, decimals, unit), k)
+            return _best(_compare(asking.select("id", "vec", "beat"), celled.select("id", "vec"), k, cutoff, decimals, unit, True), k)
     routed = stage(asking.mapInPandas(visit, shape), "routed")
     guests = routed.select("id", F.explode("cells").alias("cell"), "vec")
     away = _compare(guests, celled.select("id", "cell", "vec"), k, cutoff, decimals, unit)
@@ -231,9 +337,9 @@ def nearest_of(
     vectors: DataFrame, asked: DataFrame, k: int = TOP_K, cutoff: float = CUTOFF, decimals: int = SCORE_DECIMALS, scale: str = "raw"
 ) -> DataFrame:
     """(qid, tid, score): the exact best k others of the asked(id) rows of vectors(id, vec), compared with all rows in blocks."""
-    packed = stage(_packed(vectors).withColumn("cell", F.lit(0)), "packed")
-    queries = packed.join(asked.select("id").distinct(), "id", "left_semi")
-    return _best(_compare(queries.select("id", "cell", "vec"), packed.select("id", "cell", "vec"), k, cutoff, decimals, scale == "unit"), k)
+    packed = stage(_packed(vectors), "packed")
+    queries = packed.join(asked.select("id").distinct(), "id", "left_semi").select("id", "vec", F.lit(float(cutoff)).alias("beat"))
+    return _best(_compare(queries, packed, k, cutoff, decimals, scale == "unit", True), k)
 
 
 def _best(hits: DataFrame, k: int) -> DataFrame:

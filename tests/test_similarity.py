@@ -167,6 +167,26 @@ def test_bound_and_block_forms_agree(spark, monkeypatch):
     assert used[3] < 300 * 3  # few visits after the bound
 
 
+@pytest.mark.parametrize("unit", [False, True])
+def test_blocks_of_all_vectors_meet_without_copies_in_the_shuffle(spark, monkeypatch, unit):
+    """Many small blocks in several partitions of either side, bars included: brute force, and no row is multiplied before an exchange."""
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(neighbours, "SIDE_BYTES", 50 * 12 * 8)
+    monkeypatch.setattr(neighbours, "MAX_ASKING", 5)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(230, 12)).round(1)
+    x[40:60] = x[20]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>").repartition(3)
+    scale = "unit" if unit else "raw"
+    asked = spark.createDataFrame([(i,) for i in range(0, 230, 3)] + [(9999,)], "id long")
+    got = neighbours.nearest_of(df, asked, 6, 0.1, scale=scale)
+    assert {tuple(r) for r in got.collect()} == {r for r in brute_knn(list(range(230)), x, 6, 0.1, unit) if r[0] % 3 == 0}
+    plan = got._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan
+    assert {tuple(r) for r in neighbours.nearest_groups(df, 6, 0.1, scale=scale, cell_rows=20).collect()} == brute_knn(list(range(230)), x, 6, 0.1, unit)
+    assert neighbours.nearest_of(df, asked.where("id > 9000"), 6, 0.1).count() == 0
+
+
 def test_probed_cells_recall(spark, micro):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(20, 24))[rng.integers(0, 20, 1500)] + 0.5 * rng.normal(size=(1500, 24))
