@@ -39,6 +39,69 @@ class NodeClasses:
     vectors: DataFrame  # (cls, embedding array<double>)
 
 
+def start_digests(keys: Sequence[str], blocks: int, seed: int):
+    """md5 of "seed:key:block" for every key and block from 0, as a uint8 array (keys, blocks, 16).
+
+    All messages of at most 55 bytes, the usual ones, are one md5 round of 64 bytes, computed side by side.
+    """
+    import hashlib
+
+    import numpy as np
+
+    head = f"{seed}:".encode()
+    coded = [str(key).encode() for key in keys]
+    length = np.array([len(c) for c in coded], dtype=np.int64)
+    out = np.empty((len(coded), blocks, 16), np.uint8)
+    tails = [f":{block}".encode() for block in range(blocks)]
+    room = 55 - len(head) - max((len(t) for t in tails), default=0)
+    for i in np.flatnonzero(length > room):
+        out[i] = np.frombuffer(b"".join(hashlib.md5(head + coded[i] + t).digest() for t in tails), np.uint8).reshape(blocks, 16)
+    short = np.flatnonzero(length <= room)
+    chunk = max(1, 8192 // max(1, blocks))
+    for low in range(0, len(short), chunk):
+        at = short[low : low + chunk]
+        n, width = len(at), max(1, int(length[at].max()))
+        text = np.zeros((n, blocks, 64), np.uint8)
+        text[:, :, : len(head)] = np.frombuffer(head, np.uint8)
+        key = np.frombuffer(b"".join(coded[i].ljust(width, b"\0") for i in at), np.uint8).reshape(n, width)
+        text[:, :, len(head) : len(head) + width] = key[:, None, :]
+        row, end = np.arange(n), len(head) + length[at]
+        for block, tail in enumerate(tails):
+            for j, byte in enumerate(tail + b"\x80"):
+                text[row, block, end + j] = byte
+            bits = (end + len(tail)) * 8
+            text[:, block, 56], text[:, block, 57] = bits & 255, bits >> 8
+        words = np.ascontiguousarray(text.reshape(-1, 64).view("<u4").T)
+        out[at] = _md5_blocks(words).reshape(n, blocks, 16)
+    return out
+
+
+def _md5_blocks(words):
+    """md5 of single blocks, words (16, n) of uint32: (n, 16) bytes (RFC 1321)."""
+    import numpy as np
+
+    sine = np.floor(np.abs(np.sin(np.arange(1, 65, dtype=np.float64))) * 2.0**32).astype(np.uint32)
+    turns = [7, 12, 17, 22] * 4 + [5, 9, 14, 20] * 4 + [4, 11, 16, 23] * 4 + [6, 10, 15, 21] * 4
+    first = [np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d = (np.full(words.shape[1], x, np.uint32) for x in first)
+    for i in range(64):
+        if i < 16:
+            mixed, g = d ^ (b & (c ^ d)), i
+        elif i < 32:
+            mixed, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif i < 48:
+            mixed, g = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            mixed, g = c ^ (b | ~d), 7 * i % 16
+        mixed += a
+        mixed += sine[i]
+        mixed += words[g]
+        a, d, c = d, c, b
+        b = b + ((mixed << np.uint32(turns[i])) | (mixed >> np.uint32(32 - turns[i])))
+    state = np.stack([x + y for x, y in zip((a, b, c, d), first)], axis=1)
+    return state.astype("<u4").view(np.uint8)
+
+
 def starting_sums(edges: DataFrame, dimension: int, seed: int) -> DataFrame:
     """(cls, part array<double>): partial sums of the neighbours' starting vectors.
 
@@ -49,18 +112,15 @@ def starting_sums(edges: DataFrame, dimension: int, seed: int) -> DataFrame:
     """
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
-
         import numpy as np
 
         blocks = -(-dimension // 8)
+        value = np.array([3**0.5, -(3**0.5), 0.0, 0.0, 0.0, 0.0])
         for batch in batches:
             keys, at = np.unique(batch["dst"].to_numpy(dtype=str), return_inverse=True)
-            raw = b"".join(
-                hashlib.md5(f"{seed}:{key}:{block}".encode()).digest() for key in keys for block in range(blocks)
-            )
+            raw = start_digests(keys, blocks, seed).tobytes()
             digit = (np.frombuffer(raw, dtype=">u2").reshape(len(keys), blocks * 8) % 6)[:, :dimension]
-            start = np.where(digit == 0, 3**0.5, np.where(digit == 1, -(3**0.5), 0.0))
+            start = value[digit]
             owner, group = np.unique(batch["cls"].to_numpy(dtype=str), return_inverse=True)
             order = np.argsort(group, kind="stable")
             first = np.searchsorted(group[order], np.arange(len(owner)))

@@ -54,6 +54,22 @@ def start(key, dimension, seed=42):
     return np.array(out[:dimension])
 
 
+def test_start_digests_are_md5_of_any_key():
+    keys = ["", "a", "product:7", "parameter:4:9", "é:ü", "x" * 38, "x" * 45, "x" * 200, "nul\0", "\0"] + [f"category:{i}" for i in range(700)]
+    for blocks, seed in ((1, 42), (12, 7), (130, 123456)):
+        got = embedding.start_digests(keys, blocks, seed)
+        assert got.shape == (len(keys), blocks, 16)
+        assert all(got[i, b].tobytes() == hashlib.md5(f"{seed}:{k}:{b}".encode()).digest() for i, k in enumerate(keys) for b in range(blocks))
+
+
+def test_starting_sums_call_no_hash_function_per_key(spark, monkeypatch):
+    """The starting vectors of a batch are computed side by side; only long keys are hashed one by one."""
+    calls = []
+    monkeypatch.setattr(hashlib, "md5", lambda data, real=hashlib.md5: calls.append(data) or real(data))
+    embedding.start_digests([f"product:{i}" for i in range(500)], 32, 42)
+    assert not calls
+
+
 def brute_fastrp(nodes, edges, dimension, weights, self_influence=0.0):
     vector = {n: start(n, dimension) for n in nodes}
     total = {n: np.zeros(dimension) for n in nodes}
