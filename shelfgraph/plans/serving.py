@@ -112,8 +112,8 @@ def refill(graph: CatalogGraph, similar_to: DataFrame, as_of: Column, min_score:
         sized = stage(sized.where(F.col("size").between(1, MAX_PAGE_SIZE)).select(F.col("product_id").alias("productId"), "size").distinct(), "missed")
         sizes = sorted(r["size"] for r in sized.select("size").distinct().collect())  # at most MAX_PAGE_SIZE
         parts = [recommendation_pages(graph, similar_to, n, min_score, sized.where(F.col("size") == n)) for n in sizes]
-        none = recommendation_pages(graph, similar_to, 1, min_score, sized.limit(0))
-        return serving_table(reduce(DataFrame.unionByName, parts, none), as_of)
+        parts = parts or [recommendation_pages(graph, similar_to, 1, min_score, sized.limit(0))]
+        return serving_table(reduce(DataFrame.unionByName, parts), as_of)
 
     return compute
 

@@ -103,7 +103,10 @@ class PageStore:
         return pages
 
     def look_up(self, requests: DataFrame, as_of: Column) -> DataFrame:
-        """requests(cache_key) with payload and hit; a page that is absent or expired is a miss."""
+        """requests(cache_key) with payload and hit; a page that is absent or expired is a miss.
+
+        The requests are read twice, for the buckets they ask for and for their pages.
+        """
         m = self.manifest()
         touched = self._touched(requests.select(key_product(F.col("cache_key")).alias("product_id")), m.buckets)
         fresh = self.read(touched, m).where(F.col("expires_at") > as_of).select("cache_key", "payload")
@@ -112,11 +115,14 @@ class PageStore:
     # writing
 
     def _write(self, rows: DataFrame, m: Manifest, touched: list[int]) -> Manifest:
-        """New files for the touched buckets with exactly these rows; returns the next version, not yet committed."""
+        """New files for the touched buckets with exactly these rows; returns the next version, not yet committed.
+
+        The rows are computed once: which buckets have any is read from the written files.
+        """
         path = f"{self.root}/data/{uuid.uuid4().hex}"
         placed = rows.withColumn("bucket", self.bucket(F.col("product_id"), m.buckets))
         placed.repartition("bucket").write.partitionBy("bucket").parquet(path)
-        held = {r["bucket"] for r in placed.select("bucket").distinct().collect()}
+        held = {r["bucket"] for r in self.spark.read.schema("bucket int").parquet(path).distinct().collect()}
         data = {b: p for b, p in m.data.items() if b not in touched} | {b: f"{path}/bucket={b}" for b in held}
         return Manifest(m.version + 1, m.buckets, data, {b: p for b, p in m.gone.items() if b not in touched})
 
@@ -130,7 +136,7 @@ class PageStore:
         touched = self._touched(rows, m.buckets)
         if touched:
             kept = self.read(touched, m).join(rows.select("cache_key"), "cache_key", "left_anti").select(kind)
-            self._commit(self._write(stage(kept.unionByName(rows), "put"), m, touched))
+            self._commit(self._write(kept.unionByName(rows), m, touched))
 
     def remove(self, products: DataFrame) -> None:
         """Remove every page of products(productId): short lists beside the data, which stays as it is."""
@@ -152,7 +158,7 @@ class PageStore:
         starts = F.col("cache_key").startswith(prefix)
         touched = self._touched(self.read(at=m).where(starts), m.buckets)
         if touched:
-            self._commit(self._write(stage(self.read(touched, m).where(~starts), "remove"), m, touched))
+            self._commit(self._write(self.read(touched, m).where(~starts), m, touched))
 
     def read_through(self, requests: DataFrame, as_of: Column, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """requests(cache_key) with hit, refilled and payload; pages of missed products are computed, stored and returned.

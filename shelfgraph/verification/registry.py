@@ -507,10 +507,10 @@ def own_pages(spark: SparkSession, folder: str) -> PageStore:
 
 
 def _asked_pages(spark: SparkSession, folder: str) -> tuple[DataFrame, F.Column]:
-    """Every event asks for page 1 of its product, as of the last event overall."""
-    asked = read_events(spark, folder).select(
+    """Every event asks for page 1 of its product, as of the last event overall. Staged, as the store reads its requests several times."""
+    asked = stage(read_events(spark, folder).select(
         F.concat_ws(":", F.lit("recs"), F.get_json_object("props", "$.k"), F.lit("1"), F.lit("10")).alias("cache_key")
-    ).distinct()
+    ).distinct(), "asked-pages")
     return asked, F.lit(read_events(spark, folder).agg(F.max("ts").alias("at")).first()["at"]).cast("timestamp")
 
 

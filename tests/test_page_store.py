@@ -8,8 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfgraph.plans import serving, similarity
+from shelfgraph.session import checkpoint_root
 from shelfgraph.sources import page_store
+from shelfgraph.sources.binding import EVENT_SCHEMA
 from shelfgraph.sources.page_store import PAGE_SCHEMA, PageStore
+from shelfgraph.verification import registry
 
 NOON = dt.datetime(2024, 5, 1, 12)
 EDGE = "sourceId long, targetId long, score double"
@@ -152,3 +155,33 @@ def test_an_empty_store_takes_pages(spark, tmp_path):
     store.remove(ids(spark, 1))
     store.put(spark.createDataFrame([page(1)], PAGE_SCHEMA))
     assert keys(store) == ["recs:1:1:2"]
+
+
+def test_a_write_stages_its_pages_once_and_computes_them_once(spark, store):
+    staged, seen = f"{checkpoint_root(spark)}/staged", spark.sparkContext.accumulator(0)
+    os.makedirs(staged, exist_ok=True)
+    before = set(os.listdir(staged))
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    store.put(spark.createDataFrame([page(3, 1, "new"), page(77)], PAGE_SCHEMA).withColumn("payload", counted("payload")))
+    assert len({x for x in os.listdir(staged)} - before) == 1 and seen.value == 2
+    assert len(keys(store)) == 41 and {r.payload for r in store.read().where("cache_key = 'recs:3:1:2'").collect()} == {"new"}
+
+
+def test_all_keys_may_go_by_prefix(spark, store):
+    store.remove_prefix("recs:")
+    assert keys(store) == [] and store.manifest().data == {}
+    store.put(spark.createDataFrame([page(1)], PAGE_SCHEMA))
+    assert keys(store) == ["recs:1:1:2"]
+
+
+def test_the_asked_pages_are_read_from_the_events_once(spark, tmp_path):
+    rows = [(i, dt.datetime(2024, 1, 1, i), i % 3, "view", 1.0, f'{{"k": {i % 4}}}') for i in range(12)]
+    spark.createDataFrame(rows, EVENT_SCHEMA).write.parquet(f"{tmp_path}/events.parquet")
+    asked, _ = registry._asked_pages(spark, str(tmp_path))
+    assert sorted(r.cache_key for r in asked.collect()) == [f"recs:{k}:1:10" for k in range(4)]
+    assert not any("events.parquet" in f for f in asked.inputFiles())
