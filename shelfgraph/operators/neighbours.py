@@ -193,8 +193,9 @@ def _compare_all(queries: DataFrame, targets: DataFrame, k: int, decimals: int,
                 if block.as_py() != now:
                     if len(row):
                         yield hits()
-                    now, ids, bar = block.as_py(), np.frombuffer(qid.as_buffer(), np.int64), np.frombuffer(beat.as_buffer(), np.float64).copy()
-                    x = np.frombuffer(qvec.as_buffer(), np.float64).reshape(len(ids), -1)
+                    # copies, so that the batch they came in is not held
+                    now, ids, bar = block.as_py(), np.frombuffer(qid.as_buffer(), np.int64).copy(), np.frombuffer(beat.as_buffer(), np.float64).copy()
+                    x = np.frombuffer(qvec.as_buffer(), np.float64).reshape(len(ids), -1).copy()
                     row, tid, score = none
                 tids = np.frombuffer(tids.as_buffer(), np.int64)
                 t = np.frombuffer(tvec.as_buffer(), np.float64).reshape(len(tids), -1)
